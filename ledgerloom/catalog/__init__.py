@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("metrics",)
+GROUPS = ("metrics", "tables", "documents")
 
 
 def all_queries() -> dict:

@@ -85,6 +85,12 @@ def corp_key(value: Column | str) -> Column:
     )
 
 
+def padded_number(value: Column | str, width: int) -> Column:
+    """Number as text with leading zeros; longer numbers stay whole."""
+    text = as_column(value).cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def has_text(value: Column | str) -> Column:
     return F.coalesce(strip(value), F.lit("")) != ""
 

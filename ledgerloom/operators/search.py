@@ -167,7 +167,7 @@ def audit_attachments(attachments: DataFrame, ordinal: str) -> DataFrame:
     chosen = (
         attachments.filter(is_audit_title("title") & (F.coalesce("dcm_no", F.lit("")) != ""))
         .withColumn("title", canonical_title("title"))
-        .withColumn("is_consolidated", F.col("title").contains("연결"))
+        .withColumn("is_consolidated", squeeze("title").contains(CONSOLIDATED_TITLE))
     )
     return pick_first(chosen, ["rcept_no", "dcm_no", "is_consolidated"], [F.col(ordinal).desc()])
 

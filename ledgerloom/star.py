@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import padded_number
+
 MEASURES = ("rev", "cost", "tax", "inv", "recv", "pay")
 FILING = ["corp_code", "bsns_year", "reprt_code", "fs_div"]
 REPORT_CODE = "11011"
@@ -104,9 +106,8 @@ def corporations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def padded_key(key):
-    text = key.cast("string")
-    return F.when(F.length(text) < 8, F.lpad(text, 8, "0")).otherwise(text)
+def padded_key(key: Column) -> Column:
+    return padded_number(key, 8)
 
 
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,9 +166,9 @@ def _spark_sql(text: str, prefix: str) -> str:
     return text.replace("{m}", prefix).replace("DIV", "div")
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored statement rows (long form) for all companies, years and scopes."""
-    lines = ", ".join(
+def _lines() -> str:
+    """SQL for the array of statement lines of one filing."""
+    structs = ", ".join(
         "named_struct("
         f"'keep', {a.when}, 'line', {number}, 'late', {str(a.late).lower()}, 'sj_div', '{a.sj_div}', "
         f"'account_id', '{a.account_id}', 'account_nm', {a.name}, 'account_detail', '{a.detail}', "
@@ -175,7 +176,12 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"'frmtrm_amount', cast({_spark_sql(a.amount, 'p_')} as bigint))"
         for number, a in enumerate(ACCOUNTS, start=1)
     )
-    rows = measures(spark, sf_dir).select("s", "y", "fs_div", F.expr(f"inline(array({lines}))")).filter("keep")
+    return f"filter(array({structs}), line -> line.keep)"
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored statement rows (long form) for all companies, years and scopes."""
+    rows = measures(spark, sf_dir).select("s", "y", "fs_div", F.expr(f"inline({_lines()})"))
     corp = padded_key(F.col("s"))
     return rows.select(
         (
@@ -203,6 +209,43 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One delivered JSON answer per filing, with faults: no data, unreadable amounts, blank names."""
+    s = F.col("s")
+
+    def amount(value):
+        grouped = F.format_number(F.abs(value), 0)
+        negative = F.when(s % 2 == 0, F.concat(F.lit("("), grouped, F.lit(")"))).otherwise(F.concat(F.lit("-"), grouped))
+        return F.when(value.isNull(), "").when(value < 0, negative).otherwise(grouped)
+
+    def raw(line):
+        month = F.when(line["late"], "04").otherwise("03")
+        current = F.when((s % 11 == 3) & (line["line"] == 16), "금액없음").otherwise(amount(line["thstrm_amount"]))
+        name = F.when((s % 12 == 5) & (line["line"] == 11), "  ").otherwise(line["account_nm"])
+        return F.struct(
+            F.concat((F.col("y") + 1).cast("string"), month, padded_key(s)).alias("rcept_no"),
+            F.lit(REPORT_CODE).alias("reprt_code"),
+            F.col("y").cast("string").alias("bsns_year"),
+            padded_key(s).alias("corp_code"),
+            line["sj_div"].alias("sj_div"),
+            line["account_id"].alias("account_id"),
+            name.alias("account_nm"),
+            line["account_detail"].alias("account_detail"),
+            current.alias("thstrm_amount"),
+            amount(line["frmtrm_amount"]).alias("frmtrm_amount"),
+            line["line"].cast("string").alias("ord"),
+            F.lit("KRW").alias("currency"),
+        )
+
+    absent = s % 10 == 9
+    answer = F.struct(
+        F.when(absent, "013").otherwise("000").alias("status"),
+        F.when(absent, "no data").otherwise("ok").alias("message"),
+        F.when(~absent, F.transform(F.expr(_lines()), raw)).alias("list"),
+    )
+    return measures(spark, sf_dir).select(padded_key(s).alias("corp_code"), "fs_div", F.to_json(answer).alias("payload"))
+
+
 def industries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Industry groups (regions) and memberships (suppliers by nation)."""
     groups = table(spark, sf_dir, "region").select(
