@@ -159,7 +159,7 @@ def opinion_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPINION_CLASSIFY = CORPUS + """
 select doc_id, case when not full_report or doc_id % 9 = 1 then 'unknown' when doc_id % 9 = 0 then 'business_report' else 'audit_report' end as document_kind,
-  true as is_report_body, case when full_report then 'ok' else 'not_full_report' end as status,
+  full_report or doc_id % 4 = 0 or doc_id % 3 = 0 as is_report_body, case when full_report then 'ok' else 'not_full_report' end as status,
   case when full_report then opinion_type end as opinion_type, case when full_report then heading end as heading,
   case when full_report then opinion_text end as opinion_text, case when full_report then basis_heading end as basis_heading,
   case when full_report then preface || ' (1) ' || reason_1 || ' (2) ' || reason_2 end as basis_text
@@ -284,7 +284,7 @@ with t as (
   select page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g') as text
   from pages)
 select page_id, trim(regexp_replace(
-  replace(replace(replace(replace(replace(replace(text, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'),
+  replace(replace(replace(replace(replace(text, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
   '\s+', ' ', 'g')) as text
 from t"""
 

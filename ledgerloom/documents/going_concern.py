@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.documents.sections import GOING_CONCERN, candidates, first_section, is_boundary, join_blocks, strip_number
+from ledgerloom.documents.sections import (
+    GOING_CONCERN,
+    NUMBERED_START,
+    candidates,
+    first_section,
+    is_boundary,
+    join_blocks,
+    strip_number,
+)
 from ledgerloom.functions.nested import let
-from ledgerloom.functions.text import squeeze
+from ledgerloom.functions.text import spaced, squeeze
 
 # How opinion sections start and what ends them.
 MODIFIED_BASIS_STARTS = (r"한정\s*의견\s*근거(?:\s|$)", r"부적정\s*의견\s*근거(?:\s|$)", r"의견\s*거절\s*근거(?:\s|$)")
@@ -21,7 +29,7 @@ _PLAIN_HEADINGS = {"".join(h.split()): h for h in GOING_CONCERN.headings}
 
 
 def _starts(text: Column, patterns) -> Column:
-    return strip_number(text).rlike(r"(?U)^(?:" + "|".join(patterns) + ")")
+    return text.rlike(rf"(?U){NUMBERED_START}(?:{'|'.join(patterns)})")
 
 
 def _positions(blocks: Column, test) -> Column:
@@ -34,11 +42,11 @@ def _last_before(positions: Column, index: Column) -> Column:
 
 def mentioned_in_modified_basis(blocks: Column) -> Column:
     """A heading phrase lies between the basis of a modified opinion and the next section."""
-    names = "|".join(_PLAIN_HEADINGS)
+    names = "(?U)" + "|".join(spaced(h) for h in _PLAIN_HEADINGS)
     marks = F.struct(
         _positions(blocks, lambda t: _starts(t, MODIFIED_BASIS_STARTS)).alias("starts"),
         _positions(blocks, lambda t: _starts(t, OPINION_ENDS)).alias("ends"),
-        _positions(blocks, lambda t: squeeze(t).rlike(names)).alias("phrases"),
+        _positions(blocks, lambda t: t.rlike(names)).alias("phrases"),
     )
     return let(
         marks,

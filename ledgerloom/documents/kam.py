@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.documents.sections import join_blocks
 from ledgerloom.functions.nested import let
-from ledgerloom.functions.text import squeeze
+from ledgerloom.functions.text import spaced
 
 TITLE_LIMIT = 120
 
@@ -26,11 +26,7 @@ NUMBERED_TITLE = r"(?U)^\s*(?:\(\d+\)|\d+[.)]|[가-힣][.)])\s+"
 
 
 def _starts_with_any(text: Column, headings) -> Column:
-    plain = squeeze(text)
-    hit = F.lit(False)
-    for heading in headings:
-        hit = hit | plain.startswith("".join(heading.split()))
-    return hit
+    return text.rlike(rf"(?U)^\s*(?:{'|'.join(spaced(h) for h in headings)})")
 
 
 def is_item_title(block: Column) -> Column:
@@ -64,7 +60,7 @@ def key_audit_matters(blocks: Column) -> Column:
 
     A section without titled items is one untitled item.
     """
-    start = F.array_position(F.transform(blocks, lambda b: squeeze(b["text"]).startswith(SECTION_START)), F.lit(True))
+    start = F.array_position(F.transform(blocks, lambda b: _starts_with_any(b["text"], [SECTION_START])), F.lit(True))
 
     def cut(position: Column) -> Column:
         tail = F.slice(blocks, position + 1, F.size(blocks))

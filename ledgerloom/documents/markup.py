@@ -211,13 +211,13 @@ def _decode_batch(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
 
 def parse_markup(html: Column | str) -> Column:
     """``struct(text, blocks, units, inline)`` of a document."""
-    parse = F.pandas_udf(_parse_batch, PARSED, F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+    parse = F.pandas_udf(_parse_batch, PARSED).asNondeterministic()
     return parse(as_column(html))
 
 
 def unescape(text: Column | str) -> Column:
     """Character references to characters."""
-    decode = F.pandas_udf(_unescape_batch, "string", F.PandasUDFType.SCALAR_ITER)
+    decode = F.pandas_udf(_unescape_batch, "string")
     return decode(as_column(text))
 
 
@@ -233,5 +233,5 @@ def charset_of(content_type: Column | str) -> Column:
 
 def decode_bytes(content: Column | str, content_type: Column | str) -> Column:
     """Text of downloaded bytes: declared charset, utf-8, the Korean code pages, then utf-8 with marks."""
-    decode = F.pandas_udf(_decode_batch, "string", F.PandasUDFType.SCALAR_ITER)
+    decode = F.pandas_udf(_decode_batch, "string")
     return decode(as_column(content), charset_of(content_type))

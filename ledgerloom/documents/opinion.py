@@ -113,7 +113,7 @@ def section_after(units: Column, positions: Column, index: Column) -> Column:
 
 
 def _table_like(text: Column) -> Column:
-    lines = F.filter(F.transform(F.split(text, r"\n"), strip), lambda s: s != "")
+    lines = F.filter(F.split(text, r"\n"), lambda s: s != "")
     short = F.filter(lines, lambda s: (s == "-") | s.rlike(r"(?U)^\d+$") | (F.length(s) <= 3))
     return (F.size(lines) > 0) & (F.size(short) / F.size(lines) >= TABLE_SHARE)
 
@@ -174,7 +174,7 @@ def classify(heading: Column, text: Column, basis_heading: Column) -> Column:
     for name, kind in BASIS_KINDS.items():
         if kind in MODIFIED_KINDS:
             basis_kind = F.when(basis_heading == name, kind).otherwise(basis_kind)
-    plain = collapse(text)
+    plain = F.replace(text, F.lit("\n\n"), F.lit(" "))
     return (
         F.when(heading.isin(*MODIFIED_KINDS), heading)
         .when(basis_kind.isNotNull(), basis_kind)
@@ -208,8 +208,13 @@ def split_reason_title(reason: Column) -> Column:
 
 def _first_inner_start(text: Column) -> Column:
     """1-based start of the earliest body; a phrase that first occurs at the very beginning is no start."""
-    found = [F.regexp_instr(text, F.lit(f"(?U){pattern}")) for pattern in REASON_BODY_STARTS]
-    return F.least(*[F.when(position > 1, position) for position in found])
+
+
+    def start(pattern: str) -> Column:
+        parts = F.split(text, f"(?U){pattern}", 2)
+        return let(parts, lambda p: F.when((F.size(p) > 1) & (p[0] != ""), F.length(p[0]) + 1))
+
+    return F.least(*[start(pattern) for pattern in REASON_BODY_STARTS])
 
 
 def opinion(text: Column, units: Column) -> Column:

@@ -11,6 +11,7 @@ from ledgerloom.documents import kam, markup, opinion, sections
 from ledgerloom.documents.going_concern import going_concern
 from ledgerloom.functions.nested import contains_any
 from ledgerloom.functions.text import as_column, safe_file_name, squeeze
+from ledgerloom.session import spread
 
 # Document names by kind, and markers of a full report.
 AUDIT_DOCUMENTS = ("감사보고서", "연결감사보고서")
@@ -93,7 +94,7 @@ def with_file_name(documents: DataFrame, key: str = "rcept_no") -> DataFrame:
 
 def parse(documents: DataFrame, html: str = "html", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Adds ``doc``: text, blocks, units and inline headings. Parse once, then use any section."""
-    return documents.select(*keep, markup.parse_markup(html).alias("doc"))
+    return spread(documents.select(*keep, html), keep[0]).select(*keep, markup.parse_markup(html).alias("doc"))
 
 
 def sections_of(parsed: DataFrame) -> DataFrame:

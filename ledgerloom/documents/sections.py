@@ -8,15 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.nested import let
-from ledgerloom.functions.text import squeeze, strip
+from ledgerloom.functions.text import spaced, squeeze, strip
 
 HEADING_LIMIT = 120
 
 # Numbering that may stand before a heading.
-NUMBER_PREFIX = r"(?U)^\s*(?:\d+[.)]|[가-힣][.)]|\([0-9가-힣]+\))\s*"
-_NUMBER_OPTIONAL = r"^\s*(?:\d+[.)]|[가-힣][.)]|\([0-9가-힣]+\))?\s*"
+NUMBERING = r"(?:\d+[.)]|[가-힣][.)]|\([0-9가-힣]+\))"
+NUMBERED_START = rf"^\s*{NUMBERING}?\s*"
 _DASHES = r"[:：\-–—]"
-_SENTENCE_END = r"[.!?:：]"
+_SENTENCE_END = ".!?:："
 
 _RESPONSIBILITY_BOUNDARIES = (
     r"(?:연결\s*)?재무제표에\s*대한\s*(?:(?:회사|경영진)(?:의)?\s*)?경영진과\s*지배기구의\s*책임",
@@ -91,7 +91,7 @@ GOING_CONCERN = SectionSpec(
 
 
 def strip_number(text: Column) -> Column:
-    return strip(F.regexp_replace(text, NUMBER_PREFIX, ""))
+    return strip(F.regexp_replace(text, rf"(?U)^\s*{NUMBERING}\s*", ""))
 
 
 def join_blocks(texts: Column) -> Column:
@@ -105,41 +105,39 @@ def _any(patterns: tuple[str, ...]) -> str:
 
 
 def _cut_pattern(spec: SectionSpec) -> str:
-    if spec.cut_needs_sentence_end:
-        return rf"(?sU)^(?:\s*|(.*?{_SENTENCE_END})\s*){_any(spec.boundaries)}"
-    return rf"(?sU)^(.*?){_any(spec.boundaries)}"
+    """Boundary anywhere, or only at the start and after the end of a sentence."""
+    before = rf"(?<![^{_SENTENCE_END}])\s*" if spec.cut_needs_sentence_end else ""
+    return rf"(?U){before}{_any(spec.boundaries)}"
 
 
 def cut_text(text: Column, spec: SectionSpec) -> Column:
     """Text before the first boundary inside a block; null when there is none."""
-    pattern = _cut_pattern(spec)
-    return F.when(text.rlike(pattern), strip(F.regexp_extract(text, pattern, 1)))
+    return let(F.split(text, _cut_pattern(spec), 2), lambda parts: F.when(F.size(parts) > 1, strip(parts[0])))
+
+
+# The tests below are single anchored patterns: a long paragraph fails at its first characters.
 
 
 def is_boundary(text: Column, spec: SectionSpec) -> Column:
-    cleaned = strip_number(text)
-    return (F.length(squeeze(cleaned)) <= HEADING_LIMIT) & cleaned.rlike(rf"(?U)^{_any(spec.boundaries)}$")
+    whole = text.rlike(rf"(?U){NUMBERED_START}{_any(spec.boundaries)}\s*$")
+    return whole & (F.length(squeeze(strip_number(text))) <= HEADING_LIMIT)
 
 
 def is_standalone(text: Column, spec: SectionSpec) -> Column:
     """The block is the heading, perhaps numbered or followed by a remark in parentheses."""
-    plain = squeeze(strip_number(text))
-    names = tuple(dict.fromkeys("".join(h.split()) for h in spec.headings))
-    hit = plain.isin(*names)
-    for name in names:
-        hit = hit | plain.startswith(f"{name}(")
-    return hit
+    names = _any(tuple(dict.fromkeys(spaced(h) for h in spec.headings)))
+    return text.rlike(rf"(?U){NUMBERED_START}{names}\s*(?:\(|$)")
 
 
 def inline_heading(text: Column, spec: SectionSpec) -> Column:
     """``struct(heading, body)`` of a block that starts with the heading; null otherwise."""
     names = "|".join(h.replace(" ", r"\s*") for h in sorted(spec.headings, key=len, reverse=True))
     separator = rf"(?:\s*{_DASHES}\s*|\s+)" if spec.blank_separates else rf"\s*{_DASHES}\s*"
-    pattern = rf"(?sU){_NUMBER_OPTIONAL}({names}){separator}(.+)$"
-    body = strip(F.regexp_extract(text, pattern, 2))
-    return F.when(
-        body != "", F.struct(strip(F.regexp_extract(text, pattern, 1)).alias("heading"), body.alias("body"))
+    pattern = rf"(?sU){NUMBERED_START}({names}){separator}(.+)$"
+    found = F.struct(
+        strip(F.regexp_extract(text, pattern, 1)).alias("heading"), strip(F.regexp_extract(text, pattern, 2)).alias("body")
     )
+    return F.when(text.rlike(pattern), let(found, lambda f: F.when(f["body"] != "", f)))
 
 
 def marked_blocks(blocks: Column, spec: SectionSpec) -> Column:
@@ -181,12 +179,11 @@ def candidates(blocks: Column, spec: SectionSpec) -> Column:
 
     def open_at(block: Column, index: Column) -> Column:
         text = block["text"]
-        inline = inline_heading(text, spec)
-        standalone = is_standalone(text, spec)
-        return F.struct(
-            index.alias("ix"),
-            F.when(standalone, text).otherwise(inline["heading"]).alias("heading"),
-            F.when(~standalone, inline["body"]).alias("body"),
+        alone = F.struct(text.alias("heading"), F.lit(None).cast("string").alias("body"))
+        opened = F.when(is_standalone(text, spec), alone).otherwise(inline_heading(text, spec))
+        return let(
+            opened,
+            lambda o: F.struct(index.alias("ix"), o["heading"].alias("heading"), o["body"].alias("body")),
         )
 
     return F.filter(F.transform(blocks, open_at), lambda c: c["heading"].isNotNull())

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # White space as the source data uses it (Unicode spaces and separator controls).
 SPACE = r"[\s\x1c-\x1f]"
 
+SPACE_CHARACTERS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
 # The outline marks that may stand before an account name.
 OUTLINE_MARKS = (
     r"[IVXLCDM]+[.)]",
@@ -31,7 +33,13 @@ def as_column(value: Column | str) -> Column:
 
 
 def strip(value: Column | str) -> Column:
-    return F.regexp_replace(as_column(value), rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    """Both ends trimmed of any white space; ``trim`` alone would only remove U+0020."""
+    return F.btrim(as_column(value), F.lit(SPACE_CHARACTERS))
+
+
+def spaced(name: str) -> str:
+    """Pattern that finds ``name`` with white space anywhere between its characters."""
+    return r"\s*".join(re.escape(c) for c in name if not c.isspace())
 
 
 def clean_text(value: Column | str) -> Column:

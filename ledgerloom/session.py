@@ -38,6 +38,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give heavy per-row work enough tasks when the input has few splits; many splits stay as they are."""
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Persist ``df`` reliably so that later passes see the same rows in the same partitions."""
     ensure_checkpoint_dir(df.sparkSession)
