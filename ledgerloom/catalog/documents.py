@@ -15,6 +15,7 @@ from ledgerloom.documents.going_concern import going_concern
 from ledgerloom.documents.kam import key_audit_matters
 from ledgerloom.documents.sections import EMPHASIS, OTHER_MATTER, extract_section
 from ledgerloom.functions.text import collapse, normalise_charset_tag
+from ledgerloom.sources import viewer
 
 _KIND_HEADINGS = ("감사의견", "한정의견", "부적정의견", "의견거절")
 _BASIS_HEADINGS = ("감사의견근거", "한정의견 근거", "부적정의견근거", "의견거절 근거")
@@ -284,7 +285,7 @@ with t as (
   select page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g') as text
   from pages)
 select page_id, trim(regexp_replace(
-  replace(replace(replace(replace(replace(text, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
+  replace(replace(replace(replace(replace(replace(text, '&copy;', '©'), '&quot;', '"'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
   '\s+', ' ', 'g')) as text
 from t"""
 
@@ -386,6 +387,85 @@ select doc_id, (section - 1)::int as position, max(case when h then t end) as he
   coalesce(string_agg(t, chr(10) || chr(10) order by i) filter (where not h), '') as text
 from s where section > 0 group by doc_id, section"""
 
+def _page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    return star.table(spark, sf_dir, "pages").select("page_id", links.alias("links"))
+
+
+def viewer_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each page written as viewer addresses, script properties and viewer calls, then found again."""
+    receipt = F.lpad(F.col("page_id").cast("string"), 14, "2")
+    number = F.col("page_id").cast("string")
+
+    def written(link: Column, index: Column) -> Column:
+        ele, offset, length = index.cast("string"), (index * 10).cast("string"), F.length(link).cast("string")
+        foreign = F.when(index % 7 == 6, F.lit("9")).otherwise(number)
+        address = F.concat(
+            F.lit('<a href="/report/viewer.do?rcpNo='), receipt, F.lit("&amp;dcmNo="), foreign, F.lit("&amp;eleId="), ele,
+            F.lit("\\u0026offset="), offset, F.lit("&length="), length, F.lit('&dtd=dart3.xsd">x</a>'),
+        )
+        script = F.concat(
+            F.lit("node1['rcpNo'] = '"), receipt, F.lit("'; node1['dcmNo'] = \""), foreign, F.lit("\"; node1.eleId = '"), ele,
+            F.lit("'; node1.offset = "), offset, F.lit("; node1['length'] = '"), length, F.lit("'; node1.dtd = 'dart3.xsd';\n"),
+        )
+        call = F.concat(
+            F.lit("viewDoc('"), receipt, F.lit("', '"), foreign, F.lit("', '"), ele, F.lit("', '"), offset, F.lit("', '"),
+            length, F.lit("', 'dart3.xsd', '')\n"),
+        )
+        return F.when(index % 3 == 0, address).when(index % 3 == 1, script).otherwise(call)
+
+    pages = _page_links(spark, sf_dir).select(
+        receipt.alias("rcept_no"), number.alias("dcm_no"),
+        F.concat(F.lit("<script>"), F.array_join(F.transform("links", written), ""), F.lit("</script>")).alias("html"),
+    )
+    return viewer.in_viewer_order(viewer.viewer_references(pages)).select(
+        "rcept_no", "dcm_no", "ele_id", "offset", "length", "dtd", "url"
+    )
+
+
+VIEWER_REFS = f"""
+with l as (select page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) as ls from pages),
+e as (select page_id, unnest(ls) as link, generate_subscripts(ls, 1) - 1 as i from l),
+r as (
+  select lpad(page_id::varchar, 14, '2') as rcept_no, page_id::varchar as dcm_no, i::varchar as ele_id, (i * 10)::varchar as "offset",
+    length(link)::varchar as length, 'dart3.xsd' as dtd, i, page_id from e)
+select rcept_no, dcm_no, ele_id, "offset", length, dtd,
+  '{viewer.VIEWER_URL}?rcpNo=' || rcept_no || '&dcmNo=' || dcm_no || '&eleId=' || ele_id || '&offset=' || "offset" || '&length=' || length
+  || '&dtd=dart3.xsd' as url
+from r where i % 7 <> 6 or page_id = 9"""
+
+
+def attachment_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each page as the attachment list of a filing."""
+
+    def option(link: Column, index: Column) -> Column:
+        value = F.concat(
+            F.lit("rcpNo="), F.when(index % 2 == 0, F.lit("1&amp;")).otherwise("&amp;"), F.lit("dcmNo="), index.cast("string")
+        )
+        return F.concat(
+            F.lit('<option class="c" value="'), F.when(index % 5 == 4, F.lit("null")).otherwise(value),
+            F.lit('">\n 첨부 <b>'), F.regexp_replace(link, "[^A-Za-z0-9]", ""), F.lit("</b> &amp; 감사보고서</option>"),
+        )
+
+    listed = F.array_join(F.transform("links", option), "")
+    pages = _page_links(spark, sf_dir).select(
+        F.col("page_id").cast("string").alias("rcept_no"),
+        F.concat(
+            F.lit('<select id="other"><option value="dcmNo=0">감사보고서</option></select><select name="s" id="att">'), listed,
+            F.lit("</select>"),
+        ).alias("html"),
+    )
+    return viewer.attachment_options(pages)
+
+
+ATTACHMENT_OPTIONS = """
+with l as (select page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) as ls from pages),
+e as (select page_id, unnest(ls) as link, generate_subscripts(ls, 1) - 1 as i from l)
+select case when i % 2 = 0 then '1' else page_id::varchar end as rcept_no, i::varchar as dcm_no,
+  '첨부 ' || case when regexp_replace(link, '[^A-Za-z0-9]', '', 'g') = '' then '' else regexp_replace(link, '[^A-Za-z0-9]', '', 'g') || ' ' end
+  || '& 감사보고서' as title, i::int as ordinal
+from e where i % 5 <> 4"""
+
 QUERIES = {
     "opinion_classify": (opinion_classify, OPINION_CLASSIFY),
     "reason_split": (reason_split, REASON_SPLIT),
@@ -399,4 +479,6 @@ QUERIES = {
     "charset_decode": (charset_decode, CHARSET_DECODE),
     "assemble_fragments": (assemble_fragments, ASSEMBLE_FRAGMENTS),
     "section_assign": (section_assign, SECTION_ASSIGN),
+    "viewer_refs": (viewer_refs, VIEWER_REFS),
+    "attachment_options": (attachment_options, ATTACHMENT_OPTIONS),
 }

@@ -16,7 +16,9 @@ STATEMENTS = star.statements_sql()
 
 def values(rows: Sequence[tuple], columns: str) -> str:
     def literal(v):
-        return "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+        if v is None or isinstance(v, bool):
+            return {None: "null", True: "true", False: "false"}[v]
+        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
     body = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
     return f"(select * from (values {body}) as t({columns}))"
