@@ -15,6 +15,7 @@ from ledgerloom.documents.going_concern import going_concern
 from ledgerloom.documents.kam import key_audit_matters
 from ledgerloom.documents.sections import EMPHASIS, OTHER_MATTER, extract_section
 from ledgerloom.functions.text import collapse, normalise_charset_tag
+from ledgerloom.session import spread
 from ledgerloom.sources import viewer
 
 _KIND_HEADINGS = ("감사의견", "한정의견", "부적정의견", "의견거절")
@@ -40,7 +41,7 @@ def report_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     letters = F.transform(F.split("text", "\n"), lambda t: collapse(F.regexp_replace(t, "[^A-Za-z ]", " ")))
     lines = F.filter(letters, lambda t: t != "")
-    rows = star.table(spark, sf_dir, "documents").select(
+    rows = spread(star.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
         "doc_id", F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("body"))).alias("lines")
     )
     flat = F.array_join("lines", " ")
@@ -270,7 +271,7 @@ from o"""
 
 # ---- given pages and conversations ---------------------------------------------------------------
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = reports.parse(star.table(spark, sf_dir, "pages"), keep=("page_id",))
+    pages = reports.parse(spread(star.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id"), keep=("page_id",))
     return pages.select("page_id", F.posexplode("doc.blocks").alias("position", "block")).select(
         "page_id", "position", "block.tag", "block.text", "block.bold", "block.leaf"
     )

@@ -188,8 +188,8 @@ def classify(heading: Column, text: Column, basis_heading: Column) -> Column:
 def split_reasons(text: Column) -> Column:
     """Numbered reasons without their numbers; text before the first number is kept."""
     parts = F.split(strip(text), rf"(?U)(?<!\S)(?={REASON_NUMBER})")
-    bare = F.transform(parts, lambda p: strip(F.regexp_replace(strip(p), rf"(?U)^(?:{REASON_NUMBER})\s*", "")))
-    return F.filter(bare, lambda p: p != "")
+    bare = F.transform(F.transform(parts, strip), lambda p: F.regexp_replace(p, rf"(?U)^(?:{REASON_NUMBER})\s*", ""))
+    return F.filter(F.transform(bare, strip), lambda p: p != "")
 
 
 def split_reason_title(reason: Column) -> Column:
@@ -199,8 +199,8 @@ def split_reason_title(reason: Column) -> Column:
         lambda text: let(
             _first_inner_start(text),
             lambda at: F.struct(
-                F.when(at.isNull(), text).otherwise(strip(F.substring(text, F.lit(1), at - 1))).alias("title"),
-                F.when(at.isNull(), "").otherwise(strip(F.substring(text, at, F.length(text)))).alias("body"),
+                F.when(at.isNull(), text).otherwise(let(F.substring(text, F.lit(1), at - 1), strip)).alias("title"),
+                F.when(at.isNull(), "").otherwise(let(F.substring(text, at, F.length(text)), strip)).alias("body"),
             ),
         ),
     )

@@ -91,12 +91,12 @@ GOING_CONCERN = SectionSpec(
 
 
 def strip_number(text: Column) -> Column:
-    return strip(F.regexp_replace(text, rf"(?U)^\s*{NUMBERING}\s*", ""))
+    return let(F.regexp_replace(text, rf"(?U)^\s*{NUMBERING}\s*", ""), strip)
 
 
 def join_blocks(texts: Column) -> Column:
     """Paragraphs joined by an empty line; blanks inside collapse, empty ones are dropped."""
-    tidy = F.transform(texts, lambda t: strip(F.regexp_replace(t, r"[ \t]+", " ")))
+    tidy = F.transform(F.transform(texts, lambda t: F.regexp_replace(t, r"[ \t]+", " ")), strip)
     return F.array_join(F.filter(tidy, lambda t: t != ""), "\n\n")
 
 
@@ -112,7 +112,7 @@ def _cut_pattern(spec: SectionSpec) -> str:
 
 def cut_text(text: Column, spec: SectionSpec) -> Column:
     """Text before the first boundary inside a block; null when there is none."""
-    return let(F.split(text, _cut_pattern(spec), 2), lambda parts: F.when(F.size(parts) > 1, strip(parts[0])))
+    return let(F.split(text, _cut_pattern(spec), 2), lambda parts: F.when(F.size(parts) > 1, let(parts[0], strip)))
 
 
 # The tests below are single anchored patterns: a long paragraph fails at its first characters.
@@ -135,7 +135,8 @@ def inline_heading(text: Column, spec: SectionSpec) -> Column:
     separator = rf"(?:\s*{_DASHES}\s*|\s+)" if spec.blank_separates else rf"\s*{_DASHES}\s*"
     pattern = rf"(?sU){NUMBERED_START}({names}){separator}(.+)$"
     found = F.struct(
-        strip(F.regexp_extract(text, pattern, 1)).alias("heading"), strip(F.regexp_extract(text, pattern, 2)).alias("body")
+        let(F.regexp_extract(text, pattern, 1), strip).alias("heading"),
+        let(F.regexp_extract(text, pattern, 2), strip).alias("body"),
     )
     return F.when(text.rlike(pattern), let(found, lambda f: F.when(f["body"] != "", f)))
 

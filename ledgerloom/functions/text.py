@@ -33,8 +33,14 @@ def as_column(value: Column | str) -> Column:
 
 
 def strip(value: Column | str) -> Column:
-    """Both ends trimmed of any white space; ``trim`` alone would only remove U+0020."""
-    return F.btrim(as_column(value), F.lit(SPACE_CHARACTERS))
+    """Both ends trimmed of any white space; ``trim`` alone would only remove U+0020.
+
+    Most values have nothing to trim: looking at the end characters first is far cheaper than trimming.
+    """
+    text = as_column(value)
+    spaces = list(SPACE_CHARACTERS)
+    padded = F.substring(text, 1, 1).isin(spaces) | F.substring(text, -1, 1).isin(spaces)
+    return F.when(padded, F.btrim(text, F.lit(SPACE_CHARACTERS))).otherwise(text)
 
 
 def spaced(name: str) -> str:
@@ -54,7 +60,7 @@ def squeeze(value: Column | str) -> Column:
 
 def collapse(value: Column | str) -> Column:
     """White-space runs become one blank, ends are trimmed."""
-    return strip(F.regexp_replace(as_column(value), rf"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(as_column(value), rf"(?U){SPACE}+", " "))
 
 
 def account_label(value: Column | str) -> Column:

@@ -33,7 +33,7 @@ def select_general_accounts(statements: DataFrame) -> DataFrame:
     matched = match_accounts(statements, dims.GENERAL_ALIASES, dims.GENERAL_STATEMENTS)
     order = [
         F.col("division_rank").asc(),
-        scope_rank("account_id", "account_nm", "account_detail").asc(),
+        F.when(F.col("account_key").isNotNull(), scope_rank("account_id", "account_nm", "account_detail")).asc(),
         F.col("alias_rank").asc(),
         has_text("account_detail").asc(),
         F.coalesce("account_id", F.lit("")).asc(),

@@ -39,7 +39,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give heavy per-row work enough tasks when the input has few splits; many splits stay as they are."""
+    """Give heavy per-row work enough tasks when a scan has few splits; many splits stay as they are.
+
+    Only for plain scans: asking a plan with shuffles for its partitions would run them.
+    """
     wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= wanted:
         return df

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ledgerloom.functions.amounts import amount_is_bad, parse_amount, parse_order
 from ledgerloom.functions.text import clean_text
 from ledgerloom.operators.quality import required, with_reasons
+from ledgerloom.session import cut_lineage
 
 # The delivered fields and the answer codes.
 TEXT_FIELDS = (
@@ -89,16 +90,21 @@ def ingest(answers: DataFrame, strict: bool = False) -> Ingest:
         parse_order("ord").alias("ord"),
         "reasons",
     )
-    good = typed.filter(F.size("reasons") == 0).drop("reasons")
-    bad = typed.filter(F.size("reasons") > 0)
     if strict:
         message = F.concat(F.lit("invalid statement row: "), F.array_join("reasons", ", "))
-        good = typed.filter(
-            F.when(F.size("reasons") > 0, F.raise_error(message).cast("boolean")).otherwise(True)
-        ).drop("reasons")
+        typed = typed.filter(F.when(F.size("reasons") > 0, F.raise_error(message).cast("boolean")).otherwise(True))
+    good = typed.filter(F.size("reasons") == 0).drop("reasons")
+    bad = typed.filter(F.size("reasons") > 0)
     return Ingest(typed, good, bad, rejected_answers)
 
 
+def settle(result: Ingest) -> Ingest:
+    """The same with the parsed rows written once, for jobs that use them several times."""
+    checked = cut_lineage(result.checked_rows)
+    good = checked.filter(F.size("reasons") == 0).drop("reasons")
+    return Ingest(checked, good, checked.filter(F.size("reasons") > 0), result.rejected_answers)
+
+
 def for_storage(rows: DataFrame) -> DataFrame:
     """Account id and detail are part of the unique key: empty text instead of null."""
     return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("account_id", "account_detail")})
