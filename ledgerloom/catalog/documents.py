@@ -15,6 +15,7 @@ from ledgerloom.documents.going_concern import going_concern
 from ledgerloom.documents.kam import key_audit_matters
 from ledgerloom.documents.sections import EMPHASIS, OTHER_MATTER, extract_section
 from ledgerloom.functions.text import collapse, normalise_charset_tag
+from ledgerloom.operators.select import with_once
 from ledgerloom.session import spread
 from ledgerloom.sources import viewer
 
@@ -171,7 +172,8 @@ from o"""
 def reason_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per reason of a modified opinion, split into title and body."""
     found = _parsed(spark, sf_dir).select("doc_id", opinion.opinion(F.col("doc.text"), F.col("doc.units")).alias("o"))
-    reasons = found.select("doc_id", F.posexplode("o.reasons").alias("position", "reason"))
+    reasons = found.select("doc_id", F.posexplode_outer("o.reasons").alias("position", "reason"))
+    reasons = reasons.filter(F.col("position").isNotNull())
     return reasons.select("doc_id", "position", "reason", opinion.split_reason_title(F.col("reason")).alias("r")).select(
         "doc_id", "position", "reason", "r.title", "r.body"
     )
@@ -187,7 +189,7 @@ select doc_id, 2, reason_2, '둘째 사유', replace(reason_2[7:], nn, ' ') from
 
 
 def kam_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _parsed(spark, sf_dir).select("doc_id", key_audit_matters(F.col("doc.blocks")).alias("k"))
+    found = with_once(_parsed(spark, sf_dir), "k", key_audit_matters(F.col("doc.blocks")))
     present = found.filter(F.col("k").isNotNull())
     return present.select(
         "doc_id", "k.heading", "k.introduction", F.posexplode_outer("k.matters").alias("position", "matter")
@@ -216,7 +218,7 @@ def section_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.lit("other_matter").alias("section"), extract_section(F.col("doc.blocks"), OTHER_MATTER).alias("found")),
         ).alias("sections"),
     )
-    return found.select("doc_id", F.inline("sections")).filter(F.col("found").isNotNull()).select(
+    return found.select("doc_id", F.inline_outer("sections")).filter(F.col("found").isNotNull()).select(
         "doc_id", "section", "found.heading", "found.text"
     )
 
@@ -230,8 +232,8 @@ select doc_id, 'other_matter', '기타사항', case doc_id % 4 when 1 then j els
 
 
 def going_concern_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _parsed(spark, sf_dir).select(
-        "doc_id", going_concern(F.col("doc.blocks"), F.col("doc.inline")).alias("found")
+    found = with_once(
+        _parsed(spark, sf_dir), "found", going_concern(F.col("doc.blocks"), F.col("doc.inline"))
     )
     return found.filter(F.col("found").isNotNull()).select("doc_id", "found.heading", "found.text")
 
@@ -367,7 +369,7 @@ def section_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     positions = opinion.heading_positions(F.col("units"))
     found = rows.withColumn("positions", positions).select(
         "doc_id",
-        F.posexplode(
+        F.posexplode_outer(
             F.transform(
                 "positions",
                 lambda h: F.struct(
@@ -376,7 +378,7 @@ def section_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("position", "s"),
     )
-    return found.select("doc_id", "position", "s.heading", "s.text")
+    return found.filter(F.col("position").isNotNull()).select("doc_id", "position", "s.heading", "s.text")
 
 
 SECTION_ASSIGN = f"""

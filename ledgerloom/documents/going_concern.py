@@ -43,17 +43,19 @@ def _last_before(positions: Column, index: Column) -> Column:
 def mentioned_in_modified_basis(blocks: Column) -> Column:
     """A heading phrase lies between the basis of a modified opinion and the next section."""
     names = "(?U)" + "|".join(spaced(h) for h in _PLAIN_HEADINGS)
-    marks = F.struct(
-        _positions(blocks, lambda t: _starts(t, MODIFIED_BASIS_STARTS)).alias("starts"),
-        _positions(blocks, lambda t: _starts(t, OPINION_ENDS)).alias("ends"),
-        _positions(blocks, lambda t: t.rlike(names)).alias("phrases"),
-    )
-    return let(
-        marks,
-        lambda m: F.exists(
-            m["phrases"], lambda p: _last_before(m["starts"], p) > _last_before(m["ends"], p)
-        ),
-    )
+
+    def inside(starts: Column) -> Column:
+        marks = F.struct(
+            _positions(blocks, lambda t: _starts(t, OPINION_ENDS)).alias("ends"),
+            _positions(blocks, lambda t: t.rlike(names)).alias("phrases"),
+        )
+        return let(
+            marks,
+            lambda m: F.exists(m["phrases"], lambda p: _last_before(starts, p) > _last_before(m["ends"], p)),
+        )
+
+    starts = _positions(blocks, lambda t: _starts(t, MODIFIED_BASIS_STARTS))
+    return let(starts, lambda s: F.when(F.size(s) > 0, inside(s)).otherwise(False))
 
 
 def inline_section(inline: Column) -> Column:
@@ -79,19 +81,21 @@ def inline_section(inline: Column) -> Column:
 
 def block_section(blocks: Column) -> Column:
     """Section headed by a block of its own, outside the opinion and its basis."""
-    marks = F.struct(
-        _positions(blocks, lambda t: _starts(t, OPINION_STARTS)).alias("opens"),
-        _positions(blocks, lambda t: _starts(t, OPINION_ENDS)).alias("ends"),
-        candidates(blocks, GOING_CONCERN).alias("found"),
-    )
-    return let(
-        marks,
-        lambda m: first_section(
-            blocks,
-            F.filter(m["found"], lambda c: _last_before(m["opens"], c["ix"]) <= _last_before(m["ends"], c["ix"])),
-            GOING_CONCERN,
-        ),
-    )
+
+    def outside(found: Column) -> Column:
+        marks = F.struct(
+            _positions(blocks, lambda t: _starts(t, OPINION_STARTS)).alias("opens"),
+            _positions(blocks, lambda t: _starts(t, OPINION_ENDS)).alias("ends"),
+        )
+        return let(
+            marks,
+            lambda m: F.filter(found, lambda c: _last_before(m["opens"], c["ix"]) <= _last_before(m["ends"], c["ix"])),
+        )
+
+    def search(found: Column) -> Column:
+        return F.when(F.size(found) > 0, first_section(blocks, outside(found), GOING_CONCERN))
+
+    return let(candidates(blocks, GOING_CONCERN), search)
 
 
 def going_concern(blocks: Column, inline: Column) -> Column:

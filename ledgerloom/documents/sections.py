@@ -191,22 +191,26 @@ def candidates(blocks: Column, spec: SectionSpec) -> Column:
 
 
 def first_section(blocks: Column, opened: Column, spec: SectionSpec) -> Column:
-    """First candidate with a body; a heading in a table of contents has none."""
-    return let(
-        marked_blocks(blocks, spec),
-        lambda marked: F.get(
-            F.filter(
-                F.transform(
-                    opened,
-                    lambda c: F.struct(
-                        c["heading"].alias("heading"), section_body(marked, c["ix"], c["body"], spec).alias("text")
-                    ),
-                ),
-                lambda s: s["text"] != "",
+    """First candidate with a body; a heading in a table of contents has none.
+
+    Blocks are searched for boundaries only when there is a candidate, and only from the first one on.
+    """
+
+    def read(found: Column, marked: Column) -> Column:
+        start = found[0]["ix"]
+        sections = F.transform(
+            found,
+            lambda c: F.struct(
+                c["heading"].alias("heading"), section_body(marked, c["ix"] - start, c["body"], spec).alias("text")
             ),
-            F.lit(0),
-        ),
-    )
+        )
+        return F.get(F.filter(sections, lambda s: s["text"] != ""), F.lit(0))
+
+    def search(found: Column) -> Column:
+        following = F.slice(blocks, found[0]["ix"] + 1, F.size(blocks))
+        return let(marked_blocks(following, spec), lambda marked: read(found, marked))
+
+    return let(opened, lambda found: F.when(F.size(found) > 0, search(found)))
 
 
 def extract_section(blocks: Column, spec: SectionSpec) -> Column:

@@ -22,6 +22,15 @@ def pick_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return df.withColumn(_RN, F.row_number().over(window)).filter(F.col(_RN) == 1).drop(_RN)
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add an expensive column that is computed exactly once per row.
+
+    A filter on an ordinary column is pushed below the projection and computes the column again. The
+    outer generator keeps its rows and its value where they are.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def scan_order() -> list[Column]:
     """Order in which stored statement rows are read; the last word in every tie."""
     return [

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ledgerloom.functions.amounts import amount_is_bad, parse_amount, parse_order
 from ledgerloom.functions.text import clean_text
 from ledgerloom.operators.quality import required, with_reasons
+from ledgerloom.operators.select import with_once
 from ledgerloom.session import cut_lineage
 
 # The delivered fields and the answer codes.
@@ -51,9 +52,8 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def answers_from_text(payloads: DataFrame, payload: str = "payload", **requested: Column) -> DataFrame:
-    return payloads.withColumn("_answer", F.from_json(payload, ENVELOPE)).select(
-        *[c.alias(n) for n, c in requested.items()], "_answer.*"
-    )
+    raw = payloads.select(*[c.alias(n) for n, c in requested.items()], F.col(payload).alias("_payload"))
+    return with_once(raw, "_answer", F.from_json("_payload", ENVELOPE)).select(*requested, "_answer.*")
 
 
 def split_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +74,8 @@ def ingest(answers: DataFrame, strict: bool = False) -> Ingest:
     ``strict`` fails on the first bad row, as a reader that aborts the whole batch does.
     """
     usable, rejected_answers = split_answers(answers)
-    raw = usable.select(F.col("fs_div").alias("_scope"), F.inline("list"))
+    placed = usable.select(F.col("fs_div").alias("_scope"), F.posexplode_outer("list").alias("_place", "_row"))
+    raw = placed.filter(F.col("_place").isNotNull()).select("_scope", "_row.*")
     checked = with_reasons(
         raw,
         {
