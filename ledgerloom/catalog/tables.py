@@ -124,11 +124,10 @@ INSERT_IF_ABSENT = _LINES + " select * from fresh"
 
 def insert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Received, saved and ignored rows of that insert."""
-    received = _line_rows(spark, sf_dir).filter(F.col("l_partkey") % 2 == 1).agg(F.count(F.lit(1)).alias("received_count"))
-    saved = insert_if_absent(spark, sf_dir).agg(F.count(F.lit(1)).alias("saved_count"))
-    return received.join(F.broadcast(saved)).withColumn(
-        "ignored_count", F.col("received_count") - F.col("saved_count")
-    )
+    received = _line_rows(spark, sf_dir).filter(F.col("l_partkey") % 2 == 1)
+    saved = insert_if_absent(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    counts = received.agg(F.count(F.lit(1)).alias("received_count"), saved.scalar().alias("saved_count"))
+    return counts.withColumn("ignored_count", F.col("received_count") - F.col("saved_count"))
 
 
 INSERT_COUNTS = _LINES + """

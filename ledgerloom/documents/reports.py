@@ -53,12 +53,13 @@ FRAGMENTS_PER_ROW = 10_000
 
 
 def assemble(
-    fragments: DataFrame, keys: Sequence[str], title: str = "title", per_row: int = FRAGMENTS_PER_ROW
+    fragments: DataFrame, keys: Sequence[str], title: str = "title", per_row: int | None = FRAGMENTS_PER_ROW
 ) -> DataFrame:
     """Documents from their viewer fragments (``ele_id``, ``url``, ``html``), in fragment order.
 
     A document with more than ``per_row`` element numbers comes in several ``part`` rows, so that no row
-    has to hold an unbounded number of fragments; ordinary ones are part 0.
+    has to hold an unbounded number of fragments; ordinary ones are part 0. ``per_row=None`` never splits,
+    for readers that need the document in one piece.
     """
     body = F.regexp_extract("html", r"(?is)<body\b[^>]*>(.*?)</body>", 1)
     has_body = F.col("html").rlike(r"(?is)<body\b[^>]*>.*?</body>")
@@ -68,7 +69,7 @@ def assemble(
         F.when(has_body, body).otherwise(F.col("html")), F.lit("\n</section>"),
     )
     parts = (
-        fragments.withColumn("part", F.floor(F.col("ele_id") / per_row).cast("int"))
+        fragments.withColumn("part", F.floor(F.col("ele_id") / per_row).cast("int") if per_row else F.lit(0))
         .groupBy(*keys, "part")
         .agg(
             F.min(title).alias("title"),

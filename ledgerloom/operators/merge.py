@@ -131,8 +131,8 @@ def create_groups(existing: DataFrame, incoming: DataFrame, ordinal: str) -> Dat
         pick_first(fresh, ["industry_code"], [F.col(ordinal).asc()]), ["industry_name"], [F.col(ordinal).asc()]
     )
     numbered = rank_within(unique.withColumn("_all", F.lit(1)), ["_all"], [F.col(ordinal).asc()], out="_step").drop("_all")
-    last = existing.agg(F.coalesce(F.max("industry_id"), F.lit(0)).cast("bigint").alias("_last"))
-    return numbered.join(F.broadcast(last)).withColumn("industry_id", F.col("_last") + F.col("_step")).drop("_last", "_step")
+    last = existing.agg(F.coalesce(F.max("industry_id"), F.lit(0)).cast("bigint").alias("last"))
+    return numbered.withColumn("industry_id", last.scalar() + F.col("_step")).drop("_step")
 
 
 def add_members(existing: DataFrame, incoming: DataFrame) -> DataFrame:

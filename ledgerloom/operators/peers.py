@@ -36,11 +36,11 @@ def unique_peers(peers: DataFrame, ordinal: str) -> DataFrame:
     return pick_first(keyed, ["corp_code"], [F.col(ordinal).asc()]).withColumn("corp_name", name)
 
 
-def change_columns(changes: DataFrame, corporations: DataFrame) -> DataFrame:
+def change_columns(changes: DataFrame) -> DataFrame:
     """One chosen row per (filing, change column).
 
     Rows of an unexpected statement rank last but may still win. Ties follow the order of the stored
-    result: company name, statement, account name, detail.
+    result: statement, account name, detail.
     """
     alias = dims.rows_frame(
         changes.sparkSession, dims.ranked_labels(dims.CHANGE_ALIASES), "column_key string, alias_label string, alias_rank int"
@@ -51,11 +51,7 @@ def change_columns(changes: DataFrame, corporations: DataFrame) -> DataFrame:
             statement = F.when(
                 (F.col("column_key") == key) & (F.col("sj_div") == division), rank
             ).otherwise(statement)
-    matched = (
-        changes.withColumn("alias_label", account_label("account_nm"))
-        .join(alias, "alias_label")
-        .join(corporations.select("corp_code", "corp_name"), "corp_code")
-    )
+    matched = changes.withColumn("alias_label", account_label("account_nm")).join(alias, "alias_label")
     scope = F.when(
         F.col("column_key").isin(*dims.CHANGE_SCOPED), scope_rank("account_id", "account_nm", "account_detail")
     ).otherwise(0)
@@ -64,7 +60,6 @@ def change_columns(changes: DataFrame, corporations: DataFrame) -> DataFrame:
         scope.asc(),
         F.col("alias_rank").asc(),
         has_text("account_detail").asc(),
-        F.col("corp_name").asc(),
         F.col("sj_div").asc(),
         F.col("account_nm").asc(),
         F.col("account_detail").asc(),
@@ -89,7 +84,7 @@ def peer_table(peers: DataFrame, ratios: DataFrame, changes: DataFrame, with_mis
         )
     )
     wide_changes = (
-        change_columns(changes, peers)
+        change_columns(changes.join(chosen, "corp_code", "left_semi"))
         .groupBy(*FILING)
         .agg(*[F.max(F.when(F.col("column_key") == key, F.col("change_rate"))).alias(key) for key in dims.CHANGE_ALIASES])
     )
@@ -154,7 +149,7 @@ def unavailable_companies(peers: DataFrame, statements: DataFrame) -> DataFrame:
     blank = named.filter(F.col("corp_code") == "").withColumn("reason", F.lit("no_corp_code"))
     absent = (
         named.filter(F.col("corp_code") != "")
-        .join(statements.select("corp_code"), "corp_code", "left_anti")
+        .join(statements.select("corp_code").distinct(), "corp_code", "left_anti")
         .withColumn("reason", F.lit("no_statements"))
     )
     return blank.unionByName(absent)

@@ -16,7 +16,7 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def orphans(df: DataFrame, column: str, parents: DataFrame, parent_column: str) -> DataFrame:
     """Rows whose reference is set but unknown."""
-    known = parents.select(F.col(parent_column).alias(column))
+    known = parents.select(F.col(parent_column).alias(column)).distinct()
     return df.filter(F.col(column).isNotNull()).join(known, column, "left_anti")
 
 

@@ -54,9 +54,9 @@ def outcomes(requests: DataFrame, delivered: Ingest, stored: DataFrame) -> DataF
 def outcome_summary(requests: DataFrame, results: DataFrame) -> DataFrame:
     """Requested, unique, succeeded and failed companies."""
     asked = requests.agg(F.count(F.lit(1)).alias("requested_count"))
-    done = results.agg(
+    return results.agg(
+        asked.scalar().alias("requested_count"),
         F.count(F.lit(1)).alias("unique_count"),
         F.count_if("is_success").alias("success_count"),
         F.count_if(~F.col("is_success")).alias("failure_count"),
     )
-    return asked.join(F.broadcast(done))

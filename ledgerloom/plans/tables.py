@@ -41,9 +41,8 @@ def overwrite_partitions(df: DataFrame, path: str) -> None:
 
 
 def touched(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Stored rows in the partitions of ``incoming``; the partition list is tiny, so it prunes the scan."""
-    partitions = incoming.select(*PARTITIONS).distinct()
-    return stored.join(F.broadcast(partitions), PARTITIONS, "left_semi")
+    """Stored rows in the partitions of ``incoming``; the semi-join on partition columns prunes the scan."""
+    return stored.join(incoming.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
 
 
 def upsert_table(
