@@ -394,6 +394,40 @@ select query, count(*) filter (where is_active and (contains(lower(corp_name), l
 from {q.values([(w,) for w in NAME_QUERIES], "query")} left join corp on true group by query"""
 
 
+def ratio_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consolidated annual ratios of the current version, in report order."""
+    results = ratios.general_ratios(star.statements(spark, sf_dir))
+    return search.ratio_view(
+        results, reprt_code=star.REPORT_CODE, fs_div="CFS", calculation_version=dims.GENERAL_VERSION, bsns_year=None
+    ).select(*ratios.FILING, "ratio_code", "ratio_value")
+
+
+RATIO_SCAN = q.STATEMENTS + q.general_ratio_ctes() + f"""
+select {q.FILING}, ratio_code, ratio_value from ratio where fs_div = 'CFS' order by reprt_code, fs_div, ratio_code"""
+
+
+def registry_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active companies by name with the number of their stored statement rows."""
+    listed = search.all_corporations(star.corporations(spark, sf_dir)).select("corp_code", "corp_name", "stock_code")
+    return listed.join(search.row_counts(listed, star.statements(spark, sf_dir)), "corp_code")
+
+
+REGISTRY_LIST = q.STATEMENTS + """
+select c.corp_code, c.corp_name, c.stock_code, count(s.id) as statement_rows
+from corp c left join stmt s using (corp_code) where c.is_active group by all"""
+
+
+def industry_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies of every industry by name."""
+    _, members = star.industries(spark, sf_dir)
+    listed = star.corporations(spark, sf_dir).select("corp_code", "corp_name", "stock_code", "is_active")
+    return search.industry_corporations(members, listed)
+
+
+INDUSTRY_LIST = q.STATEMENTS + """
+select industry_id, corp_code, corp_name, stock_code, is_active from member join corp using (corp_code)"""
+
+
 # ---- filings -------------------------------------------------------------------------------------
 def disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a filing list: company, filing name, receipt date and number."""
@@ -690,6 +724,9 @@ QUERIES = {
     "entity_search": (entity_search, ENTITY_SEARCH),
     "entity_search_router": (entity_search_router, ENTITY_SEARCH_ROUTER),
     "entity_search_count": (entity_search_count, ENTITY_SEARCH_COUNT),
+    "ratio_scan": (ratio_scan, RATIO_SCAN),
+    "registry_list": (registry_list, REGISTRY_LIST),
+    "industry_list": (industry_list, INDUSTRY_LIST),
     "report_match": (report_match, REPORT_MATCH),
     "audit_filing_latest": (audit_filing_latest, AUDIT_FILING_LATEST),
     "attachment_pick": (attachment_pick, ATTACHMENT_PICK),

@@ -97,9 +97,15 @@ def parse(documents: DataFrame, html: str = "html", keep: Sequence[str] = ("doc_
     return documents.select(*keep, markup.parse_markup(html).alias("doc"))
 
 
-def sections_of(parsed: DataFrame) -> DataFrame:
-    """Every section of each parsed document in one row; nothing leaves the row, so nothing is shuffled."""
+def sections_of(parsed: DataFrame, leaf_only: bool = False) -> DataFrame:
+    """Every section of each parsed document in one row; nothing leaves the row, so nothing is shuffled.
+
+    Nested blocks with different text both count, so a body may hold a paragraph twice; ``leaf_only`` keeps
+    the innermost ones.
+    """
     text, blocks = F.col("doc.text"), F.col("doc.blocks")
+    if leaf_only:
+        blocks = F.filter(blocks, lambda b: b["leaf"])
     return parsed.select(
         *[c for c in parsed.columns if c != "doc"],
         is_full_report(text).alias("is_full_report"),

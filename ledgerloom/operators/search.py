@@ -192,3 +192,36 @@ def statement_view(statements: DataFrame, **equals: str | None) -> DataFrame:
 def with_statement_name(statements: DataFrame) -> DataFrame:
     names = dims.rows_frame(statements.sparkSession, list(dims.STATEMENT_NAMES.items()), "sj_div string, statement_name string")
     return statements.join(names, "sj_div", "left")
+
+
+def ratio_view(ratios: DataFrame, **equals: str | None) -> DataFrame:
+    """Stored ratios with any of year, report, scope and version given, in report order."""
+    return statement_view(ratios, **equals).orderBy("reprt_code", "fs_div", "ratio_code")
+
+
+def ratio_lookup(
+    ratios: DataFrame, corp_code: str, bsns_year: str, reprt_code: str, fs_div: str, ratio_code: str, version: str = "v1"
+) -> DataFrame:
+    """The one stored result of a ratio, or nothing."""
+    return statement_view(
+        ratios, corp_code=corp_code, bsns_year=bsns_year, reprt_code=reprt_code, fs_div=fs_div, ratio_code=ratio_code,
+        calculation_version=version,
+    )
+
+
+def all_corporations(corporations: DataFrame, active_only: bool = True) -> DataFrame:
+    return _active(corporations, active_only).orderBy("corp_name", "corp_code")
+
+
+def industry_corporations(members: DataFrame, corporations: DataFrame, industry_id: int | None = None) -> DataFrame:
+    """Companies of one industry, or of every industry, by name."""
+    chosen = members if industry_id is None else members.filter(F.col("industry_id") == industry_id)
+    return chosen.join(corporations, "corp_code").orderBy("industry_id", "corp_name", "corp_code")
+
+
+def row_counts(corporations: DataFrame, statements: DataFrame) -> DataFrame:
+    """Stored rows per company; companies without statements count zero."""
+    stored = statements.groupBy("corp_code").agg(F.count(F.lit(1)).alias("statement_rows"))
+    return corporations.select("corp_code").join(stored, "corp_code", "left").withColumn(
+        "statement_rows", F.coalesce("statement_rows", F.lit(0))
+    )

@@ -18,6 +18,7 @@ def build_session(app_name: str = "ledgerloom", master: str | None = None, **con
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():

@@ -114,3 +114,10 @@ def test_audit_report_job(spark):
     got = {r.corp_code: r for r in jobs.audit_reports(filings, attachments, fragments, "ordinal").collect()}
     assert got["c1"].status == "ok" and got["c1"].opinion.opinion_text == "본문" and got["c1"].dcm_no == "8"
     assert got["c2"].status == "no_attachment"
+
+
+def test_nested_blocks_count_twice_unless_leaf_only(spark):
+    html = "<div>강조사항</div><div><p>하나</p><p>둘</p></div>" + END
+    frame = spark.createDataFrame([("d", html)], "doc_id string, html string")
+    assert reports.sections_of(reports.parse(frame)).first().emphasis.text == "하나 둘\n\n하나\n\n둘"
+    assert reports.sections_of(reports.parse(frame), leaf_only=True).first().emphasis.text == "하나\n\n둘"
