@@ -280,27 +280,26 @@ where not (industry_id = 1 and s_suppkey % 10 = 0) and industry_code <> 'EUROPE'
 
 
 def industry_create(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations and parts' brands offered as new industry groups; taken or blank codes are refused."""
+    """Parts offered as industry groups: codes repeat in pairs, names in triples, some codes are taken or blank."""
     groups, _ = star.industries(spark, sf_dir)
-    nations = star.table(spark, sf_dir, "nation").select(
-        F.concat(F.lit(" nat-"), (F.col("n_nationkey") % 20).cast("string")).alias("industry_code"),
-        F.concat(F.col("n_name"), F.lit(" ")).alias("industry_name"),
-        F.col("n_nationkey").cast("bigint").alias("ordinal"),
+    key = F.col("p_partkey")
+    code = F.when(key % 50 == 1, "africa").otherwise(F.concat(F.lit(" part-"), F.expr("p_partkey div 2").cast("string")))
+    offered = star.table(spark, sf_dir, "part").select(
+        code.alias("industry_code"),
+        F.concat(F.lit("name "), F.expr("p_partkey div 3").cast("string"), F.lit(" ")).alias("industry_name"),
+        key.alias("ordinal"),
     )
-    repeated = groups.select(
-        F.lower("industry_code").alias("industry_code"),
-        F.concat(F.lit("new "), F.col("industry_name")).alias("industry_name"),
-        (F.col("industry_id") + 1000).cast("bigint").alias("ordinal"),
+    blank = offered.withColumns({"industry_code": F.lit("  "), "ordinal": F.col("ordinal") - 1000000000})
+    return merge.create_groups(groups, offered.unionByName(blank), "ordinal").select(
+        "industry_id", "industry_code", "industry_name"
     )
-    blank = nations.withColumns({"industry_code": F.lit("  "), "ordinal": F.col("ordinal") + 2000})
-    offered = nations.unionByName(repeated).unionByName(blank)
-    return merge.create_groups(groups, offered, "ordinal").select("industry_id", "industry_code", "industry_name")
 
 
+# a refused first row of a triple leaves the name to the next one
 INDUSTRY_CREATE = q.STATEMENTS + """
-select (select max(industry_id) from grp) + row_number() over (order by n_nationkey) as industry_id,
-  'NAT-' || (n_nationkey % 20) as industry_code, n_name as industry_name
-from nation where n_nationkey < 20"""
+select (select max(industry_id) from grp) + row_number() over (order by p_partkey) as industry_id,
+  'PART-' || p_partkey // 2 as industry_code, 'name ' || p_partkey // 3 as industry_name
+from part where (p_partkey % 3 = 0 and p_partkey % 50 <> 1) or (p_partkey % 3 = 1 and p_partkey % 50 = 2)"""
 
 
 # ---- constraints ---------------------------------------------------------------------------------

@@ -72,6 +72,12 @@ class _Reader(HTMLParser):
         self._flush()
         self._unit(data)
 
+    def unknown_decl(self, data):
+        if data.startswith("CDATA["):
+            self._flush()
+            self.data.append(data.removeprefix("CDATA["))
+            self._flush()
+
     def _flush(self):
         if not self.data:
             return

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import corp_key, has_text, strip
 from ledgerloom.operators.select import pick_first, rank_within
+from ledgerloom.session import cut_lineage
 
 STATEMENT_KEY = ["rcept_no", "fs_div", "sj_div", "account_id", "account_nm", "account_detail", "ord"]
 RATIO_KEY = ["corp_code", "bsns_year", "reprt_code", "fs_div", "ratio_code", "calculation_version"]
@@ -117,7 +118,9 @@ def delete_rows(table: DataFrame, condition: Column) -> DataFrame:
 def create_groups(existing: DataFrame, incoming: DataFrame, ordinal: str) -> DataFrame:
     """New industry groups: code trimmed and upper-cased, name trimmed, both unique; ids continue upwards.
 
-    Rejected rows (blank, or a code or name already taken) are simply not returned.
+    Rows count in the order of ``ordinal``: one is refused when it is blank or its code or name is taken by
+    a stored group or an accepted earlier row. Each round accepts the rows that nothing before them can
+    refuse and drops what they refuse; batches need few rounds.
     """
     cleaned = (
         incoming.withColumn("industry_code", F.upper(strip("industry_code")))
@@ -127,9 +130,20 @@ def create_groups(existing: DataFrame, incoming: DataFrame, ordinal: str) -> Dat
     fresh = cleaned.join(existing.select("industry_code"), "industry_code", "left_anti").join(
         existing.select("industry_name"), "industry_name", "left_anti"
     )
-    unique = pick_first(
-        pick_first(fresh, ["industry_code"], [F.col(ordinal).asc()]), ["industry_name"], [F.col(ordinal).asc()]
-    )
+    waiting, unique = cut_lineage(fresh), None
+    while not waiting.isEmpty():
+        by_code = waiting.groupBy("industry_code").agg(F.min(ordinal).alias("_code_first"))
+        by_name = waiting.groupBy("industry_name").agg(F.min(ordinal).alias("_name_first"))
+        marked = waiting.join(by_code, "industry_code").join(by_name, "industry_name")
+        first = (F.col(ordinal) == F.col("_code_first")) & (F.col(ordinal) == F.col("_name_first"))
+        accepted = cut_lineage(marked.filter(first).select(*waiting.columns))
+        unique = accepted if unique is None else unique.unionByName(accepted)
+        waiting = cut_lineage(
+            waiting.join(accepted.select("industry_code"), "industry_code", "left_anti").join(
+                accepted.select("industry_name"), "industry_name", "left_anti"
+            )
+        )
+    unique = fresh.limit(0) if unique is None else unique
     numbered = rank_within(unique.withColumn("_all", F.lit(1)), ["_all"], [F.col(ordinal).asc()], out="_step").drop("_all")
     last = existing.agg(F.coalesce(F.max("industry_id"), F.lit(0)).cast("bigint").alias("last"))
     return numbered.withColumn("industry_id", last.scalar() + F.col("_step")).drop("_step")

@@ -173,7 +173,7 @@ def test_disclosure_pages(spark, tmp_path):
 
 def test_industry_groups(spark):
     groups = spark.createDataFrame([(1, "BANK", "은행")], "industry_id bigint, industry_code string, industry_name string")
-    offered = spark.createDataFrame([(" bank ", "다른", 1), ("it", " 소프트 ", 2), ("IT", "중복", 3), (" ", "빈", 4), ("car", "은행", 5), ("car", "자동차", 6)],
+    offered = spark.createDataFrame([(" bank ", "다른", 1), ("it", " 소프트 ", 2), ("IT", "중복", 3), (" ", "빈", 4), ("car", "소프트", 5), ("car", "자동차", 6)],
                                     "industry_code string, industry_name string, o bigint")
     made = [tuple(r) for r in merge.create_groups(groups, offered, "o").select("industry_id", "industry_code", "industry_name").orderBy("industry_id").collect()]
     assert made == [(2, "IT", "소프트"), (3, "CAR", "자동차")]
