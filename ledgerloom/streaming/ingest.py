@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerloom.plans.jobs import Store, sync_statements
 from ledgerloom.sources.statements import ENVELOPE
@@ -11,7 +12,7 @@ from ledgerloom.sources.statements import ENVELOPE
 
 def stream_answers(spark: SparkSession, landing: str, files_per_batch: int = 1000) -> DataFrame:
     """Answers as they land; the requested scope is the ``fs_div=`` folder."""
-    schema = ENVELOPE.add("fs_div", "string")
+    schema = StructType([*ENVELOPE.fields, StructField("fs_div", StringType())])
     return (
         spark.readStream.schema(schema)
         .option("multiLine", True)
