@@ -636,7 +636,8 @@ def _delivered(spark: SparkSession, sf_dir: str) -> delivered.Ingest:
     answers = delivered.answers_from_text(
         star.payloads(spark, sf_dir), corp_code=F.col("corp_code"), fs_div=F.col("fs_div")
     )
-    return delivered.ingest(answers)
+    # parsed once and written, since the rows are used several times below
+    return delivered.settle(delivered.ingest(answers))
 
 
 def statement_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
