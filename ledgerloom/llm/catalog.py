@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("token_counts",)
+MODULES = ("token_counts", "packing", "token_files")
 
 
 def llm_queries() -> dict:
