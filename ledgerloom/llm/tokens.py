@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,9 +30,19 @@ class ChunkEncoder:
     """Encodes columns of texts; keeps the ids of chunks it has seen."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self._start(Tokenizer.from_file(path), chunk_lists)
+
+    @classmethod
+    def of_json(cls, definition: str, chunks: Callable) -> ChunkEncoder:
+        """Of a tokenizer's definition and the function that cuts texts into chunks."""
+        made = cls.__new__(cls)
+        made._start(Tokenizer.from_str(definition), chunks)
+        return made
+
+    def _start(self, tokenizer: Tokenizer, chunks: Callable):
+        self.tokenizer, self.chunks = tokenizer, chunks
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
         self._reset()
 
     def _reset(self):
@@ -66,7 +78,7 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other and the number of ids of each text; ``end_id`` follows every text."""
-        chunks, begins = chunk_lists(texts)
+        chunks, begins = self.chunks(texts)
         coded = chunks.dictionary_encode()
         places = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
         sizes = self.sizes[places]
