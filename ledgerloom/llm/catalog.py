@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("block_search", "token_counts", "packing", "token_files", "byte_bpe")
+MODULES = ("block_search", "token_counts", "packing", "token_files", "secrets", "byte_bpe")
 
 
 def llm_queries() -> dict:
