@@ -11,6 +11,7 @@ Null text: empty, no ids. Repeated rows: a row each. Empty table: no rows. Other
 from __future__ import annotations
 
 import base64
+import functools
 import json
 from collections.abc import Callable, Iterator
 
@@ -19,6 +20,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ledgerloom.llm.common import buffers, spread_ranges, table, text_columns, text_slices
 from ledgerloom.llm.tokens import ChunkEncoder
@@ -108,6 +110,12 @@ class TokenBytes:
         return self.data[spread_ranges(self.starts[ids], self.sizes[ids])]
 
 
+@functools.cache
+def rank_encoder(path: str, pattern: str) -> ChunkEncoder:
+    """The encoder of a rank file; tasks that follow each other in a worker share it."""
+    return ChunkEncoder(Tokenizer.from_str(library_json(read_ranks(path), pattern)), spaced_chunks, separator=None)
+
+
 def character_offsets(text_bytes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last-plus-one character of consecutive tokens with ``sizes`` bytes; a split character counts for all its tokens."""
     character = np.cumsum((text_bytes & 0xC0) != 0x80)
@@ -129,7 +137,7 @@ def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> D
     names = ["doc_id", "ids"] + ["starts", "ends"] * offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder.of_json(library_json(read_ranks(path), pattern), spaced_chunks)
+        encoder = rank_encoder(path, pattern)
         tokens = TokenBytes(encoder.tokenizer.get_vocab()) if offsets else None
         for batch in batches:
             for part in text_slices(batch, "text", SLICE_BYTES):

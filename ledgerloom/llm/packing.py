@@ -1,9 +1,9 @@
 """Packing of documents into windows by multiway differencing.
 
-A document's ids (with its end id) are cut at every full window; those pieces fill a window of their own. The shorter
-rests are packed in groups: partial partitions of a group into m windows are merged, always the two with the largest
+A document's ids (with its end id) are cut at every full window; those pieces fill a window of their own. The rest is cut
+at every quarter of a window, as small parts balance better, and packed in groups: partial partitions of a group into m windows are merged, always the two with the largest
 spread, the largest sum of one with the smallest of the other, until one partition is left. If a window exceeds the
-capacity, m rises by one and the group starts anew. A group holds at most ``GROUP_PIECES`` rests of one task, so
+capacity, m rises by one and the group starts anew. A group holds ``GROUP_PIECES`` parts of one task and the rest of a document more at most, so
 nothing is shuffled and memory does not depend on the input.
 
 Null or empty text: its end id alone. Repeated rows: each is packed. Empty table: no rows. Other columns are not read.
@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import table, text_columns, text_slices
-from ledgerloom.llm.tokens import ChunkEncoder
+from ledgerloom.llm.tokens import file_encoder
 
-#: Ids in a window, end id of a document, rests packed together, bytes of text encoded at once.
-WINDOW, END_ID, GROUP_PIECES, SLICE_BYTES = 2048, 1, 512, 8 << 20
+#: Ids in a window, end id of a document, parts packed together, bytes of text encoded at once.
+WINDOW, END_ID, GROUP_PIECES, SLICE_BYTES = 2048, 1, 1024, 8 << 20
 
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -84,7 +84,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     """A row per piece with its ids (little-endian unsigned 32-bit) and its place in a sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder, part_ids = file_encoder(path), max(1, window // 4)
         next_sequence = TaskContext.get().partitionId() << 40
         waiting: list[tuple] = []
 
@@ -114,10 +114,11 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
                 begins = np.cumsum(lengths) - lengths
                 out: list[tuple] = []
                 for doc_id, begin, total in zip(part.column(0).to_pylist(), begins.tolist(), lengths.tolist()):
-                    for start in range(0, total, window):
-                        length = min(window, total - start)
+                    full = total - total % window
+                    for start in (*range(0, full, window), *range(full, total, part_ids)):
+                        length = window if start < full else min(part_ids, total - start)
                         piece = (doc_id, start, length, ids[begin + start : begin + start + length].tobytes(), total)
-                        if length == window:
+                        if start < full:
                             out.append((*piece, next_sequence, 0))
                             next_sequence += 1
                         else:

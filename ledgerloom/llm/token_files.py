@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import rans
 from ledgerloom.llm.common import new_folder, table, text_columns, text_slices, written
-from ledgerloom.llm.tokens import ChunkEncoder
+from ledgerloom.llm.tokens import file_encoder
 
 MAGIC = b"LLTOKEN1"
 #: Ids in a file before the next begins, end id of a document, bytes of text encoded at once.
@@ -94,7 +94,7 @@ def write_files(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        encoder = ChunkEncoder(path)
+        encoder = file_encoder(path)
         target, root = fs.FileSystem.from_uri(folder)
         doc_ids, lengths, ids, seq = [], [], [], 0
 

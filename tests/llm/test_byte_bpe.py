@@ -8,7 +8,6 @@ import pytest
 import tiktoken
 
 from ledgerloom.llm import byte_bpe as op
-from ledgerloom.llm.tokens import ChunkEncoder
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -48,7 +47,7 @@ def test_odd_texts_and_offsets(spark, odd_docs, no_docs, library):
 
 
 def test_random_texts_with_every_kind_of_white_space(library):
-    encoder = ChunkEncoder.of_json(op.library_json(op.read_ranks(PATH), PATTERN), op.spaced_chunks)
+    encoder = op.rank_encoder(PATH, PATTERN)
     draw = random.Random(3)
     alphabet = list("ab Z'sdé9 \n\t\x0b\x1c\x85\xa0   　日本-!́🙂ß ")
     texts = ["".join(draw.choices(alphabet, k=draw.randint(0, 40))) for _ in range(4000)]
