@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("block_search", "token_counts", "packing", "token_files", "secrets", "byte_bpe")
+MODULES = (
+    "block_search", "token_counts", "packing", "token_files", "jaccard", "secrets", "byte_bpe",
+)
 
 
 def llm_queries() -> dict:
