@@ -11,6 +11,7 @@ Null text: empty, 0 tokens. Repeated rows: a result row each. Empty table: no ro
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -73,13 +74,19 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
             for part in text_slices(batch, "text", BLOCK_BYTES):
                 chunks, begins = chunk_lists(part.column(1))
                 coded = chunks.dictionary_encode()
-                of_chunk = [split.of_chunk(chunk) for chunk in coded.dictionary.to_pylist()]
-                words = sorted({word for one in of_chunk for word in one})
-                code = {word: i for i, word in enumerate(words)}
-                sizes = np.fromiter(map(len, of_chunk), np.int64, len(of_chunk))
-                flat = np.fromiter((code[word] for one in of_chunk for word in one), np.int64, int(sizes.sum()))
+                # numbers in order of appearance first: no list of lists of words is held
+                code: dict[str, int] = {}
+                flat, sizes = array("i"), array("i")
+                for chunk in coded.dictionary.to_pylist():
+                    found = [code.setdefault(word, len(code)) for word in split.of_chunk(chunk)]
+                    flat.extend(found)
+                    sizes.append(len(found))
+                words = sorted(code)
+                rank = np.empty(len(words), np.int64)
+                rank[np.fromiter(map(code.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+                flat, sizes = rank[np.frombuffer(flat, np.int32)], np.frombuffer(sizes, np.int32).astype(np.int64)
                 at = coded.indices.to_numpy(zero_copy_only=False)
-                del chunks, coded, of_chunk, code
+                del chunks, coded, code, rank
                 codes = flat[spread_ranges((np.cumsum(sizes) - sizes)[at], sizes[at])]
                 ends = np.concatenate(([0], np.cumsum(sizes[at])))
                 codes |= np.repeat(np.arange(part.num_rows), np.diff(ends[begins])) << PLACE_BITS
@@ -101,6 +108,8 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
                     names=[field.split()[0] for field in _BLOCKS.split(", ")],
                 )
                 seq += 1
+                del part, codes, flat, sizes, at, pairs, counts, words
+                pa.default_memory_pool().release_unused()
 
     return text_columns(docs).mapInArrow(run, _BLOCKS)
 
