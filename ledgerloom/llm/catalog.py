@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
-    "block_search", "quality", "token_counts", "packing", "token_files", "language", "jaccard", "secrets", "byte_bpe",
+    "block_search", "quality", "token_counts", "packing", "token_files", "warc", "language", "jaccard", "secrets", "byte_bpe",
 )
 
 
