@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import lists, table, text_columns, text_slices, written
@@ -219,6 +219,15 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     )
 
 
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of every component, that of its smallest id, with all columns; rows without id stay."""
+    kept = join(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("\x00id")).distinct()
+    first = Window.partitionBy("\x00id").orderBy(F.xxhash64("text"))
+    # the join already sorts by id; an id has more than one row only where the table repeats it
+    named = docs.join(kept, F.col("doc_id") == F.col("\x00id")).withColumn("\x00n", F.row_number().over(first))
+    return named.where(F.col("\x00n") == 1).select(*docs.columns).union(docs.where("doc_id is null"))
+
+
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 

@@ -22,11 +22,13 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.common import buffers, table, text_slices
 
-#: Size of a state, bytes of a training window, windows per label, passes over them, windows in a step, step size.
-HIDDEN, STEPS, PER_LABEL, EPOCHS, BATCH, RATE = 8, 96, 512, 12, 128, 0.02
+#: Size of a state, bytes of a training window, windows per label, training steps, windows in a step, step size.
+HIDDEN, STEPS, PER_LABEL, UPDATES, BATCH, RATE = 8, 96, 512, 240, 128, 0.02
 #: Bytes of a stretch, stretches computed side by side, bytes of text handled at once.
 STRETCH, LANES, SLICE_BYTES = 128, 2048, 8 << 20
 UNKNOWN = "und"
+#: A filter rejects texts whose best label has a smaller mean probability.
+LEAST_SCORE = 0.4
 
 
 def held_out(doc_id: Column) -> Column:
@@ -164,8 +166,8 @@ class Network:
         return sums / np.maximum(sizes, 1)[:, None]
 
 
-def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 1) -> Network:
-    """A network fitted to (label, text) by Adam steps over shuffled windows."""
+def train(sample: list[tuple[str, str]], updates: int = UPDATES, seed: int = 1) -> Network:
+    """A network fitted to (label, text) by Adam steps; every step draws as many windows of each label."""
     labels = sorted({label for label, _ in sample})
     net = Network(labels, seed)
     windows = [text.encode()[:STEPS] for _, text in sample]
@@ -174,19 +176,14 @@ def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 1) ->
     for row, window in zip(data, windows):
         row[: len(window)] = np.frombuffer(window, np.uint8)
     target = np.array([labels.index(label) for label, _ in sample], np.int64)
-    # windows of rare labels are drawn as often as those of frequent ones
     draw = np.random.default_rng(seed)
-    most = int(np.bincount(target).max()) if len(target) else 0
+    own = [np.flatnonzero(target == k) for k in range(len(labels))]
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step = 0
-    for epoch in range(epochs if len(labels) > 1 else 0):
-        chosen = np.concatenate([draw.choice(np.flatnonzero(target == k), most) for k in range(len(labels))])
-        draw.shuffle(chosen)
-        rate = RATE * (1 - epoch / epochs)
-        for first in range(0, len(chosen), BATCH):
-            some = chosen[first : first + BATCH]
+    if len(labels) > 1:
+        for step in range(1, updates + 1):
+            some = np.concatenate([draw.choice(rows, -(-BATCH // len(labels))) for rows in own])
+            rate = RATE * (1 - (step - 1) / updates)
             _, gradient = net.gradient(data[some], sizes[some], target[some])
-            step += 1
             norm = np.sqrt(sum(float((g * g).sum()) for g in gradient.values()))
             for k, g in gradient.items():
                 g = g / max(1.0, norm)
@@ -224,6 +221,12 @@ def predict(docs: DataFrame, net: Network, label: str = "lang_pred", score: str
     return rows.mapInArrow(run, schema)
 
 
+def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised, with all their columns."""
+    found = predict(docs, fit(docs), "\x00label", "\x00score")
+    return found.where((F.col("\x00label") != UNKNOWN) & (F.col("\x00score") >= least)).select(*docs.columns)
+
+
 def op7_language(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predict(docs.select("doc_id", "text"), fit(docs))

@@ -31,21 +31,21 @@ SPACE = r"[\x20\x09-\x0D]+"
 PIECES = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of (doc_id, text).
+def base_counts(docs: DataFrame, *carried: str) -> DataFrame:
+    """``carried``, text, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of every row.
 
     Hashes of all windows are sorted with their places; equal neighbours mark places. In order of place a marked window
     adds the words that the marked one before it does not cover. Most texts repeat no window and are not sorted.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.select("doc_id", "text", F.array_remove(F.split(text, SPACE), "").alias("w"), lines.alias("l"))
+    rows = docs.select(*carried, "text", F.array_remove(F.split(text, SPACE), "").alias("w"), lines.alias("l"))
     windows = F.when(
         F.size("w") >= WINDOW,
         F.transform(F.sequence(F.lit(1), F.size("w") - WINDOW + 1), lambda i: F.xxhash64(F.slice("w", i, F.lit(WINDOW)))),
     ).otherwise(F.array().cast("array<bigint>"))
     rows = rows.select(
-        "doc_id", "text", F.size("w").cast("long").alias("n_words"),
+        *carried, "text", F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
@@ -109,16 +109,22 @@ def scored(docs: DataFrame, ratios: list[float], *columns: str) -> DataFrame:
     return with_once(grams(docs, *columns), "ratio", ratio).drop("b")
 
 
-def judge(docs: DataFrame, ratios: list[float]) -> DataFrame:
-    """Base counts, ``base_failed``, ``ratio`` and ``kept`` of every row."""
-    counted = base_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    columns = [c for c in counted.columns if c != "text"]
+def judge(docs: DataFrame, ratios: list[float], *carried: str) -> DataFrame:
+    """``carried`` columns (doc_id if none), base counts, ``base_failed``, ``ratio`` and ``kept`` of every row."""
+    carried = carried or ("doc_id",)
+    counted = base_counts(docs.withColumn("text", F.col("text").cast("string")).select(*carried, "text"), *carried)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return scored(counted, ratios, *columns).withColumn("base_failed", failed).withColumn(
+    return scored(counted, ratios, *(c for c in counted.columns if c != "text")).withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.round("ratio", 9) >= THRESHOLD)
     )
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    whole = docs.select(F.struct("*").alias("whole"), "text")
+    return judge(whole, fit(docs, labels), "whole").where("kept").select("whole.*")
+
+
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge(docs, fit(docs, table(spark, sf_dir, "labels"))).select(
