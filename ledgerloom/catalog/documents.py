@@ -1,6 +1,6 @@
 """Queries over documents: a report corpus built from ``documents`` with known answers, and the given pages.
 
-Each document's whole text, reduced to letters, becomes the paragraphs of an audit report whose sections
+Each document's whole text, escaped line by line, becomes the paragraphs of an audit report whose sections
 vary with the document number. The oracles compute the expected sections from number and text alone.
 """
 
@@ -40,8 +40,7 @@ def _pick(index: Column, choices) -> Column:
 def report_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, title, html)``: one audit report per document."""
     doc = F.col("doc_id")
-    letters = F.transform(F.split("text", "\n"), lambda t: collapse(F.regexp_replace(t, "[^A-Za-z ]", " ")))
-    lines = F.filter(letters, lambda t: t != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda t: reports.escape_html(collapse(t))), lambda t: t != "")
     rows = spread(star.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
         "doc_id", F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("body"))).alias("lines")
     )
@@ -122,10 +121,10 @@ def report_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CASES = " ".join(f"when {i} then '{s}'" for i, s in enumerate(_SENTENCES))
 _HEADS = " ".join(f"when {i} then '{s}'" for i, s in enumerate(_KIND_HEADINGS))
-CORPUS = f"""
+CORPUS = rf"""
 with l as (
   select doc_id, list_filter(list_transform(string_split(text, chr(10)),
-    lambda x: trim(regexp_replace(regexp_replace(x, '[^A-Za-z ]', ' ', 'g'), ' +', ' ', 'g'))), lambda x: x <> '') as ls
+    lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as ls
   from documents),
 d as (
   select doc_id, case when len(ls) = 0 then 'body' else array_to_string(ls, chr(10) || chr(10)) end as j,
@@ -140,7 +139,12 @@ o as (
       when doc_id % 16 = 8 then '의견거절' else '적정의견' end as opinion_type,
     case when doc_id % 5 = 2 and g <> 4 then '근거' || nn else '' end || '근거 서문' as preface,
     '첫째 ' || f as reason_1, '둘째 사유 회사는 ' || f || case when g = 4 then nn || '계속기업 관련 중요한 불확실성 참조' else '' end as reason_2
-  from d)"""
+  from d),
+m as (
+  select doc_id, list_filter(list_transform(string_split(
+    regexp_replace(preface || ' (1) ' || reason_1 || ' (2) ' || reason_2, '(^|\s)({opinion.REASON_NUMBER})', '\1' || chr(1) || '\2', 'g'), chr(1)),
+    lambda x: trim(regexp_replace(trim(x, ' ' || chr(10)), '^(?:{opinion.REASON_NUMBER})\s*', ''), ' ' || chr(10))), lambda x: x <> '') as reasons
+  from o where full_report and opinion_type <> '적정의견')"""
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,13 +183,12 @@ def reason_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REASON_SPLIT = CORPUS + """
-select doc_id, 0::int as position, preface as reason, replace(preface, nn, ' ') as title, '' as body
-from o where full_report and opinion_type <> '적정의견'
-union all
-select doc_id, 1, reason_1, reason_1, '' from o where full_report and opinion_type <> '적정의견'
-union all
-select doc_id, 2, reason_2, '둘째 사유', replace(reason_2[7:], nn, ' ') from o where full_report and opinion_type <> '적정의견'"""
+REASON_SPLIT = CORPUS + """,
+r as (select doc_id, unnest(reasons) as reason, generate_subscripts(reasons, 1) as i from m),
+t as (select *, replace(reason, chr(10) || chr(10), ' ') as line, strpos(replace(reason, chr(10) || chr(10), ' '), '회사는') as place from r)
+select doc_id, (i - 1)::int as position, reason, case when place > 1 then trim(line[:place - 1]) else line end as title,
+  case when place > 1 then trim(line[place:]) else '' end as body
+from t"""
 
 
 def kam_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +266,7 @@ def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 AUDIT_SUMMARY = CORPUS + """
 select doc_id, full_report as is_full_report, case when full_report then 'ok' else 'not_full_report' end as status,
   case when full_report then opinion_type end as opinion_type,
-  (case when full_report and opinion_type <> '적정의견' then 3 else 0 end)::int as reason_count,
+  coalesce((select len(reasons) from m where m.doc_id = o.doc_id), 0)::int as reason_count,
   (case doc_id % 6 when 0 then -1 when 2 then 2 when 5 then 0 else 1 end)::int as matter_count,
   (case doc_id % 5 when 0 then null when 2 then length(j) + 12 when 3 then length(j) else length(f) end)::int as emphasis_chars,
   (case doc_id % 4 when 1 then length(j) when 2 then length(f) end)::int as other_matter_chars,
