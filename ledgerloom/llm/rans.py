@@ -18,7 +18,9 @@ _32, _MASK = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Symbols that occur, their frequencies scaled to a power of two (1 at least), and its number of bits."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids, minlength=1)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     bits = max(16, int(len(symbols)).bit_length() + 2)
     total = 1 << bits
     scaled = np.maximum(1, counts * total // max(1, int(counts.sum()))).astype(np.int64)
@@ -43,7 +45,10 @@ def encode_blocks(ids: np.ndarray, symbols: np.ndarray, freqs: np.ndarray, bits:
     if n_blocks:
         sizes[-1] = len(ids) - (n_blocks - 1) * BLOCK_IDS
     code = np.zeros(n_blocks * BLOCK_IDS, np.int64)
-    code[: len(ids)] = np.searchsorted(symbols, ids)
+    if len(ids):
+        of_symbol = np.zeros(int(symbols[-1]) + 1, np.int64)
+        of_symbol[symbols] = np.arange(len(symbols))
+        code[: len(ids)] = of_symbol[ids]
     code = code.reshape(n_blocks, steps, LANES)
     starts = np.concatenate(([0], np.cumsum(freqs, dtype=np.uint64)))[:-1].astype(np.uint64)
     freqs = freqs.astype(np.uint64)
