@@ -25,8 +25,8 @@ from tokenizers import Tokenizer
 from ledgerloom.llm.common import buffers, spread_ranges, table, text_columns, text_slices
 from ledgerloom.llm.tokens import ChunkEncoder
 
-#: Bytes of text encoded or decoded at once.
-SLICE_BYTES = 8 << 20
+#: Bytes of text encoded and of ids decoded at once, and chunks that a worker keeps: a task has two workers.
+SLICE_BYTES, ID_BYTES, CACHE_CHUNKS = 4 << 20, 2 << 20, 300_000
 
 
 def byte_characters() -> list[str]:
@@ -113,7 +113,7 @@ class TokenBytes:
 @functools.cache
 def rank_encoder(path: str, pattern: str) -> ChunkEncoder:
     """The encoder of a rank file; tasks that follow each other in a worker share it."""
-    return ChunkEncoder(Tokenizer.from_str(library_json(read_ranks(path), pattern)), spaced_chunks, separator=None)
+    return ChunkEncoder(Tokenizer.from_str(library_json(read_ranks(path), pattern)), spaced_chunks, None, CACHE_CHUNKS)
 
 
 def character_offsets(text_bytes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +169,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         ranks = read_ranks(path)
         tokens = TokenBytes({"".join(map(BYTE_CHARS.__getitem__, t)): r for t, r in ranks.items()})
         for batch in batches:
-            for part in text_slices(batch, "ids", SLICE_BYTES):
+            for part in text_slices(batch, "ids", ID_BYTES):
                 raw, at = buffers(part.column(1))
                 ids = np.frombuffer(raw.tobytes(), "<u4")
                 ends = np.concatenate(([0], np.cumsum(tokens.sizes[ids])))[at // 4].astype(np.int32)

@@ -32,9 +32,10 @@ def chunk_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class ChunkEncoder:
     """Encodes columns of texts; keeps the ids of chunks it has seen."""
 
-    def __init__(self, tokenizer: Tokenizer, chunks: Callable = chunk_lists, separator: str | None = "\n"):
+    def __init__(self, tokenizer: Tokenizer, chunks: Callable = chunk_lists, separator: str | None = "\n",
+                 most_chunks: int = CACHE_CHUNKS):
         """``chunks`` cuts texts; chunks joined by ``separator`` must have their own ids one after the other."""
-        self.tokenizer, self.chunks, self.separator = tokenizer, chunks, separator
+        self.tokenizer, self.chunks, self.separator, self.most_chunks = tokenizer, chunks, separator, most_chunks
         tokenizer.no_truncation()
         tokenizer.no_padding()
         self._reset()
@@ -70,7 +71,7 @@ class ChunkEncoder:
         return np.concatenate(ids), np.concatenate(sizes)
 
     def _places(self, chunks: list[str]) -> np.ndarray:
-        if len(self.place) > CACHE_CHUNKS or self.used > CACHE_IDS:
+        if len(self.place) > self.most_chunks or self.used > CACHE_IDS:
             self._reset()
         new = [chunk for chunk in chunks if chunk not in self.place]
         for begin in range(0, len(new), 20_000):
