@@ -40,6 +40,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": partitions,
             "spark.driver.memory": "12g",
+            "spark.ledgerloom.spread": str(2 * int(partitions)),
             # small test data: keep all cores busy after a shuffle instead of merging to one partition
             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
             "spark.ui.showConsoleProgress": "false",

@@ -344,11 +344,11 @@ def assemble_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("text")).alias("html"),
         F.lit("감사보고서 <A/B>").alias("title"),
     )
-    return reports.with_file_name(reports.assemble(fragments, ["rcept_no"])).select("rcept_no", "file_name", "part", "html")
+    return reports.with_file_name(reports.assemble(fragments, ["rcept_no"])).select("rcept_no", "file_name", "html")
 
 
 ASSEMBLE_FRAGMENTS = """
-select conv_id::varchar as rcept_no, conv_id::varchar || '_감사보고서 _A_B_.html' as file_name, 0::int as part,
+select conv_id::varchar as rcept_no, conv_id::varchar || '_감사보고서 _A_B_.html' as file_name,
   '<!DOCTYPE html>' || chr(10) || '<html lang="ko">' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8">' || chr(10) ||
   '<title>감사보고서 &lt;A/B&gt;</title>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) ||
   string_agg('<section data-ele-id="' || turn || '" data-source-url="/v?a=1&amp;e=' || turn || '">' || chr(10) || text || chr(10) || '</section>', chr(10) order by turn)

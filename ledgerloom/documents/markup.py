@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.documents.opinion import KNOWN_HEADINGS
 from ledgerloom.functions.text import as_column, collapse, strip_markup
 
 # Tags that make a block, tags that carry text units, tags without text, empty tags.
@@ -20,8 +21,7 @@ CODE_TAGS = frozenset("script style".split())
 EMPTY_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE_TAGS = frozenset("span b strong".split())
 
-# Longest text that can still be a known heading; a block is offered as a heading up to this length.
-HEADING_CHARS = 200
+# Fixed value: the word that every bold inline heading holds.
 INLINE_WORD = "계속기업"
 
 BLOCKS = "array<struct<tag: string, text: string, bold: boolean, leaf: boolean>>"
@@ -150,7 +150,7 @@ class _Reader(HTMLParser):
             if text:
                 for watcher in parent.watchers:
                     watcher.append((text, element.tag_bold))
-            if element.tag in INLINE_TAGS and element.tag_bold and INLINE_WORD in text and len(text) <= HEADING_CHARS:
+            if element.tag in INLINE_TAGS and element.tag_bold and INLINE_WORD in text:
                 rest: list = []
                 self.inline.append((text, rest))
                 parent.watchers = (*parent.watchers, rest)
@@ -171,7 +171,7 @@ class _Reader(HTMLParser):
             texts = self.unit_texts[unit_id]
             if len(texts) > 1:
                 joined = " ".join(texts)
-                if len(joined) <= HEADING_CHARS:
+                if joined in KNOWN_HEADINGS:
                     self.units[first][3] = joined
         units = [dict(zip(("text", "block", "bold", "block_text"), u)) for u in self.units]
         inline = [

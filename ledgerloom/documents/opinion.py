@@ -70,6 +70,7 @@ _CANONICAL = {
     **{h: h for h in (*OPINION_KINDS, *BASIS_KINDS, *OTHER_HEADINGS)},
     **BASIS_SPELLINGS,
 }
+KNOWN_HEADINGS = frozenset(_CANONICAL)
 
 
 def heading_of(text: Column) -> Column:

@@ -49,18 +49,8 @@ def escape_html(text: Column | str) -> Column:
     return text
 
 
-FRAGMENTS_PER_ROW = 10_000
-
-
-def assemble(
-    fragments: DataFrame, keys: Sequence[str], title: str = "title", per_row: int | None = FRAGMENTS_PER_ROW
-) -> DataFrame:
-    """Documents from their viewer fragments (``ele_id``, ``url``, ``html``), in fragment order.
-
-    A document with more than ``per_row`` element numbers comes in several ``part`` rows, so that no row
-    has to hold an unbounded number of fragments; ordinary ones are part 0. ``per_row=None`` never splits,
-    for readers that need the document in one piece.
-    """
+def assemble(fragments: DataFrame, keys: Sequence[str], title: str = "title") -> DataFrame:
+    """One row per document from its viewer fragments (``ele_id``, ``url``, ``html``), in fragment order."""
     body = F.regexp_extract("html", r"(?is)<body\b[^>]*>(.*?)</body>", 1)
     has_body = F.col("html").rlike(r"(?is)<body\b[^>]*>.*?</body>")
     wrapped = F.concat(
@@ -69,8 +59,7 @@ def assemble(
         F.when(has_body, body).otherwise(F.col("html")), F.lit("\n</section>"),
     )
     parts = (
-        fragments.withColumn("part", F.floor(F.col("ele_id") / per_row).cast("int") if per_row else F.lit(0))
-        .groupBy(*keys, "part")
+        fragments.groupBy(*keys)
         .agg(
             F.min(title).alias("title"),
             F.array_sort(F.collect_list(F.struct(F.col("ele_id"), wrapped.alias("section")))).alias("sections"),
@@ -83,7 +72,7 @@ def assemble(
     )
     joined = F.array_join(F.transform("sections", lambda s: s["section"]), "\n")
     return parts.select(
-        *keys, "part", "title", F.concat(head, joined, F.lit("\n</body>\n</html>")).alias("html")
+        *keys, "title", F.concat(head, joined, F.lit("\n</body>\n</html>")).alias("html")
     )
 
 

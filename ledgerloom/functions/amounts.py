@@ -32,7 +32,15 @@ def parse_decimal(value: Column | str, parentheses: bool = True) -> Column:
     """Amount with decimals. The tolerant readers do not know ``(x)``: pass ``parentheses=False``."""
     text = F.replace(strip(as_column(value).cast("string")), F.lit(","), F.lit(""))
     text = F.when(~text.isin("", "-"), _signed(text) if parentheses else text)
-    return text.try_cast("decimal(38,6)")
+    return exact_decimal(text)
+
+
+def exact_decimal(text: Column) -> Column:
+    """Decimal of a number that 20 digits before and 18 after the point hold exactly; null otherwise, never rounded."""
+    number = text.try_cast("decimal(38,18)")
+    places = F.length(F.rtrim(F.regexp_extract(text, r"\.(\d+)$", 1), F.lit("0")))
+    scaled = text.rlike("[eE]") & (number.cast("double") == text.try_cast("double"))
+    return F.when(F.when(text.rlike("[eE]"), scaled).otherwise(places <= 18), number)
 
 
 def parse_order(value: Column | str) -> Column:

@@ -30,14 +30,18 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return stored.select(*[F.col(f.name).cast(f.dataType) for f in empty.schema.fields])
 
 
+def _balanced(df: DataFrame) -> DataFrame:
+    """Rows of a partition together, in as many tasks as their size asks for: a hot year is split, small ones share."""
+    return df.hint("rebalance", *PARTITIONS)
+
+
 def append(df: DataFrame, path: str) -> None:
-    df.repartition(*PARTITIONS, F.pmod(F.xxhash64("corp_code"), F.lit(64))).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    _balanced(df).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
 
 
 def overwrite_partitions(df: DataFrame, path: str) -> None:
-    """Replace the partitions that occur in ``df``. A hot year is spread over several files by company."""
-    spread = df.repartition(*PARTITIONS, F.pmod(F.xxhash64("corp_code"), F.lit(64)))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+    """Replace the partitions that occur in ``df``."""
+    _balanced(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
 
 
 def touched(stored: DataFrame, incoming: DataFrame) -> DataFrame:

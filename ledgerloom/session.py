@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,31 +24,44 @@ def build_session(app_name: str = "ledgerloom", master: str | None = None, **con
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the workers, which import it by name and need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_ledgerloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="ledgerloom-"), "ledgerloom"), "zip", os.path.dirname(root), os.path.basename(root)
+    )
+    context.addPyFile(archive)
+    context._ledgerloom_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a temporary one only when none is named and Spark is local."""
+    """Use the shared folder that ``spark.checkpoint.dir`` names; a local master without one gets its own."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not shared:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")
+        shared = tempfile.mkdtemp(prefix="ledgerloom-checkpoints-")
     context.setCheckpointDir(shared)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give heavy per-row work enough tasks when a scan has few splits; many splits stay as they are.
+    """Deal the rows of a scan to ``spark.ledgerloom.spread`` tasks; without that setting the splits stay as they are.
 
-    Only for plain scans: asking a plan with shuffles for its partitions would run them.
+    For tables of few large row groups, which a scan cannot split, before heavy work on each row.
     """
-    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted, *keys)
+    wanted = df.sparkSession.conf.get("spark.ledgerloom.spread", None)
+    return df.repartition(int(wanted), *keys) if wanted else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -92,13 +92,18 @@ def test_document_kind(spark):
     assert [r[0] for r in frame.select(reports.document_kind("n", "t")).collect()] == ["audit_report", "business_report", "unknown", "unknown"]
 
 
-def test_large_documents_come_in_parts(spark):
-    rows = spark.range(25).select(F.lit("r").alias("rcept_no"), F.col("id").alias("ele_id"), F.lit("u").alias("url"),
+def test_a_document_is_one_row(spark):
+    rows = spark.range(25).select(F.lit("r").alias("rcept_no"), (F.col("id") * 1000).alias("ele_id"), F.lit("u").alias("url"),
                                   F.concat(F.lit("<body>"), F.col("id").cast("string"), F.lit("</body>")).alias("html"), F.lit("t").alias("title"))
-    parts = reports.assemble(rows, ["rcept_no"], per_row=10).orderBy("part").collect()
-    assert [p.part for p in parts] == [0, 1, 2]
-    assert [p.html.count("<section") for p in parts] == [10, 10, 5]
-    assert parts[1].html.index(">\n10\n<") < parts[1].html.index(">\n19\n<")
+    documents = reports.with_file_name(reports.assemble(rows, ["rcept_no"])).collect()
+    assert [(d.file_name, d.html.count("<section")) for d in documents] == [("r_t.html", 25)]
+    assert documents[0].html.index(">\n9\n<") < documents[0].html.index(">\n10\n<")
+
+
+def test_a_heading_may_hold_any_number_of_blanks(spark):
+    heading = "<b>계속기업 가정에 대한" + " " * 210 + "중요한 불확실성</b>"
+    frame = spark.createDataFrame([("d", f"<p>{heading} 본문</p>" + END)], "doc_id string, html string")
+    assert reports.sections_of(reports.parse(frame)).first().going_concern.text == "본문"
 
 
 def test_audit_report_job(spark):
