@@ -455,7 +455,7 @@ def disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
         star.padded_key(F.col("o_custkey")).alias("corp_code"),
         name.alias("report_nm"),
         date.alias("rcept_dt"),
-        F.concat(date, padded_number(key % 5000, 6)).alias("rcept_no"),
+        F.concat(date, padded_number(key, 6)).alias("rcept_no"),
     )
 
 
@@ -463,7 +463,7 @@ _DISCLOSURES = """
 with d as (
   select o_orderkey as ordinal, lpad(o_custkey::varchar, greatest(8, length(o_custkey::varchar))::int, '0') as corp_code,
     o_orderkey % 7 as kind, year(o_orderdate) as y, strftime(o_orderdate, '%Y%m%d') as rcept_dt,
-    strftime(o_orderdate, '%Y%m%d') || lpad((o_orderkey % 5000)::varchar, 6, '0') as rcept_no
+    strftime(o_orderdate, '%Y%m%d') || lpad(o_orderkey::varchar, greatest(6, length(o_orderkey::varchar))::int, '0') as rcept_no
   from orders)"""
 
 
@@ -504,7 +504,7 @@ def attachment_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = F.array(*[F.lit(t) for t in _TITLES])
     rows = star.table(spark, sf_dir, "orders").select(
         star.padded_key(F.col("o_custkey")).alias("rcept_no"),
-        (F.col("o_orderkey") % 1000).cast("string").alias("dcm_no"),
+        F.col("o_orderkey").cast("string").alias("dcm_no"),
         F.element_at(titles, (F.col("o_orderkey") % len(_TITLES) + 1).cast("int")).alias("title"),
         F.col("o_orderkey").alias("ordinal"),
     )
@@ -515,7 +515,7 @@ def attachment_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ATTACHMENT_PICK = """
 with a as (
-  select lpad(o_custkey::varchar, greatest(8, length(o_custkey::varchar))::int, '0') as rcept_no, (o_orderkey % 1000)::varchar as dcm_no,
+  select lpad(o_custkey::varchar, greatest(8, length(o_custkey::varchar))::int, '0') as rcept_no, o_orderkey::varchar as dcm_no,
     case o_orderkey % 8 when 0 then '감사 보고서' when 7 then '연결감사보고서' else '감사보고서' end as title, o_orderkey % 8 = 7 as is_consolidated,
     o_orderkey as ordinal
   from orders where o_orderkey % 8 in (0, 1, 4, 7)),
@@ -623,12 +623,16 @@ from ({_LONG}) join member using (corp_code) group by industry_id, bsns_year, re
 def industry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members per group, with one group that nobody belongs to."""
     groups, members = star.industries(spark, sf_dir)
-    return peers.industry_counts(groups, members.filter(F.col("industry_id") != 3))
+    # an id that no region has: one group is added per table, whatever its size
+    empty = groups.groupBy().agg((F.max("industry_id") + 1).alias("industry_id")).select(
+        "industry_id", F.lit("NONE").alias("industry_code"), F.lit("none").alias("industry_name")
+    )
+    return peers.industry_counts(groups.unionByName(empty), members)
 
 
 INDUSTRY_COUNTS = q.STATEMENTS + """
-select g.*, count(m.corp_code) as member_count from grp g
-left join (select * from member where industry_id <> 3) m using (industry_id) group by all"""
+select g.*, count(m.corp_code) as member_count
+from (select * from grp union all select max(industry_id) + 1, 'NONE', 'none' from grp) g left join member m using (industry_id) group by all"""
 
 
 # ---- ingest --------------------------------------------------------------------------------------
