@@ -196,7 +196,7 @@ def with_statement_name(statements: DataFrame) -> DataFrame:
 
 def ratio_view(ratios: DataFrame, **equals: str | None) -> DataFrame:
     """Stored ratios with any of year, report, scope and version given, in report order."""
-    return statement_view(ratios, **equals).orderBy("reprt_code", "fs_div", "ratio_code")
+    return statement_view(ratios, **equals).orderBy("reprt_code", "fs_div", "ratio_code", "corp_code", "bsns_year")
 
 
 def ratio_lookup(
