@@ -40,17 +40,18 @@ def base_counts(docs: DataFrame, *carried: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.select(*carried, "text", F.array_remove(F.split(text, SPACE), "").alias("w"), lines.alias("l"))
-    windows = F.when(
-        F.size("w") >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.size("w") - WINDOW + 1), lambda i: F.xxhash64(F.slice("w", i, F.lit(WINDOW)))),
-    ).otherwise(F.array().cast("array<bigint>"))
     rows = rows.select(
         *carried, "text", F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        windows.alias("h"),
+        F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
     )
+    counts = rows.columns[:-1]
+    for width in (1, 2, 4):  # hashes of one word, then of two, four and eight
+        left = F.greatest(F.size("h") - width, F.lit(0))
+        pairs = F.zip_with(F.slice("h", F.lit(1), left), F.slice("h", F.lit(width + 1), left), lambda x, y: F.xxhash64(x, y))
+        rows = rows.select(*counts, pairs.alias("h"))
     placed = F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     rows = rows.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), placed)).drop("h")
     twice = "(k > 0 and s[k - 1].h = e.h) or (k < size(s) - 1 and s[k + 1].h = e.h)"
@@ -63,15 +64,20 @@ def base_counts(docs: DataFrame, *carried: str) -> DataFrame:
     return with_once(rows, "n_repeat_words", F.when(F.col("s").isNull(), F.lit(0).cast("long")).otherwise(repeated)).drop("s")
 
 
-def grams(docs: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` and ``b``, the buckets of the text's unigrams and bigrams; the last piece forms a bigram with the end."""
-    pieces = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(PIECES), F.lit(0))
-    one = F.transform("p", lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)))
-    two = F.zip_with(
-        "p", F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))),
-        lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(BUCKETS)),
-    )
-    return docs.select(*columns, pieces.alias("p")).select(*columns, F.concat(one, two).cast("array<int>").alias("b"))
+def pieces(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and ``p``, the pieces of the text."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(PIECES), F.lit(0))
+    return docs.select(*columns, found.alias("p"))
+
+
+def grams(value: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """For every piece ``join`` of ``value`` of its unigram's and its bigram's bucket; the last piece is paired with the end."""
+
+    def bucket(*parts: Column) -> Column:
+        return value(F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int"))
+
+    following = F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0)))
+    return F.zip_with("p", following, lambda x, y: join(bucket(x), bucket(x, y)))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -87,12 +93,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[float]:
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(trusted_ids(labels)), F.col("doc_id") == F.col("trusted_id"), "left"
     ).withColumn("good", F.col("trusted_id").isNotNull().cast("int"))
-    counted = grams(marked, "good").select("good", F.explode("b").alias("bucket")).groupBy("bucket").agg(
+    buckets = pieces(marked, "good").select("good", F.flatten(grams(lambda b: b, F.array)).alias("b"))
+    # explode would bring a filter on the array's size, which is pushed down and cuts every text again
+    counted = buckets.select("good", F.explode_outer("b").alias("bucket")).groupBy("bucket").agg(
         F.count("*").alias("raw"), F.sum("good").alias("good")
     )
-    rows = counted.collect()  # at most BUCKETS rows
+    rows = counted.collect()  # at most BUCKETS rows, and one of empty texts
     raw, good = [SMOOTHING] * BUCKETS, [SMOOTHING] * BUCKETS
-    for row in rows:
+    for row in (r for r in rows if r["bucket"] is not None):
         raw[row["bucket"]] += row["raw"]
         good[row["bucket"]] += row["good"]
     if sum(good) == SMOOTHING * BUCKETS:
@@ -104,9 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[float]:
 def scored(docs: DataFrame, ratios: list[float], *columns: str) -> DataFrame:
     """``columns`` and ``ratio``, the mean log ratio of a text's n-grams."""
     weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    total = F.aggregate("b", F.lit(0.0), lambda acc, b: acc + F.get(weights, b))
-    ratio = F.when(F.size("b") > 0, total / F.size("b")).otherwise(0.0)
-    return with_once(grams(docs, *columns), "ratio", ratio).drop("b")
+    each = grams(lambda b: F.get(weights, b), lambda one, two: one + two)
+    total = F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x)
+    ratio = F.when(F.size("p") > 0, total / (2 * F.size("p"))).otherwise(0.0)
+    return with_once(pieces(docs, *columns), "ratio", ratio).drop("p")
 
 
 def judge(docs: DataFrame, ratios: list[float], *carried: str) -> DataFrame:
