@@ -31,7 +31,7 @@ from ledgerloom.llm.tokens import file_encoder
 
 MAGIC = b"LLTOKEN1"
 #: Ids in a file before the next begins, end id of a document, bytes of text encoded at once.
-FILE_IDS, END_ID, SLICE_BYTES = 1 << 22, 2, 8 << 20
+FILE_IDS, END_ID, SLICE_BYTES = 1 << 22, 2, 4 << 20
 
 _MANIFEST = "shard long, seq long, path string, n_docs long, n_ids long"
 _DOCS = "doc_id long, start long, n_tokens long, ids binary"
