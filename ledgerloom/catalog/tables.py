@@ -648,7 +648,7 @@ def statement_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New rows of delivered answers for a table that already holds the separate statements."""
     stored = star.statements(spark, sf_dir).filter(F.col("fs_div") == "OFS")
     rows = delivered.for_storage(_delivered(spark, sf_dir).rows)
-    fresh = merge.insert_if_absent(stored, rows, merge.STATEMENT_KEY, "ord", [F.col("account_nm").asc()])
+    fresh = merge.insert_if_absent(stored, rows, merge.STATEMENT_KEY, "ord", [F.col(delivered.PLACE).asc()])
     return fresh.select(
         *merge.STATEMENT_KEY, "corp_code", "bsns_year", "reprt_code", "thstrm_amount", "frmtrm_amount", "currency"
     )

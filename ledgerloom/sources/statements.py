@@ -36,6 +36,10 @@ ENVELOPE = T.StructType(
 )
 
 
+#: Position of a row in its answer, from 0: the first delivered row of a key is the one that is stored.
+PLACE = "delivered_place"
+
+
 @dataclass(frozen=True)
 class Ingest:
     """Typed rows with the reasons against them, split into good and rejected, and answers that were errors."""
@@ -75,7 +79,7 @@ def ingest(answers: DataFrame, strict: bool = False) -> Ingest:
     """
     usable, rejected_answers = split_answers(answers)
     placed = usable.select(F.col("fs_div").alias("_scope"), F.posexplode_outer("list").alias("_place", "_row"))
-    raw = placed.filter(F.col("_place").isNotNull()).select("_scope", "_row.*")
+    raw = placed.filter(F.col("_place").isNotNull()).select("_scope", F.col("_place").alias(PLACE), "_row.*")
     checked = with_reasons(
         raw,
         {
@@ -89,6 +93,7 @@ def ingest(answers: DataFrame, strict: bool = False) -> Ingest:
         clean_text("_scope").alias("fs_div"),
         *[parse_amount(n).alias(n) for n in AMOUNT_FIELDS],
         parse_order("ord").alias("ord"),
+        PLACE,
         "reasons",
     )
     if strict:
