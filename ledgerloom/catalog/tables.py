@@ -10,6 +10,7 @@ from ledgerloom.catalog import support as q
 from ledgerloom.functions.text import padded_number
 from ledgerloom.operators import changes, merge, peers, quality, ratios, search
 from ledgerloom.plans import prepare
+from ledgerloom.sources import disclosures as disclosure_answers
 from ledgerloom.sources import statements as delivered
 
 T1, T2, T3 = "2025-01-01 00:00:00", "2025-01-02 00:00:00", "2025-01-03 00:00:00"
@@ -405,6 +406,106 @@ RATIO_SCAN = q.STATEMENTS + q.general_ratio_ctes() + f"""
 select {q.FILING}, ratio_code, ratio_value from ratio where fs_div = 'CFS' order by reprt_code, fs_div, ratio_code"""
 
 
+ACCOUNT_KEYS = [*ratios.FILING, "account_nm"]
+
+
+def account_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one account name per filing, asked with all five keys; a twelfth of the requests leave one blank."""
+    rows = star.statements(spark, sf_dir)
+    asked = rows.filter(F.col("ord") % 5 == F.col("corp_code").cast("bigint") % 5).select(
+        *ratios.FILING, F.when(F.col("corp_code").cast("bigint") % 12 == 0, "").otherwise(F.col("account_nm")).alias("account_nm")
+    )
+    return search.lookup(rows, asked.distinct(), ACCOUNT_KEYS).select(*ACCOUNT_KEYS, "sj_div", "ord", "thstrm_amount", "frmtrm_amount")
+
+
+ACCOUNT_LOOKUP = q.STATEMENTS + f""",
+asked as (
+  select distinct {q.FILING}, case when corp_code::bigint % 12 = 0 then '' else account_nm end as account_nm
+  from stmt where ord % 5 = corp_code::bigint % 5)
+select {q.FILING}, account_nm, sj_div, ord, thstrm_amount, frmtrm_amount from stmt
+semi join asked using ({q.FILING}, account_nm) where account_nm <> ''"""
+
+
+def ratio_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ratio per filing of the separate statements, asked with all its keys."""
+    results = ratios.general_ratios(star.statements(spark, sf_dir))
+    codes = F.array(*[F.lit(code) for code in sorted(dims.GENERAL_RATIO_NAMES)])
+    asked = results.filter("fs_div = 'OFS'").select(
+        *ratios.FILING, F.element_at(codes, (F.col("corp_code").cast("bigint") % F.size(codes) + 1).cast("int")).alias("ratio_code")
+    )
+    return search.lookup(results, asked.distinct(), [*ratios.FILING, "ratio_code"]).select(*ratios.FILING, "ratio_code", "ratio_value")
+
+
+RATIO_LOOKUP = q.STATEMENTS + q.general_ratio_ctes() + f"""
+select {q.FILING}, ratio_code, ratio_value from ratio where fs_div = 'OFS'
+  and ratio_code = {sorted(dims.GENERAL_RATIO_NAMES)}[(corp_code::bigint % {len(dims.GENERAL_RATIO_NAMES)} + 1)::int]"""
+
+
+def format_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every format rule on dates, receipts, keys and words of the orders."""
+    date = F.date_format("o_orderdate", "yyyyMMdd")
+    value = F.element_at(
+        F.array(
+            date, F.substring(date, 1, 4), F.concat(date, padded_number("o_orderkey", 6)), star.padded_key(F.col("o_custkey")),
+            F.col("o_orderkey").cast("string"), F.when(F.col("o_custkey") % 2 == 0, "CFS").otherwise("cfs"), F.lit(""), F.lit(None),
+        ), (F.col("o_orderkey") % 8 + 1).cast("int"),
+    )
+    rules = {
+        "is_year": quality.is_year, "is_console_year": quality.is_console_year, "is_scope": quality.is_scope,
+        "is_corp_code": quality.is_corp_code, "is_receipt_number": quality.is_receipt_number, "is_date": quality.is_date,
+    }
+    rows = star.table(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"))
+    return rows.select("o_orderkey", "value", *[F.coalesce(rule("value"), F.lit(False)).alias(name) for name, rule in rules.items()])
+
+
+FORMAT_RULES = """
+with v as (
+  select o_orderkey, case o_orderkey % 8 when 0 then strftime(o_orderdate, '%Y%m%d') when 1 then year(o_orderdate)::varchar
+    when 2 then strftime(o_orderdate, '%Y%m%d') || lpad(o_orderkey::varchar, greatest(6, length(o_orderkey::varchar))::int, '0')
+    when 3 then lpad(o_custkey::varchar, greatest(8, length(o_custkey::varchar))::int, '0') when 4 then o_orderkey::varchar
+    when 5 then case when o_custkey % 2 = 0 then 'CFS' else 'cfs' end when 6 then '' end as value
+  from orders)
+select o_orderkey, value, coalesce(regexp_full_match(value, '[0-9]{4}'), false) as is_year,
+  coalesce(regexp_full_match(value, '[0-9]{4}') and try_cast(value as int) between 2000 and 2100, false) as is_console_year,
+  coalesce(value in ('CFS', 'OFS'), false) as is_scope, coalesce(regexp_full_match(value, '[0-9]{8}'), false) as is_corp_code,
+  coalesce(regexp_full_match(value, '[0-9]{14}'), false) as is_receipt_number, coalesce(regexp_full_match(value, '[0-9]{8}'), false) as is_date
+from v"""
+
+
+def disclosure_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as one delivered page of filings; some pages are errors or empty."""
+    key = F.col("o_custkey")
+    filing = F.struct(
+        star.padded_key(key).alias("corp_code"), F.lit("n").alias("corp_name"), F.concat(F.lit("R "), F.col("o_orderpriority")).alias("report_nm"),
+        F.col("o_orderkey").cast("string").alias("rcept_no"), F.date_format("o_orderdate", "yyyyMMdd").alias("rcept_dt"), F.lit("f").alias("flr_nm"),
+    )
+    pages = star.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.array_sort(F.collect_list(F.struct("o_orderkey", filing.alias("f")))).alias("fs")  # the orders of one customer
+    )
+    status = F.when(key % 10 == 3, "013").when(key % 10 == 7, "020").otherwise("000")
+    text = F.to_json(F.struct(
+        status.alias("status"), F.lit("m").alias("message"), F.when(key % 2 == 0, (key % 5).cast("int")).alias("page_no"),
+        F.lit(1).alias("total_page"), F.when(status == "000", F.transform("fs", lambda e: e["f"])).alias("list"),
+    ))
+    delivered_pages = pages.select(key.cast("string").alias("file"), F.from_json(text, disclosure_answers.PAGE).alias("p")).select("file", "p.*")
+    listed = disclosure_answers.listed_filings(delivered_pages).select(
+        "ordinal.file", "ordinal.page_no", F.col("ordinal.place").alias("place"), "corp_code", "report_nm", "rcept_no", "rcept_dt"
+    )
+    failed = disclosure_answers.failed_pages(delivered_pages).select("file", F.coalesce("page_no", F.lit(1)).alias("page_no"))
+    return listed.withColumn("failed", F.lit(False)).unionByName(failed.withColumn("failed", F.lit(True)), allowMissingColumns=True)
+
+
+DISCLOSURE_PAGES = """
+select o_custkey::varchar as file, case when o_custkey % 2 = 0 then (o_custkey % 5)::int else 1 end as page_no,
+  (row_number() over (partition by o_custkey order by o_orderkey) - 1)::int as place,
+  lpad(o_custkey::varchar, greatest(8, length(o_custkey::varchar))::int, '0') as corp_code, 'R ' || o_orderpriority as report_nm,
+  o_orderkey::varchar as rcept_no, strftime(o_orderdate, '%Y%m%d') as rcept_dt, false as failed
+from orders where o_custkey % 10 not in (3, 7)
+union all
+select distinct o_custkey::varchar, case when o_custkey % 2 = 0 then (o_custkey % 5)::int else 1 end, null, null, null, null, null, true
+from orders where o_custkey % 10 = 7"""
+
+
 def registry_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active companies by name with the number of their stored statement rows."""
     listed = search.all_corporations(star.corporations(spark, sf_dir)).select("corp_code", "corp_name", "stock_code")
@@ -729,6 +830,10 @@ QUERIES = {
     "entity_search_router": (entity_search_router, ENTITY_SEARCH_ROUTER),
     "entity_search_count": (entity_search_count, ENTITY_SEARCH_COUNT),
     "ratio_scan": (ratio_scan, RATIO_SCAN),
+    "account_lookup": (account_lookup, ACCOUNT_LOOKUP),
+    "ratio_lookup": (ratio_lookup, RATIO_LOOKUP),
+    "format_rules": (format_rules, FORMAT_RULES),
+    "disclosure_pages": (disclosure_pages, DISCLOSURE_PAGES),
     "registry_list": (registry_list, REGISTRY_LIST),
     "industry_list": (industry_list, INDUSTRY_LIST),
     "report_match": (report_match, REPORT_MATCH),

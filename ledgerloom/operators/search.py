@@ -199,6 +199,23 @@ def ratio_view(ratios: DataFrame, **equals: str | None) -> DataFrame:
     return statement_view(ratios, **equals).orderBy("reprt_code", "fs_div", "ratio_code", "corp_code", "bsns_year")
 
 
+def lookup(rows: DataFrame, requests: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored rows that equal a request in every key. Requests with a blank key match nothing; see ``blank_requests``."""
+    return rows.join(requests.filter(_complete(keys)).select(*keys), list(keys), "left_semi")
+
+
+def blank_requests(requests: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Requests that leave a key blank."""
+    return requests.filter(~_complete(keys))
+
+
+def _complete(keys: Sequence[str]) -> Column:
+    complete = F.lit(True)
+    for key in keys:
+        complete = complete & (F.coalesce(F.col(key), F.lit("")) != "")
+    return complete
+
+
 def ratio_lookup(
     ratios: DataFrame, corp_code: str, bsns_year: str, reprt_code: str, fs_div: str, ratio_code: str, version: str = "v1"
 ) -> DataFrame:
