@@ -1,7 +1,7 @@
 """Wall time of the queries at one scale: prints one JSON line.
 
 ``BENCH_SF_DIR`` (default sf0.1), ``BENCH_CPUS`` (default all), ``BENCH_RUNS`` (timed runs per query, default 1)
-and ``BENCH_QUERIES`` (comma-separated names, ``all``, or by default the headline ones). Every row and column is computed: results go
+and ``BENCH_QUERIES`` (comma-separated names, by default ``all``). Every row and column is computed: results go
 to Spark's ``noop`` sink. One untimed query warms the session.
 """
 
@@ -19,15 +19,6 @@ from ledgerloom.catalog import all_queries  # noqa: E402
 from ledgerloom.session import build_session  # noqa: E402
 
 
-# counts and reports over plans that another query already measures
-SECONDARY = {
-    "completeness_report", "latest_version_changes", "insert_counts", "registry_sync_counts", "delete_by_key",
-    "industry_create", "entity_search_router", "entity_search_count", "ratio_scan", "registry_list", "industry_list",
-    "ingest_rejects", "batch_summary", "reason_split", "xbrl_contexts", "table_candidates", "note_status",
-    "archive_check",
-}
-
-
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "*")
@@ -49,7 +40,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     catalogue = {name: run for name, (run, _) in all_queries().items()}
     if not asked:
-        asked = [name for name in catalogue if name not in SECONDARY]
+        asked = ["all"]
     queries = {name: run for name, run in catalogue.items() if asked == ["all"] or name in asked}
 
     def once(run) -> float:
