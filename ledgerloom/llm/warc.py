@@ -58,9 +58,15 @@ def staged(pages: DataFrame) -> DataFrame:
 
 def write_store(pages: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """(payloads, headers) as written below ``folder``: (digest, packed) and (page_id, record_type, refers_to, digest, header)."""
-    rows = written(staged(pages), "warc-staged")
+    packed = staged(pages)
+    html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    # digests are cheap to take again, so the deflated payloads are not kept a second time beside the store
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+        F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest"),
+    )
     same = (F.min("payload_bytes") == F.max("payload_bytes")) & (F.min("crc") == F.max("crc"))
-    payloads = rows.groupBy("payload_digest").agg(F.first("packed").alias("packed"), same.alias("same")).select(
+    payloads = packed.groupBy("payload_digest").agg(F.first("packed").alias("packed"), same.alias("same")).select(
         F.col("payload_digest").alias("digest"),
         F.when(F.col("same"), F.col("packed")).otherwise(F.raise_error(F.lit("different payloads with one digest"))).alias("packed"),
     )
