@@ -3,6 +3,12 @@
 ``guess_bits`` is the least cost of cutting a value into known words, dates, repeats, keyboard or alphabet walks and
 single characters tried one by one, in bits (dynamic programming over the value's positions). A value that a
 credential keyword introduces is a secret when it costs ``MIN_BITS`` or more. Pattern matches are secrets anyway.
+A quoted value goes up to its closing quote on the same line, any other up to white space, a quote or a bracket.
+
+Single characters of such a value cost one out of all the classes the value draws from (lower, upper, digits, other
+ASCII), so 8 random characters of two classes or more cost 41 bits at least. Of one class alone, it takes 9 letters
+or 13 digits. Known words are ``WORDS`` and the words of the corpus itself, by their rank: at most ``KNOWN`` of them,
+seen in ``SEEN`` texts or more outside credential contexts, are counted in Spark and broadcast.
 
 Null or empty text: no spans. Repeated rows: a row each. Empty table: no rows. Spans are code points, end exclusive.
 """
@@ -12,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table, text_columns, text_slices
+from ledgerloom.llm.common import table, text_columns, text_slices, written
 
 # fixed values: the patterns of the base kinds and the least length of what they must hold
 ASSIGN = re.compile(
@@ -34,11 +41,13 @@ KINDS = ("assign", "access", "hex", "guess")
 CONTEXT = re.compile(
     r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|login"""
     r"""|(?:api|access|private|client|encryption|signing)[_-]?(?:key|secret|token))["']?[ \t]*(?:[:=]+>?|[ \t]is[ \t])[ \t]*"""
-    r"""["'<(]?([^\s"'<>(),;]{8,})""",
+    r"""(?:"((?:\\.|[^"\\\n]){8,})"|'((?:\\.|[^'\\\n]){8,})'|["'<(]?([^\s"'<>(),;]{8,}))""",
     re.IGNORECASE | re.ASCII,
 )
 #: Least cost of a value, and the longest stretch that is looked up as one word, date, repeat or walk.
 MIN_BITS, LONGEST = 40.0, 40
+#: Corpus words that are broadcast at most, and in how many texts each is seen at least.
+KNOWN, SEEN = 1 << 17, 3
 #: A longer value costs the sum over stretches of so many characters.
 STRETCH = 256
 
@@ -51,6 +60,7 @@ WORDS = (
     "blue red green black white orange silver gold the and for you your this that one two three first last new old"
 ).split()
 WORD_BITS = {word: math.log2(rank + 2) for rank, word in reversed(list(enumerate(WORDS)))}
+AROUND = ".,:;!?()[]{}<>\"'"  # what may stand around a word of the corpus
 LEET = str.maketrans("@4310$5!7", "aaeiossit")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "qwertzuiop", "azertyuiop", "abcdefghijklmnopqrstuvwxyz",
@@ -66,14 +76,22 @@ def _character_bits(char: str) -> float:
     return math.log2(26) if char.isascii() and char.isalpha() else math.log2(33) if char.isascii() else math.log2(1000)
 
 
-def _segments(value: str) -> dict[int, list[tuple[int, float]]]:
+def alphabet_bits(value: str) -> float:
+    """Bits of one ASCII character out of all classes that ``value`` draws from."""
+    own = [c for c in value if c.isascii()]
+    lower, upper, digit = any(map(str.islower, own)), any(map(str.isupper, own)), any(map(str.isdigit, own))
+    other = not all(map(str.isalnum, own))
+    return math.log2(max(1, 26 * lower + 26 * upper + 10 * digit + 33 * other))
+
+
+def _segments(value: str, words: dict[str, float] = WORD_BITS) -> dict[int, list[tuple[int, float]]]:
     """For every end, the (start, bits) of stretches that are not brute force, except repeats."""
     found: dict[int, list[tuple[int, float]]] = {}
     low = value.translate(LOWER)
     plain = low.translate(LEET)
     for i in range(len(value)):
         for j in range(i + 3, min(len(value), i + LONGEST) + 1):
-            bits = WORD_BITS.get(plain[i:j])
+            bits = words.get(plain[i:j])
             if bits is not None:
                 capitals = sum(a != b for a, b in zip(value[i:j], low[i:j]))
                 first_or_all = capitals in (0, 1, j - i)
@@ -93,12 +111,13 @@ def _segments(value: str) -> dict[int, list[tuple[int, float]]]:
     return found
 
 
-def guess_bits(value: str) -> float:
-    """Bits of the cheapest segmentation of ``value``."""
-    segments = _segments(value)
+def guess_bits(value: str, words: dict[str, float] = WORD_BITS, ascii_bits: float | None = None) -> float:
+    """Bits of the cheapest segmentation of ``value``; an ASCII character costs ``ascii_bits``, or by its own class."""
+    segments = _segments(value, words)
+    single = [_character_bits(c) if ascii_bits is None or not c.isascii() else ascii_bits for c in value]
     best = [0.0] * (len(value) + 1)
     for end in range(1, len(value) + 1):
-        cost = best[end - 1] + _character_bits(value[end - 1])
+        cost = best[end - 1] + single[end - 1]
         for start, bits in segments.get(end, ()):
             cost = min(cost, best[start] + bits + 1)
         # a unit repeated up to here costs the unit once and the number of repeats
@@ -108,17 +127,17 @@ def guess_bits(value: str) -> float:
                 times += 1
                 if times * size >= 3:
                     start = end - times * size
-                    unit_bits = min(best[start + size] - best[start], sum(map(_character_bits, unit)))
+                    unit_bits = min(best[start + size] - best[start], sum(single[start : start + size]))
                     cost = min(cost, best[start] + max(0.0, unit_bits) + math.log2(times) + 1)
         best[end] = cost
     return best[-1]
 
 
-def hard_to_guess(value: str, min_bits: float) -> bool:
+def hard_to_guess(value: str, min_bits: float, words: dict[str, float] = WORD_BITS) -> bool:
     """Whether the value's stretches of ``STRETCH`` characters together cost enough."""
-    total = 0.0
+    total, ascii_bits = 0.0, alphabet_bits(value)
     for begin in range(0, len(value), STRETCH):
-        total += guess_bits(value[begin : begin + STRETCH])
+        total += guess_bits(value[begin : begin + STRETCH], words, ascii_bits)
         if total >= min_bits:
             return True
     return False
@@ -132,16 +151,53 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def guessed_spans(text: str, min_bits: float = MIN_BITS) -> list[tuple[int, int, int]]:
+def guessed_spans(text: str, min_bits: float = MIN_BITS, words: dict[str, float] = WORD_BITS) -> list[tuple[int, int, int]]:
     """Values in a credential context that cost enough."""
     spans = []
     for match in CONTEXT.finditer(text):
-        value = match.group(1).rstrip(".:!?")
-        if len(value) >= 8 and not value.isalpha() and hard_to_guess(value, min_bits):
-            spans.append((match.start(1), 3, match.start(1) + len(value)))
+        kind = match.lastindex
+        value = match.group(kind) if kind < 3 else match.group(3).rstrip(".:!?")
+        if len(value) >= 8 and hard_to_guess(value, min_bits, words):
+            spans.append((match.start(kind), 3, match.start(kind) + len(value)))
     return spans
 
 
+def _words_of(texts: list[str | None]) -> Counter[str]:
+    """In how many texts every word stands, credential contexts left out."""
+    tokens, found = Counter(), Counter()
+    for text in texts:
+        tokens.update(set(CONTEXT.sub(" ", text or "").split()))
+    for token, n in tokens.items():
+        word = token.strip(AROUND)
+        if 3 <= len(word) <= LONGEST and word.isalpha():
+            found[word.translate(LOWER)] += n
+    return found
+
+
+def corpus_words(docs: DataFrame) -> dict[str, float]:
+    """Bits of ``WORDS`` and of the most frequent words of all texts, at most ``KNOWN``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text", 16 << 20):
+                found = _words_of(part.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    counted = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
+    counted = written(counted.withColumn("level", F.floor(F.log2("n") * 8)), "word-counts")
+    least, total = 0, 0
+    for row in sorted(counted.groupBy("level").count().collect(), reverse=True):  # at most 504 rows
+        total += row["count"]
+        if total > KNOWN:
+            least = row["level"] + 1
+            break
+    known = counted.where(F.col("level") >= least).select("word", "n").collect()
+    ranked = sorted(known, key=lambda row: (-row["n"], row["word"]))
+    bits = {row["word"]: math.log2(rank + 2) for rank, row in enumerate(ranked)}
+    return bits | {word: min(own, bits.get(word, own)) for word, own in WORD_BITS.items()}
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
@@ -149,8 +205,10 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row."""
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    shared = docs.sparkSession.sparkContext.broadcast(corpus_words(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         for batch in batches:
             for part in text_slices(batch, "text", 16 << 20):
                 counts, base_sums, spans = ([], [], []), [], []
@@ -159,7 +217,7 @@ def scan(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
                     for kind in range(3):
                         counts[kind].append(sum(b[1] == kind for b in base))
                     base_sums.append(hashlib.sha256(joined(base).encode()).hexdigest())
-                    spans.append(joined(sorted(base + guessed_spans(text or "", min_bits))))
+                    spans.append(joined(sorted(base + guessed_spans(text or "", min_bits, words))))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base_sums, pa.string()), pa.array(spans, pa.string())],
                     names=[f.split()[0] for f in schema.split(", ")],
@@ -171,9 +229,12 @@ def scan(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]", min_bits: float = MIN_BITS) -> DataFrame:
     """``docs`` with every span replaced by ``mark`` (overlapping ones by one), and ``n_chars`` of texts that change."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(corpus_words(docs))
+
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = shared.value
         for batch in texts:
-            yield batch.map(lambda text: _redacted(text, mark, min_bits), na_action="ignore")
+            yield batch.map(lambda text: _redacted(text, mark, min_bits, words), na_action="ignore")
 
     cleaned = F.pandas_udf(clean, "string")(F.col("text").cast("string"))
     out = docs.withColumn("text", cleaned)
@@ -184,9 +245,9 @@ def redact(docs: DataFrame, mark: str = "[secret]", min_bits: float = MIN_BITS)
     return out.select(*docs.columns)
 
 
-def _redacted(text: str, mark: str, min_bits: float) -> str:
+def _redacted(text: str, mark: str, min_bits: float, words: dict[str, float] = WORD_BITS) -> str:
     out, at = [], 0
-    for start, _, end in sorted(base_spans(text) + guessed_spans(text, min_bits)):
+    for start, _, end in sorted(base_spans(text) + guessed_spans(text, min_bits, words)):
         if start >= at:
             out += [text[at:start], mark]
         at = max(at, end)

@@ -73,3 +73,28 @@ def test_redaction_changes_only_spans(spark, odd_docs):
     rows = sorted(tuple(r) for r in op.redact(docs).collect())
     assert rows == [(1, "x [secret] y", 12, "a"), (2, "clean text", 10, None), (3, None, None, "b"), (4, "", 0, "c")]
     assert op.redact(docs).columns == docs.columns and op.redact(odd_docs).count() == odd_docs.count()
+
+
+def test_random_values_of_eight_characters_letters_and_quoted_ones():
+    for value in ("kqzvxjwpbtmrhd", "hGtRkLmQzXwVb", "Xk9#mQ2v", "aZ8$kP3wT", "k8jd02mx"):
+        assert op.guessed_spans(f"x passphrase: {value} y") == [(14, 3, 14 + len(value))], value
+    assert op.guessed_spans("""password = "Xk9, mQ2;v(Z)'w" z""") == [(12, 3, 27)]
+    assert op.guessed_spans("pwd: 'ab, cd' and more text") == []
+    assert op.guessed_spans("pin: 48291057 login: baseball") == []
+
+
+def test_words_of_the_corpus_cost_little_and_values_are_not_words(spark):
+    rows = [(i, f"Die Unwahrscheinlichkeit, sagt er. passphrase: kqzvxjwpbtmrhd {i}") for i in range(9)]
+    docs = spark.createDataFrame(rows + [(9, "login: Unwahrscheinlichkeit"), (10, None)], "doc_id long, text string").repartition(3)
+    words = op.corpus_words(docs)
+    assert "unwahrscheinlichkeit" in words and "kqzvxjwpbtmrhd" not in words
+    spans = {r.doc_id: r.spans for r in op.scan(docs).collect()}
+    assert spans[9] == "" and all(spans[i] == "guess:47:61" for i in range(9))
+    assert "[secret]" in op.redact(docs).where("doc_id = 3").first().text
+
+
+def test_only_so_many_corpus_words_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(op, "KNOWN", 2)
+    rows = [(i, " ".join(["oftenword", "alsooften"] + ["seldomword"] * (i < 4))) for i in range(9)]
+    words = op.corpus_words(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {"oftenword", "alsooften"} <= set(words) and "seldomword" not in words
