@@ -9,6 +9,7 @@ from ledgerloom import dims, star
 from ledgerloom.catalog import support as q
 from ledgerloom.functions.text import padded_number
 from ledgerloom.operators import changes, merge, peers, quality, ratios, search
+from ledgerloom.operators.select import rank_within
 from ledgerloom.plans import prepare
 from ledgerloom.sources import disclosures as disclosure_answers
 from ledgerloom.sources import statements as delivered
@@ -472,26 +473,38 @@ select o_orderkey, value, coalesce(regexp_full_match(value, '[0-9]{4}'), false)
 from v"""
 
 
+#: Filings of a delivered answer at most.
+PAGE_ROWS = 100
+
+
 def disclosure_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of a customer as one delivered page of filings; some pages are errors or empty."""
+    """Orders of a customer as one page of filings, delivered in parts of ``PAGE_ROWS``; some pages are errors or empty.
+
+    A part is named by its file and the place of its first filing.
+    """
     key = F.col("o_custkey")
     filing = F.struct(
         star.padded_key(key).alias("corp_code"), F.lit("n").alias("corp_name"), F.concat(F.lit("R "), F.col("o_orderpriority")).alias("report_nm"),
         F.col("o_orderkey").cast("string").alias("rcept_no"), F.date_format("o_orderdate", "yyyyMMdd").alias("rcept_dt"), F.lit("f").alias("flr_nm"),
     )
-    pages = star.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        F.array_sort(F.collect_list(F.struct("o_orderkey", filing.alias("f")))).alias("fs")  # the orders of one customer
+    orders = star.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", filing.alias("f"))
+    ranked = rank_within(orders, ["o_custkey"], [F.col("o_orderkey")]).withColumn("place", (F.col("rank") - 1).cast("int"))
+    parts = ranked.groupBy("o_custkey", (F.col("place") - F.col("place") % PAGE_ROWS).alias("begin")).agg(
+        F.array_sort(F.collect_list(F.struct("place", "f"))).alias("fs")  # PAGE_ROWS orders at most
     )
+    pages = parts.filter((key % 10 != 7) | (F.col("begin") == 0))  # an error is one answer
     status = F.when(key % 10 == 3, "013").when(key % 10 == 7, "020").otherwise("000")
     text = F.to_json(F.struct(
         status.alias("status"), F.lit("m").alias("message"), F.when(key % 2 == 0, (key % 5).cast("int")).alias("page_no"),
         F.lit(1).alias("total_page"), F.when(status == "000", F.transform("fs", lambda e: e["f"])).alias("list"),
     ))
-    delivered_pages = pages.select(key.cast("string").alias("file"), F.from_json(text, disclosure_answers.PAGE).alias("p")).select("file", "p.*")
+    source = F.struct(key.cast("string").alias("name"), "begin")
+    delivered_pages = pages.select(source.alias("file"), F.from_json(text, disclosure_answers.PAGE).alias("p")).select("file", "p.*")
     listed = disclosure_answers.listed_filings(delivered_pages).select(
-        "ordinal.file", "ordinal.page_no", F.col("ordinal.place").alias("place"), "corp_code", "report_nm", "rcept_no", "rcept_dt"
+        F.col("ordinal.file.name").alias("file"), "ordinal.page_no", (F.col("ordinal.file.begin") + F.col("ordinal.place")).alias("place"),
+        "corp_code", "report_nm", "rcept_no", "rcept_dt",
     )
-    failed = disclosure_answers.failed_pages(delivered_pages).select("file", F.coalesce("page_no", F.lit(1)).alias("page_no"))
+    failed = disclosure_answers.failed_pages(delivered_pages).select(F.col("file.name").alias("file"), F.coalesce("page_no", F.lit(1)).alias("page_no"))
     return listed.withColumn("failed", F.lit(False)).unionByName(failed.withColumn("failed", F.lit(True)), allowMissingColumns=True)
 
 
