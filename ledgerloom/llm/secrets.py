@@ -3,6 +3,7 @@
 ``guess_bits`` is the least cost of cutting a value into known words, dates, repeats, keyboard or alphabet walks and
 single characters tried one by one, in bits (dynamic programming over the value's positions). A value that a
 credential keyword introduces is a secret when it costs ``MIN_BITS`` or more. Pattern matches are secrets anyway.
+The value is priced whole, however long; a repeated unit longer than ``LONGEST`` costs as often as it stands there.
 A quoted value goes up to its closing quote on the same line, any other up to white space, a quote or a bracket.
 
 Single characters of such a value cost one out of all the classes the value draws from (lower, upper, digits, other
@@ -20,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -44,12 +46,10 @@ CONTEXT = re.compile(
     r"""(?:"((?:\\.|[^"\\\n]){8,})"|'((?:\\.|[^'\\\n]){8,})'|["'<(]?([^\s"'<>(),;]{8,}))""",
     re.IGNORECASE | re.ASCII,
 )
-#: Least cost of a value, and the longest stretch that is looked up as one word, date, repeat or walk.
+#: Least cost of a value, and the longest stretch that is looked up as one word, date, walk or unit of a repeat.
 MIN_BITS, LONGEST = 40.0, 40
 #: Corpus words that are broadcast at most, and in how many texts each is seen at least.
 KNOWN, SEEN = 1 << 17, 3
-#: A longer value costs the sum over stretches of so many characters.
-STRETCH = 256
 
 # fixed values: frequent parts of passwords, most frequent first
 WORDS = (
@@ -84,63 +84,89 @@ def alphabet_bits(value: str) -> float:
     return math.log2(max(1, 26 * lower + 26 * upper + 10 * digit + 33 * other))
 
 
+def _from(value: str, low: str, plain: str, i: int, words: dict[str, float]) -> Iterator[tuple[int, float]]:
+    """(end, bits) of the stretches from ``i`` that are not brute force, except repeats."""
+    for j in range(i + 3, min(len(value), i + LONGEST) + 1):
+        bits = words.get(plain[i:j])
+        if bits is not None:
+            capitals = sum(a != b for a, b in zip(value[i:j], low[i:j]))
+            first_or_all = capitals in (0, 1, j - i)
+            yield j, bits + (capitals > 0) * (1 if first_or_all else j - i) + (low[i:j] != plain[i:j])
+    date = DATE.match(value, i)
+    if date:
+        yield date.end(), DATE_BITS[len(date.group()) > 4] + 2 * bool(date.group(1) or date.group(2))
+    for walk in WALKS:
+        for line in (walk, walk[::-1]):
+            at, n = line.find(low[i]), 0
+            while at >= 0 and at + n < len(line) and i + n < len(low) and low[i + n] == line[at + n]:
+                n += 1
+            for length in range(3, n + 1):
+                yield i + length, math.log2(47) + math.log2(length) + 1
+
+
+def _lower(value: str) -> tuple[str, str]:
+    """``value`` with small ASCII letters, and with look-alikes of letters replaced."""
+    low = value.translate(LOWER)
+    return low, low.translate(LEET)
+
+
 def _segments(value: str, words: dict[str, float] = WORD_BITS) -> dict[int, list[tuple[int, float]]]:
     """For every end, the (start, bits) of stretches that are not brute force, except repeats."""
     found: dict[int, list[tuple[int, float]]] = {}
-    low = value.translate(LOWER)
-    plain = low.translate(LEET)
+    low, plain = _lower(value)
     for i in range(len(value)):
-        for j in range(i + 3, min(len(value), i + LONGEST) + 1):
-            bits = words.get(plain[i:j])
-            if bits is not None:
-                capitals = sum(a != b for a, b in zip(value[i:j], low[i:j]))
-                first_or_all = capitals in (0, 1, j - i)
-                bits += (capitals > 0) * (1 if first_or_all else j - i) + (low[i:j] != plain[i:j])
-                found.setdefault(j, []).append((i, bits))
-        date = DATE.match(value, i)
-        if date:
-            found.setdefault(date.end(), []).append((i, DATE_BITS[len(date.group()) > 4] + 2 * bool(date.group(1) or date.group(2))))
-        for walk in WALKS:
-            for line in (walk, walk[::-1]):
-                at, n = line.find(low[i]), 0
-                while at >= 0 and at + n < len(line) and i + n < len(low) and low[i + n] == line[at + n]:
-                    n += 1
-                if n >= 3:
-                    for length in range(3, n + 1):
-                        found.setdefault(i + length, []).append((i, math.log2(47) + math.log2(length) + 1))
+        for end, bits in _from(value, low, plain, i, words):
+            found.setdefault(end, []).append((i, bits))
     return found
 
 
-def guess_bits(value: str, words: dict[str, float] = WORD_BITS, ascii_bits: float | None = None) -> float:
-    """Bits of the cheapest segmentation of ``value``; an ASCII character costs ``ascii_bits``, or by its own class."""
-    segments = _segments(value, words)
+def guess_bits(
+    value: str, words: dict[str, float] = WORD_BITS, ascii_bits: float | None = None, enough: float = math.inf
+) -> float:
+    """Bits of the cheapest segmentation of ``value``; an ASCII character costs ``ascii_bits``, or by its own class.
+
+    Ends early, with ``enough`` or more, when nothing that follows can make the value cheaper than ``enough``.
+    """
+    low, plain = _lower(value)
     single = [_character_bits(c) if ascii_bits is None or not c.isascii() else ascii_bits for c in value]
-    best = [0.0] * (len(value) + 1)
-    for end in range(1, len(value) + 1):
-        cost = best[end - 1] + single[end - 1]
-        for start, bits in segments.get(end, ()):
-            cost = min(cost, best[start] + bits + 1)
-        # a unit repeated up to here costs the unit once and the number of repeats
-        for size in range(1, min(LONGEST, end // 2) + 1):
-            unit, times = value[end - size : end], 1
-            while end - (times + 1) * size >= 0 and value[end - (times + 1) * size : end - times * size] == unit:
-                times += 1
-                if times * size >= 3:
-                    start = end - times * size
-                    unit_bits = min(best[start + size] - best[start], sum(single[start : start + size]))
-                    cost = min(cost, best[start] + max(0.0, unit_bits) + math.log2(times) + 1)
-        best[end] = cost
+    brute = list(accumulate(single, initial=0.0))
+    best = [0.0] + [math.inf] * len(value)
+    # by size of a unit: for how long every character is the one a unit before, and by end within the unit the
+    # (start, bits of what precedes and one unit) that no other start of the run undercuts, then or later
+    runs, open_repeats = [0] * (LONGEST + 1), [{} for _ in range(LONGEST + 1)]
+    for end in range(len(value) + 1):
+        for size in range(1, min(LONGEST, end - 1) + 1):
+            if value[end - 1] != value[end - 1 - size]:
+                if runs[size]:
+                    runs[size] = 0
+                    open_repeats[size].clear()
+                continue
+            runs[size] += 1
+            if runs[size] < size:
+                continue
+            start = end - 2 * size
+            unit_bits = min(best[start + size] - best[start], brute[start + size] - brute[start])
+            starts = open_repeats[size].setdefault(end % size, [])
+            added = (start, best[start] + max(0.0, unit_bits))
+            costs = [bits + math.log2((end - begin) // size) + 1 for begin, bits in starts]
+            least = min(costs, default=math.inf)
+            best[end] = min(best[end], least, added[1] + 2 if size > 1 else math.inf)
+            if added[1] + 2 < least:
+                starts[:] = [kept for kept in starts if kept[1] < added[1]] + [added]
+        if end == len(value):
+            break
+        if end % 64 == 0 and min(best[max(0, end - 2 * LONGEST) : end + 1]) >= enough:
+            if all(bits >= enough for repeats in open_repeats for starts in repeats.values() for _, bits in starts):
+                return enough
+        best[end + 1] = min(best[end + 1], best[end] + single[end])
+        for after, bits in _from(value, low, plain, end, words):
+            best[after] = min(best[after], best[end] + bits + 1)
     return best[-1]
 
 
 def hard_to_guess(value: str, min_bits: float, words: dict[str, float] = WORD_BITS) -> bool:
-    """Whether the value's stretches of ``STRETCH`` characters together cost enough."""
-    total, ascii_bits = 0.0, alphabet_bits(value)
-    for begin in range(0, len(value), STRETCH):
-        total += guess_bits(value[begin : begin + STRETCH], words, ascii_bits)
-        if total >= min_bits:
-            return True
-    return False
+    """Whether the whole value costs enough."""
+    return guess_bits(value, words, alphabet_bits(value), min_bits) >= min_bits
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from ledgerloom.llm import secrets as op
@@ -98,3 +100,34 @@ def test_only_so_many_corpus_words_are_sent(spark, monkeypatch):
     rows = [(i, " ".join(["oftenword", "alsooften"] + ["seldomword"] * (i < 4))) for i in range(9)]
     words = op.corpus_words(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {"oftenword", "alsooften"} <= set(words) and "seldomword" not in words
+
+
+def slow_bits(value, words=op.WORD_BITS, ascii_bits=None):
+    """Every segmentation by every start of every repeat."""
+    segments, single = op._segments(value, words), [op._character_bits(c) if ascii_bits is None else ascii_bits for c in value]
+    best = [0.0]
+    for end in range(1, len(value) + 1):
+        cost = min([best[end - 1] + single[end - 1]] + [best[i] + bits + 1 for i, bits in segments.get(end, ())])
+        for size in range(1, op.LONGEST + 1):
+            times = 2
+            while end - times * size >= 0 and value[end - times * size : end - size] == value[end - (times - 1) * size : end]:
+                start = end - times * size
+                if times * size >= 3:
+                    unit = min(best[start + size] - best[start], sum(single[start : start + size]))
+                    cost = min(cost, best[start] + max(0.0, unit) + math.log2(times) + 1)
+                times += 1
+        best.append(cost)
+    return best[-1]
+
+
+def test_price_does_not_depend_on_where_a_value_is_cut():
+    for value in ("*" * 600, "-=" * 500, "password" * 90, "=" * 300 + "secret" + "=" * 300):
+        assert op.guess_bits(value) < 40 and op.guessed_spans(f"login: {value} x") == [], value[:20]
+    draw = random.Random(5)
+    for _ in range(60):
+        parts = ["pass", "password", "dd", "ddd", "ab", "abab", "*" * 9, "2019", "qwerty", "x9", "Zq"]
+        value = "".join(draw.choice(parts) * draw.choice((1, 1, 2, 5)) for _ in range(draw.randint(1, 12)))
+        assert abs(op.guess_bits(value) - slow_bits(value)) < 1e-6, value
+        assert op.hard_to_guess(value, 40.0) == (slow_bits(value, ascii_bits=op.alphabet_bits(value)) >= 40.0), value
+    long = "".join(draw.choice("abcdefghijkmnpqrstuvwxyz0123456789") for _ in range(1 << 20))
+    assert op.hard_to_guess(long, 40.0)  # decided from its first characters
