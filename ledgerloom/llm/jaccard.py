@@ -2,7 +2,8 @@
 
 1. Documents with equal sets are one class; its smallest id stands for it.
 2. Shingles are ordered by how many documents hold them, as far as the counts of frequent ones are known, then by
-   hash. Sets that link share ``SHARED`` shingles of their prefixes. Classes with one prefix and one size are a group.
+   hash. Sets that link share ``SHARED`` shingles of their prefixes, or all they must have in common where that is less
+   (only at 50 percent or below). Classes with one prefix and one size are a group.
 3. Groups that share prefix shingles and have fitting sizes are candidates. A shingle of at most ``HOT`` groups gives
    pairs; a more frequent one hangs its groups on the smallest, so its rows grow with the list, not with its square.
 4. Candidate groups that hang together are a cluster, expanded to its classes. Blocks of ``BLOCK`` classes are compared
@@ -93,7 +94,8 @@ def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
                         at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
                         count = np.where(tokens[at] == own, counts[at], 0)
                     length = prefix_length(len(own), percent)
-                    prefix = own[np.argsort(count, kind="stable")[:length]] if len(own) > 1 else own[:0]
+                    alone = len(own) < 2 and percent > 50  # one shingle: linked with equal sets only
+                    prefix = own[:0] if alone else own[np.argsort(count, kind="stable")[:length]]
                     prefixes.append(prefix.view(np.int64))
                     keys.append((*_two(own.tobytes()), *_two(len(own).to_bytes(8, "little") + prefix.tobytes())))
                 keys = np.array(keys, np.int64).reshape(-1, 4)
@@ -112,11 +114,14 @@ def candidate_edges(groups: DataFrame, percent: int) -> DataFrame:
     several = postings.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
     several = written(postings.join(several, "token"), "postings")
     rare = several.where(F.col("groups") <= HOT)
+    needed = F.lit(SHARED)
+    if percent <= 50:  # above, different sets of linking sizes must have two shingles in common
+        needed = F.least(needed, F.ceil(percent * (F.max("n_a") + F.max("n_b")) / (100 + percent)))
     pairs = (
         rare.select("token", F.col("gid").alias("a"), F.col("n").alias("n_a"))
         .join(rare.select("token", F.col("gid").alias("b"), F.col("n").alias("n_b")), "token")
         .where(f"a < b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        .groupBy("a", "b").count().where(F.col("count") >= SHARED).select("a", "b")
+        .groupBy("a", "b").agg(F.count("*").alias("count"), needed.alias("needed")).where("count >= needed").select("a", "b")
     )
     hot = several.where(F.col("groups") > HOT)
     hubs = hot.groupBy("token").agg(F.min("gid").alias("b"))

@@ -109,3 +109,15 @@ def test_components_of_random_graphs(spark):
     wanted = {i: root(i) for a, b in edges if a != b for i in (a, b)}
     found = connected(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.id: r.component for r in found} == wanted and len(found) == len(wanted)
+
+
+@pytest.mark.parametrize("percent", [30, 50])
+def test_small_sets_link_at_low_percents(spark, percent):
+    draw = random.Random(3)
+    rows = [(0, "a b c"), (1, "a b c d"), (2, "q r s"), (3, "q r s t u")]
+    rows += [(10 + i, " ".join(draw.choice("klmnop") for _ in range(draw.randint(3, 6)))) for i in range(60)]
+    sets, component = {i: brute_set(text) for i, text in rows}, {i: i for i, _ in rows}
+    for a, b in [(a, b) for _ in rows for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]:
+        component[a] = component[b] = min(component[a], component[b])
+    wanted = sorted((i, len(sets[i]), component[i]) for i in sets)
+    assert got(op.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent)) == sorted(wanted, key=str)
