@@ -6,7 +6,7 @@ import importlib
 
 MODULES = (
     "block_search", "quality", "token_counts", "packing", "token_files", "warc", "language", "jaccard", "secrets", "byte_bpe",
-    "dialogue", "passages",
+    "dialogue", "collocations", "passages",
 )
 
 
