@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import new_folder, spread_ranges, table, text_columns, text_slices, written
-from ledgerloom.llm.words import cut, hashes, mixed
+from ledgerloom.llm.words import cut, distinct, hashes, mixed
 
 WORDS = 13
 #: Text of a block, windows of a range, rows of the sketch, cells of a row for each window.
@@ -217,7 +217,7 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for path in rows.column(0).to_pylist():
                 block = Windows(path, words)
                 for row in range(DEPTH):
-                    yield sent(path, np.unique(block.cells(row, bits)), bits, ranges, row * ranges)
+                    yield sent(path, distinct(block.cells(row, bits)), bits, ranges, row * ranges)
 
     replies = manifest.repartition(tasks).mapInArrow(touched, _SENT).groupBy("part").applyInArrow(repeated_cells, _MASK)
     replies = written(replies, "passage-cells")
@@ -227,7 +227,7 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
         found = np.ones(len(block.one), bool)
         for row in range(DEPTH):
             cells = block.cells(row, bits)
-            own = np.unique(cells)
+            own = distinct(cells)
             found &= bits_of(masks, row * ranges, (row + 1) * ranges, len(own))[np.searchsorted(own, cells)]
         return found
 

@@ -59,6 +59,12 @@ def cut(texts: pa.Array, lower: bool, space: np.ndarray = SPACE) -> Words:
     return Words(data, starts, lengths, begins, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted values, each once; sorting is several times faster than the hashing of ``np.unique``."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
