@@ -31,7 +31,7 @@ from ledgerloom.llm.tokens import chunk_lists
 BLOCK_BYTES, PLACE_BITS = 16 << 20, 31
 
 _BLOCKS = (
-    "block long, doc_id array<long>, n_bytes array<long>, words array<string>, n_words array<int>, codes binary, "
+    "part int, block long, doc_id array<long>, n_bytes array<long>, words array<string>, n_words array<int>, codes binary, "
     "counts binary"
 )
 
@@ -67,7 +67,7 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
     """A row per block: documents, distinct pre-tokens in order, and packed (pre-token, count) pairs per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq = TaskContext.get().partitionId() << 12
+        partition, seq = TaskContext.get().partitionId(), 0
         pack = zstandard.ZstdCompressor(level=9)
         split = PreTokens(path)
         for batch in batches:
@@ -97,6 +97,7 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
                 _, offsets = buffers(part.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array([partition], pa.int32()),
                         pa.array([seq], pa.int64()),
                         pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
                         pa.array([np.diff(offsets)], pa.list_(pa.int64())),
@@ -115,7 +116,7 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
 
 
 def piece_counts(words: DataFrame, path: str) -> DataFrame:
-    """(place, pieces) for (word, place): rows are dealt and sorted by word, so each distinct word is counted once."""
+    """(part, place, pieces) for (word, part, place): rows are dealt and sorted by word, so each distinct word is counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre_tokens = PreTokens(path)
@@ -127,24 +128,25 @@ def piece_counts(words: DataFrame, path: str) -> DataFrame:
             counts = [last_count] * (len(distinct) - len(asked)) + pre_tokens.n_pieces(asked)
             last_word, last_count = distinct[-1], counts[-1]
             pieces = np.array(counts, np.int32)[coded.indices.to_numpy(zero_copy_only=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(pieces)], names=["place", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(pieces)], names=["part", "place", "pieces"])
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "place long, pieces int")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "part int, place long, pieces int")
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row by the tokenizer file ``path``."""
     blocks = written(frequencies(docs, path), "frequencies")
-    words = blocks.select("block", F.posexplode("words").alias("code", "word")).select(
-        "word", (F.shiftleft("block", PLACE_BITS) + F.col("code")).alias("place")
+    # a block is named by its partition and its number there
+    words = blocks.select("part", "block", F.posexplode("words").alias("code", "word")).select(
+        "word", "part", (F.shiftleft("block", PLACE_BITS) + F.col("code")).alias("place")
     )
     found = (
         piece_counts(words, path)
-        .groupBy(F.shiftright("place", PLACE_BITS).alias("found_block"))
+        .groupBy(F.col("part").alias("found_part"), F.shiftright("place", PLACE_BITS).alias("found_block"))
         .agg(F.collect_list(F.struct("place", "pieces")).alias("found"))
-        .select("found_block", F.col("found.place").alias("places"), F.col("found.pieces").alias("pieces"))
+        .select("found_part", "found_block", F.col("found.place").alias("places"), F.col("found.pieces").alias("pieces"))
     )
-    joined = blocks.join(found, F.col("block") == F.col("found_block"), "left").select(
+    joined = blocks.join(found, (F.col("part") == F.col("found_part")) & (F.col("block") == F.col("found_block")), "left").select(
         "doc_id", "n_bytes", "n_words", "codes", "counts", "places", "pieces"
     )
 

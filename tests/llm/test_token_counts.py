@@ -28,3 +28,14 @@ def test_small_blocks_and_whole_table(spark, sf_dir, monkeypatch):
 
 def test_empty_table(no_docs):
     assert op.token_counts(no_docs, PATH).collect() == []
+
+
+def test_more_batches_of_a_partition_than_any_bit_field_holds(spark):
+    rows = [(i, f"word{i % 97} again{i % 5}" + " x" * (i % 7)) for i in range(8600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        got = sorted(tuple(r) for r in op.token_counts(docs, PATH).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == expected(docs.collect())
