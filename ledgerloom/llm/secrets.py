@@ -3,7 +3,7 @@
 ``guess_bits`` is the least cost of cutting a value into known words, dates, repeats, keyboard or alphabet walks and
 single characters tried one by one, in bits (dynamic programming over the value's positions). A value that a
 credential keyword introduces is a secret when it costs ``MIN_BITS`` or more. Pattern matches are secrets anyway.
-The value is priced whole, however long; a repeated unit longer than ``LONGEST`` costs as often as it stands there.
+The value is priced whole, however long; a repeated unit longer than ``LONGEST`` is found where it makes up the value.
 A quoted value goes up to its closing quote on the same line, any other up to white space, a quote or a bracket.
 
 Single characters of such a value cost one out of all the classes the value draws from (lower, upper, digits, other
@@ -60,6 +60,7 @@ WORDS = (
     "blue red green black white orange silver gold the and for you your this that one two three first last new old"
 ).split()
 WORD_BITS = {word: math.log2(rank + 2) for rank, word in reversed(list(enumerate(WORDS)))}
+_LN2 = math.log(2)
 AROUND = ".,:;!?()[]{}<>\"'"  # what may stand around a word of the corpus
 LEET = str.maketrans("@4310$5!7", "aaeiossit")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -120,43 +121,79 @@ def _segments(value: str, words: dict[str, float] = WORD_BITS) -> dict[int, list
     return found
 
 
+def smallest_period(value: str) -> int:
+    """Length of the shortest unit that ``value`` repeats from its first to its last character (Morris and Pratt)."""
+    borders = [0] * len(value)
+    k = 0
+    for i in range(1, len(value)):
+        while k and value[i] != value[k]:
+            k = borders[k - 1]
+        k += value[i] == value[k]
+        borders[i] = k
+    return len(value) - borders[-1] if value else 0
+
+
+def _until(early: tuple[int, float], late: tuple[int, float]) -> float:
+    """Up to which end a repeat that begins late, at a higher price, costs less than one that begins early."""
+    dearer = late[1] - early[1]
+    return late[0] + (late[0] - early[0]) / math.expm1(dearer * _LN2) if dearer < 64 else late[0]
+
+
 def guess_bits(
     value: str, words: dict[str, float] = WORD_BITS, ascii_bits: float | None = None, enough: float = math.inf
 ) -> float:
     """Bits of the cheapest segmentation of ``value``; an ASCII character costs ``ascii_bits``, or by its own class.
 
-    Ends early, with ``enough`` or more, when nothing that follows can make the value cheaper than ``enough``.
+    Ends early, with ``enough`` or more, when nothing that follows can make the value cheaper than ``enough``. Takes
+    steps in proportion to the length of the value: of all begins of a repeat only those are kept that will be the
+    cheapest at some end, the next to be so on top.
     """
     low, plain = _lower(value)
     single = [_character_bits(c) if ascii_bits is None or not c.isascii() else ascii_bits for c in value]
     brute = list(accumulate(single, initial=0.0))
     best = [0.0] + [math.inf] * len(value)
-    # by size of a unit: for how long every character is the one a unit before, and by end within the unit the
-    # (start, bits of what precedes and one unit) that no other start of the run undercuts, then or later
-    runs, open_repeats = [0] * (LONGEST + 1), [{} for _ in range(LONGEST + 1)]
+    period = smallest_period(value) if len(value) > 2 * LONGEST else 0
+    longer = [period] if LONGEST < period <= len(value) // 2 else []
+    # by size of a unit: for how long every character is the one a unit before, and by end within the unit the stack of
+    # (start, bits of what precedes and one unit, end up to which it is cheaper than the one below)
+    runs, open_repeats = dict.fromkeys([*range(1, LONGEST + 1), *longer], 0), {}
+    log2 = math.log2
     for end in range(len(value) + 1):
-        for size in range(1, min(LONGEST, end - 1) + 1):
+        least_here = best[end]
+        for size in runs if end > LONGEST else range(1, end):
+            if size >= end:
+                break
             if value[end - 1] != value[end - 1 - size]:
                 if runs[size]:
                     runs[size] = 0
-                    open_repeats[size].clear()
+                    open_repeats.pop(size, None)
                 continue
             runs[size] += 1
             if runs[size] < size:
                 continue
             start = end - 2 * size
             unit_bits = min(best[start + size] - best[start], brute[start + size] - brute[start])
-            starts = open_repeats[size].setdefault(end % size, [])
-            added = (start, best[start] + max(0.0, unit_bits))
-            costs = [bits + math.log2((end - begin) // size) + 1 for begin, bits in starts]
-            least = min(costs, default=math.inf)
-            best[end] = min(best[end], least, added[1] + 2 if size > 1 else math.inf)
-            if added[1] + 2 < least:
-                starts[:] = [kept for kept in starts if kept[1] < added[1]] + [added]
+            starts = open_repeats.setdefault(size, {}).setdefault(end % size, [])
+            while starts and starts[-1][2] <= end:
+                starts.pop()
+            price = best[start] + unit_bits if unit_bits > 0 else best[start]
+            least = starts[-1][1] + log2((end - starts[-1][0]) // size) + 1 if starts else math.inf
+            if least < least_here:
+                least_here = least
+            if price + 2 >= least:
+                continue
+            if size > 1 and price + 2 < least_here:
+                least_here = price + 2
+            while starts and starts[-1][1] >= price:
+                starts.pop()
+            while len(starts) > 1 and starts[-1][2] <= _until(starts[-1], (start, price)):
+                starts.pop()
+            starts.append((start, price, _until(starts[-1], (start, price)) if starts else math.inf))
+        best[end] = least_here
         if end == len(value):
             break
-        if end % 64 == 0 and min(best[max(0, end - 2 * LONGEST) : end + 1]) >= enough:
-            if all(bits >= enough for repeats in open_repeats for starts in repeats.values() for _, bits in starts):
+        if end % 64 == 0 and min(best[max(0, end - 2 * max(runs)) : end + 1]) >= enough:
+            if all(starts[0][1] >= enough for repeats in open_repeats.values() for starts in repeats.values() if starts):
                 return enough
         best[end + 1] = min(best[end + 1], best[end] + single[end])
         for after, bits in _from(value, low, plain, end, words):

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from ledgerloom.llm import secrets as op
 
@@ -131,3 +132,23 @@ def test_price_does_not_depend_on_where_a_value_is_cut():
         assert op.hard_to_guess(value, 40.0) == (slow_bits(value, ascii_bits=op.alphabet_bits(value)) >= 40.0), value
     long = "".join(draw.choice("abcdefghijkmnpqrstuvwxyz0123456789") for _ in range(1 << 20))
     assert op.hard_to_guess(long, 40.0)  # decided from its first characters
+
+
+def test_long_repetitive_values_take_time_in_proportion():
+    took = []
+    for n in (10_000, 20_000):
+        begin = time.process_time()
+        assert op.guess_bits("a" * n) < 21 and op.guess_bits("k9#mQ2v" * (n // 7)) < 45
+        took.append(time.process_time() - begin)
+    assert took[1] < 3 * took[0]
+    begin = time.process_time()
+    assert op.guessed_spans("password: " + "x" * 100_000) == []
+    assert time.process_time() - begin < 20
+
+
+def test_a_unit_longer_than_any_word_is_a_repeat():
+    draw = random.Random(2)
+    unit = "".join(draw.choice("abcdefghijkmnpqrstuvwxyz0123456789") for _ in range(op.LONGEST + 1))
+    once = op.guess_bits(unit)
+    assert op.smallest_period(unit * 5) == len(unit) and op.smallest_period("") == 0
+    assert op.guess_bits(unit * 5) < once + 5 < op.guess_bits(unit + unit[::-1])
