@@ -1,14 +1,15 @@
 """Exact nearest neighbours by a block matrix join with int8 tiles.
 
-Rows are dealt to blocks by a hash of their id; every block of queries meets every block of candidates of the same
-dimension once. A tile multiplies int8 codes (sums of at most ``STRETCH`` products are exact in float32, so a float
-matrix product computes them) and adds the largest error that rounding can have made: with ``x = a + r``, ``y = b + s``
-(codes a, b and rests r, s), ``|xy - ab| <= |a||s| + |r||y|``. A pair whose upper bound is below the k-th best lower
-bound of its query in the tile is out; the others are recomputed in double precision. Heaps merge the tiles' best.
+Every vector is quantised to int8 codes once, and only codes travel: rows are dealt to blocks by a hash of their id, and
+every block of queries meets every block of candidates of the same dimension once. A tile multiplies codes (sums of at
+most ``STRETCH`` products are exact in float32, so a float matrix product computes them) and adds the largest error that
+rounding can have made: with ``x = a + r``, ``y = b + s`` (codes a, b and rests r, s), ``|xy - ab| <= |a||s| + |r||y|``. A
+pair whose upper bound is below the k-th best lower bound of its query in the tile is out, and then below that of all
+tiles. The originals of the pairs that are left are fetched by joins and multiplied in double precision; heaps merge them.
 
 Inner products, larger is nearer, ties to the smaller id. Vectors that are null, empty, zero or hold a null or
-non-finite component take no part, nor do rows without id. Rows with one id are one vector: the smallest by its
-components counts. A query never finds its own id. Repeated queries give one result. Empty table: no rows.
+non-finite component take no part, nor do rows without id. Rows with one id and dimension are one vector: the smallest by
+its components counts. A query never finds its own id. Repeated queries give one result. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import table, written
 
 #: Neighbours of a query, rows in a block of candidates and of queries, components whose products are summed at once.
 NEAREST, CANDIDATE_ROWS, QUERY_ROWS, STRETCH = 20, 4096, 1024, 1024
 
 _FOUND = "query_id long, vec_id long, score double"
+_CODED = "vec_id long, dim int, asks boolean, codes binary, scale double, norm double, rest double"
+_BOUNDED = "query_id long, vec_id long, dim int, low double, high double"
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -65,10 +68,35 @@ def exact_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
-def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple]:
-    """The k nearest candidates of each query in this tile: (query id, candidate id, score)."""
-    q_codes, q_scale, q_norm, q_rest = quantise(q)
-    c_codes, c_scale, c_norm, c_rest = quantise(c)
+def coded(vectors: DataFrame) -> DataFrame:
+    """int8 codes, scale and norms of the coded part and the rest of every vector (vec_id, vector, dim, asks)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists, dims, asks = batch.columns
+            sizes = dims.to_numpy()
+            for dim in np.unique(sizes).tolist():
+                own = pa.array(sizes == dim)
+                x = lists.filter(own).flatten().to_numpy().reshape(-1, dim)
+                codes, scale, norm, rest = quantise(x)
+                columns = [ids.filter(own), dims.filter(own), asks.filter(own), pa.array([c.tobytes() for c in codes], pa.binary()),
+                           pa.array(scale), pa.array(norm), pa.array(rest)]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _CODED.split(", ")])
+
+    return vectors.select("vec_id", "vector", "dim", "asks").mapInArrow(run, _CODED)
+
+
+def tile(q: pa.Table, c: pa.Table, k: int) -> pa.Table:
+    """The pairs of a tile that may be among the k nearest of their query, with the bounds of their products."""
+
+    def parts(side: pa.Table) -> tuple[np.ndarray, ...]:
+        codes = np.frombuffer(b"".join(side.column("codes").to_pylist()), np.int8).reshape(side.num_rows, -1)
+        return side.column("vec_id").to_numpy(), codes, *(side.column(name).to_numpy() for name in ("scale", "norm", "rest"))
+
+    if not q.num_rows or not c.num_rows:
+        return pa.table({f.split()[0]: pa.array([], t) for f, t in zip(_BOUNDED.split(", "), _KINDS)})
+    q_ids, q_codes, q_scale, q_norm, q_rest = parts(q)
+    c_ids, c_codes, c_scale, c_norm, c_rest = parts(c)
     near = int8_products(q_codes, c_codes) * q_scale[:, None] * c_scale[None, :]
     error = q_norm[:, None] * c_rest[None, :] + q_rest[:, None] * (c_norm + c_rest)[None, :]
     error += 1e-9 * (np.abs(near) + error)
@@ -79,53 +107,78 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     else:
         floor = np.full(len(q_ids), -np.inf)
     rows, columns = np.nonzero((near + error >= floor[:, None]) & ~own)
-    scores = exact_products(q[rows], c[columns])
-    order = np.lexsort((c_ids[columns], -scores, rows))
-    rows, columns, scores = rows[order], columns[order], scores[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    keep = place < k
-    return zip(q_ids[rows[keep]].tolist(), c_ids[columns[keep]].tolist(), scores[keep].tolist())
+    values = (q_ids[rows], c_ids[columns], np.full(len(rows), q_codes.shape[1]), low[rows, columns], (near + error)[rows, columns])
+    return pa.table({f.split()[0]: pa.array(v, t) for f, v, t in zip(_BOUNDED.split(", "), values, _KINDS)})
+
+
+_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64())
+
 
+def above_floor(bounded: DataFrame, k: int) -> DataFrame:
+    """Pairs whose upper bound reaches the k-th best lower bound of their query over all tiles.
+
+    A query's pairs come in order of their lower bounds, so the floor is known after k of them and none is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, place, floor = None, 0, -np.inf
+        for batch in batches:
+            ids, low, high = (batch.column(i).to_numpy() for i in (0, 3, 4))
+            begins = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
+            keep = np.zeros(len(ids), bool)
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(ids)]):
+                if ids[a] != query:
+                    query, place, floor = ids[a], 0, -np.inf
+                if place < k <= place + b - a:
+                    floor = low[a + k - place - 1]
+                keep[a:b] = high[a:b] >= floor
+                if place < k:
+                    keep[a : min(b, a + k - place)] = True
+                place += b - a
+            yield batch.filter(pa.array(keep))
+
+    ordered = bounded.repartition("query_id").sortWithinPartitions("query_id", F.desc("low"), "vec_id")
+    return ordered.mapInArrow(run, _BOUNDED)
+
+
+def rescored(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score): the products of the original vectors in double precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = np.empty(batch.num_rows)
+            dims = batch.column(2).to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = pa.array(dims == dim)
+                x, y = (batch.column(i).filter(own).flatten().to_numpy().reshape(-1, dim) for i in (3, 4))
+                scores[dims == dim] = exact_products(x, y)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
-def _distinct(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and matrix with one row per id."""
-    ids = part.column("vec_id").to_numpy()
-    lists = part.column("vector").combine_chunks()
-    x = lists.flatten().to_numpy().reshape(len(ids), -1)
-    order = np.lexsort((*x.T[::-1], ids))
-    ids, x = ids[order], x[order]
-    first = np.concatenate(([True], ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, bool)
-    return ids[first], np.ascontiguousarray(x[first])
+    c = vectors.select(F.col("vec_id").alias("c_id"), F.col("dim").alias("c_dim"), F.col("vector").alias("y"))
+    q = vectors.where("asks").select(F.col("vec_id").alias("q_id"), F.col("dim").alias("q_dim"), F.col("vector").alias("x"))
+    whole = pairs.join(c, (F.col("vec_id") == F.col("c_id")) & (F.col("dim") == F.col("c_dim"))).join(
+        q, (F.col("query_id") == F.col("q_id")) & (F.col("dim") == F.col("q_dim")))
+    return whole.select("query_id", "vec_id", "dim", "x", "y").mapInArrow(run, _FOUND)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, id_column: str = "vec_id",
             vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each row for which ``is_query`` holds, over (vec_id, vector)."""
-    rows = usable(vectors, id_column, vector_column)
-    queries = rows.where(is_query)
-    n_rows, n_queries = rows.count(), queries.count()
-    c_blocks, q_blocks = max(1, -(-n_rows // CANDIDATE_ROWS)), max(1, -(-n_queries // QUERY_ROWS))
+    distinct = usable(vectors, id_column, vector_column).groupBy("vec_id", "dim").agg(F.min("vector").alias("vector"))
+    rows = written(distinct.withColumn("asks", F.coalesce(is_query, F.lit(False))), "vectors")
+    sizes = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if("asks").alias("queries")).first()
+    c_blocks, q_blocks = max(1, -(-sizes["rows"] // CANDIDATE_ROWS)), max(1, -(-sizes["queries"] // QUERY_ROWS))
 
     def dealt(side: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
         return side.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn(
             other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long")))
         )
 
-    keys = ["dim", "c_block", "q_block"]
-    candidates = dealt(rows, "c_block", c_blocks, "q_block", q_blocks).groupBy(*keys)
-    queries = dealt(queries, "q_block", q_blocks, "c_block", c_blocks).groupBy(*keys)
-
-    def tiles(q: pa.Table, c: pa.Table) -> pa.Table:
-        found = []
-        if q.num_rows and c.num_rows:
-            found = list(tile(*_distinct(q), *_distinct(c), k))
-        return pa.table({
-            "query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()),
-            "score": pa.array([f[2] for f in found], pa.float64()),
-        })
-
-    found = queries.cogroup(candidates).applyInArrow(tiles, _FOUND)
-    return merge(found, k)
+    keys, codes = ["dim", "c_block", "q_block"], coded(rows)
+    candidates = dealt(codes, "c_block", c_blocks, "q_block", q_blocks).groupBy(*keys)
+    queries = dealt(codes.where("asks"), "q_block", q_blocks, "c_block", c_blocks).groupBy(*keys)
+    bounded = queries.cogroup(candidates).applyInArrow(lambda q, c: tile(q, c, k), _BOUNDED)
+    return merge(rescored(above_floor(bounded, k), rows), k)
 
 
 def merge(found: DataFrame, k: int) -> DataFrame:
