@@ -17,6 +17,19 @@ def first_where(items: Column, test: Callable[[Column], Column]) -> Column:
     return F.get(F.filter(items, test), F.lit(0))
 
 
+def first_of_runs(ordered: Column, *fields: str) -> Column:
+    """Of neighbours in ``ordered`` that agree in ``fields`` the first."""
+
+    def fresh(items: Column, item: Column, at: Column) -> Column:
+        before = F.get(items, at - 1)
+        same = F.lit(True)
+        for field in fields:
+            same = same & item[field].eqNullSafe(before[field])
+        return (at == 0) | ~same
+
+    return let(ordered, lambda items: F.filter(items, lambda item, at: fresh(items, item, at)))
+
+
 def contains_any(text: Column, words) -> Column:
     hit = F.lit(False)
     for word in words:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import clean_text
-from ledgerloom.sources.archives import archive_members
+from ledgerloom.sources.archives import member_elements
 
 FIELDS = ("corp_code", "corp_name", "stock_code", "modify_date")
 ROW = ", ".join(f"{name} string" for name in FIELDS)
@@ -24,16 +24,6 @@ def read_registry_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def registry_from_zip(archives: DataFrame, key: str = "path") -> DataFrame:
-    """Rows of the first XML member of each archive."""
-    members = archive_members(archives, key).filter(F.lower("name").endswith(".xml"))
-    first = members.groupBy(key).agg(F.min_by("content", "ix").alias("content"))
-    entries = F.regexp_extract_all(F.col("content").cast("string"), F.lit(r"(?s)(<list>.*?</list>)"), F.lit(1))
-    rows = first.select(F.explode(entries).alias("entry"))
-    return clean_registry(rows.select(F.from_xml("entry", ROW).alias("r")).select("r.*"))
-
-
-def require_rows(rows: DataFrame) -> DataFrame:
-    """A snapshot without companies is an error: syncing it would deactivate everyone."""
-    if rows.isEmpty():
-        raise ValueError("the registry snapshot has no companies")
-    return rows
+    """Rows of the first XML member of each archive, which is streamed: a row per ``<list>`` range, not per archive."""
+    entries = member_elements(archives, key, ".xml", "list").hint("rebalance")
+    return clean_registry(entries.select(F.from_xml("entry", ROW).alias("r")).select("r.*"))
