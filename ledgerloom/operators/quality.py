@@ -20,6 +20,44 @@ def orphans(df: DataFrame, column: str, parents: DataFrame, parent_column: str)
     return df.filter(F.col(column).isNotNull()).join(known, column, "left_anti")
 
 
+def integrity(
+    tables: Mapping[str, DataFrame],
+    unique: Mapping[str, tuple[str, Sequence[str]]] = {},
+    references: Mapping[str, tuple[str, str, str, str]] = {},
+    rules: Mapping[str, Mapping[str, Column]] = {},
+) -> DataFrame:
+    """``(rule, violations)`` of all constraints, with one scan of each table and one grouping.
+
+    ``unique``: table and key columns, violated by each key that stands more than once. ``references``: table, column,
+    parent table and column, violated by each row whose value is set but unknown there. ``rules``: by table, conditions on
+    a row; a null condition counts as broken. A row gives a key for each rule that it takes part in; keys are added up
+    before they are exchanged, so a frequent key is harmless. A rule over empty tables is not listed.
+    """
+    parts = []
+    for name, frame in tables.items():
+
+        def entry(rule: str, key: Sequence[str] | None, own: Column | int, parent: int) -> Column:
+            keys = F.array(*[F.col(c).cast("string") for c in key]) if key else F.array().cast("array<string>")
+            return F.struct(F.lit(rule).alias("rule"), keys.alias("key"), F.lit(own).cast("long").alias("own"), F.lit(parent).alias("parent"))
+
+        entries = [entry(rule, keys, 1, 0) for rule, (table, keys) in unique.items() if table == name]
+        for rule, (table, column, parent, parent_column) in references.items():
+            entries += [entry(rule, [column], F.col(column).isNotNull().cast("int"), 0)] if table == name else []
+            entries += [entry(rule, [parent_column], 0, 1)] if parent == name else []
+        entries += [entry(rule, None, (~F.coalesce(test, F.lit(False))).cast("int"), 0) for rule, test in rules.get(name, {}).items()]
+        if entries:
+            parts.append(frame.select(F.inline(F.array(*entries))))
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.union(part)
+    keyed = stacked.groupBy("rule", "key").agg(F.sum("own").alias("own"), F.max("parent").alias("parent"))
+    broken = (
+        F.when(F.col("rule").isin(*unique), (F.col("own") > 1).cast("long"))
+        .when(F.col("parent") == 0, F.col("own")).otherwise(0)
+    )
+    return keyed.groupBy("rule").agg(F.sum(broken).alias("violations"))
+
+
 def is_year(value: Column | str) -> Column:
     return as_column(value).rlike(r"^[0-9]{4}$")
 

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import dims
-from ledgerloom.functions.text import as_column, collapse, squeeze
+from ledgerloom.functions.text import as_column, collapse, squeeze, strip
 from ledgerloom.operators.select import pick_first
+from ledgerloom.session import cut_lineage
 
 # How periodic reports are named, by report code.
 REPORT_NAMES = {
@@ -79,6 +80,80 @@ def find_corporations(
     return result
 
 
+# ---- queries from a table ------------------------------------------------------------------------
+#: Code points of a gram; a shorter query is a gram of its own.
+GRAM = 3
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """Distinct stretches of ``size`` code points; a shorter text has none."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda at: F.substring(text, at, size)))).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def containing(rows: DataFrame, fields: Sequence[str], queries: DataFrame) -> DataFrame:
+    """``(query, columns of rows)`` for every row and query where a field contains the query; case is ignored.
+
+    An inverted index instead of a test of every row against every query: rows are listed under the grams that queries
+    have, each query is looked up under the one of its grams with the shortest list, and the hits are verified. The rows
+    are read once, whatever the number of queries. Blank queries find nothing.
+    """
+    words = queries.select("query").distinct().withColumn("_word", F.lower(strip("query"))).where("_word <> ''")
+    size = F.least(F.length("_word"), F.lit(GRAM))
+    asked = words.select("query", "_word", F.explode(_grams(F.col("_word"), size)).alias("_gram"))
+    texts = F.array(*[F.lower(F.coalesce(F.col(f), F.lit(""))) for f in fields])
+    listed = F.array_distinct(F.flatten(F.transform(
+        texts, lambda text: F.flatten(F.array(*[_grams(text, F.lit(n)) for n in range(1, GRAM + 1)])))))
+    postings = rows.withColumn("_texts", texts).withColumn("_gram", F.explode(listed)).join(
+        asked.select("_gram").distinct(), "_gram", "left_semi"
+    )
+    postings = cut_lineage(postings)
+    lengths = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    counted = asked.join(lengths, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    shortest = pick_first(counted, ["query"], [F.col("_n").asc(), F.col("_gram").asc()])
+    found = shortest.join(postings, "_gram").where(F.exists("_texts", lambda text: F.contains(text, F.col("_word"))))
+    return found.select("query", *rows.columns)
+
+
+def _ranked(found: DataFrame, limit: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(
+        F.when(F.col("corp_name") == strip("query"), 0).otherwise(1), "corp_name", "corp_code"
+    )
+    return found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+
+
+def search_names(corporations: DataFrame, queries: DataFrame, active_only: bool = True, limit: int = SEARCH_LIMIT) -> DataFrame:
+    """``search_by_name`` for a table of queries: exact names first, then by name, ``limit`` for each query."""
+    return _ranked(containing(_active(corporations, active_only), ["corp_name"], queries), limit)
+
+
+def route_queries(corporations: DataFrame, queries: DataFrame, active_only: bool = True, limit: int = SEARCH_LIMIT) -> DataFrame:
+    """``find_corporations`` for a table of queries: codes are found by equality, anything else as a name.
+
+    Both meet the registry as keys of its rows in one index: a code is a key of its own.
+    """
+    text = strip("query")
+    code = F.when(text.rlike(r"^[0-9]{6}$"), F.concat(F.lit("\x00s"), text, F.lit("\x00"))).when(
+        text.rlike(r"^[0-9]{8}$"), F.concat(F.lit("\x00c"), text, F.lit("\x00")))
+    keyed = queries.select("query").distinct().select("query", F.coalesce(code, text).alias("_key"))
+    rows = _active(corporations, active_only).withColumns({
+        "_stock": F.concat(F.lit("\x00s"), "stock_code", F.lit("\x00")), "_corp": F.concat(F.lit("\x00c"), "corp_code", F.lit("\x00")),
+    })
+    hits = containing(rows, ["corp_name", "_stock", "_corp"], keyed.select(F.col("_key").alias("query"))).drop("_stock", "_corp")
+    found = keyed.join(hits.withColumnRenamed("query", "_key"), "_key").drop("_key")
+    return _ranked(found, limit)
+
+
+def count_matches(corporations: DataFrame, queries: DataFrame) -> DataFrame:
+    """``count_by_keyword`` for a table of queries: active companies with it in name, stock code or company code."""
+    found = containing(corporations.filter(F.col("is_active")), ["corp_name", "stock_code", "corp_code"], queries)
+    counts = found.groupBy(F.col("query").alias("_of")).agg(F.count(F.lit(1)).alias("total_count"))
+    asked = queries.select("query").distinct()
+    return asked.join(counts, F.col("query") == F.col("_of"), "left").select("query", F.coalesce("total_count", F.lit(0)).alias("total_count"))
+
+
 def count_by_keyword(corporations: DataFrame, keywords: Sequence[str]) -> DataFrame:
     """Active companies with the keyword in name, stock code or company code, per keyword."""
     fields = [F.lower(F.coalesce(c, F.lit(""))) for c in ("corp_name", "stock_code", "corp_code")]
