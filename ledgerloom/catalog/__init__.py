@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("metrics", "tables", "documents", "xbrl")
+GROUPS = ("metrics", "tables", "documents", "xbrl", "jobs")
 
 
 def all_queries() -> dict:

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import star
-from ledgerloom.documents import markup, opinion, reports
+from ledgerloom.documents import files, markup, opinion, reports
 from ledgerloom.documents.going_concern import going_concern
 from ledgerloom.documents.kam import key_audit_matters
 from ledgerloom.documents.sections import EMPHASIS, OTHER_MATTER, extract_section
-from ledgerloom.functions.text import collapse, normalise_charset_tag
+from ledgerloom.functions.text import collapse, normalise_charset_tag, padded_number
 from ledgerloom.operators.select import with_once
-from ledgerloom.session import spread
+from ledgerloom.plans import jobs
+from ledgerloom.session import scratch_folder, spread
 from ledgerloom.sources import viewer
 
 _KIND_HEADINGS = ("감사의견", "한정의견", "부적정의견", "의견거절")
@@ -356,6 +357,76 @@ select conv_id::varchar as rcept_no, conv_id::varchar || '_감사보고서 _A_B_
 from conversations group by conv_id"""
 
 
+def _filed_reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(disclosures, attachments, fragments): two documents are filings of one company, the later one counts.
+
+    Some have no attachment that is a report or no fragments; a long report comes in two, the later one first.
+    """
+    doc = F.col("doc_id")
+    date = F.when(doc % 2 == 0, "20260311").otherwise("20260401")
+    receipt = F.concat(date, padded_number(doc, 6))
+    corpus = report_corpus(spark, sf_dir).withColumns({"rcept_no": receipt, "dcm_no": F.concat(F.lit("9"), doc.cast("string"))})
+    ids = star.table(spark, sf_dir, "documents").select("doc_id").withColumns({"rcept_no": receipt, "dcm_no": F.concat(F.lit("9"), doc.cast("string"))})
+    listed = ids.select(
+        padded_number(F.floor(doc / 2), 8).alias("corp_code"), F.lit("감사 보고서 제출").alias("report_nm"), date.alias("rcept_dt"),
+        "rcept_no", F.col("doc_id").alias("ordinal"),
+    )
+    titles = F.filter(F.array(
+        F.struct(F.lit("1").alias("dcm_no"), F.lit("영문감사보고서").alias("title")),
+        F.struct(F.col("dcm_no").alias("dcm_no"), F.when(doc % 3 == 0, "(정정)  연결감사보고서").otherwise("감사보고서").alias("title")),
+        F.struct(F.lit("3").alias("dcm_no"), F.lit("정관").alias("title")),
+    ), lambda t: (doc % 13 != 5) | (t["dcm_no"] != F.col("dcm_no")))
+    attached = ids.select("rcept_no", F.posexplode(titles).alias("ordinal", "t")).select("rcept_no", "t.*", "ordinal")
+    cut = F.instr("html", "<p>경영진의 책임</p>")
+    two = F.array(
+        F.struct(F.lit(7).alias("ele_id"), F.expr("substr(html, cut)").alias("html")),
+        F.struct(F.lit(3).alias("ele_id"), F.concat(F.expr("substr(html, 1, cut - 1)"), F.lit("</body></html>")).alias("html")),
+    )
+    one = F.array(F.struct(F.lit(3).alias("ele_id"), F.col("html").alias("html")))
+    fragments = corpus.where("doc_id % 17 <> 3").withColumn("cut", cut).select(
+        "rcept_no", "dcm_no", F.inline(F.when(F.col("cut") > 0, two).otherwise(one)), F.lit("/report/viewer.do").alias("url"))
+    return listed, attached, fragments
+
+
+def audit_report_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the filing list to the sections of the latest audit report of every company."""
+    found = jobs.audit_reports(*_filed_reports(spark, sf_dir), "ordinal")
+    return found.select(
+        "corp_code", "bsns_year", "rcept_no", "dcm_no", "title", "status", F.col("opinion.opinion_type").alias("opinion_type"),
+        F.size("opinion.reasons").alias("reason_count"), F.size("key_audit_matters.matters").alias("matter_count"),
+        F.length("emphasis.text").alias("emphasis_chars"), F.length("other_matter.text").alias("other_matter_chars"),
+        F.length("going_concern.text").alias("going_concern_chars"),
+    )
+
+
+AUDIT_REPORT_LATEST = CORPUS + """,
+latest as (select *, doc_id // 2 as corp from o qualify row_number() over (partition by doc_id // 2 order by doc_id desc) = 1),
+s as (select *, case when doc_id % 13 = 5 then 'no_attachment' when doc_id % 17 = 3 then 'no_fragments' when full_report then 'ok' else 'not_full_report' end as st from latest)
+select lpad(corp::varchar, greatest(8, length(corp::varchar))::int, '0') as corp_code, '2025' as bsns_year,
+  case when doc_id % 2 = 0 then '20260311' else '20260401' end || lpad(doc_id::varchar, greatest(6, length(doc_id::varchar))::int, '0') as rcept_no,
+  case when st in ('ok', 'not_full_report') then '9' || doc_id end as dcm_no,
+  case when st in ('ok', 'not_full_report') then case when doc_id % 3 = 0 then '연결감사보고서' else '감사보고서' end end as title,
+  st as status, case when st = 'ok' then opinion_type end as opinion_type,
+  case when st in ('ok', 'not_full_report') then coalesce((select len(reasons) from m where m.doc_id = s.doc_id), 0) end::int as reason_count,
+  case when st in ('ok', 'not_full_report') then case doc_id % 6 when 0 then null when 2 then 2 when 5 then 0 else 1 end end::int as matter_count,
+  case when st in ('ok', 'not_full_report') then case doc_id % 5 when 0 then null when 2 then length(j) + 12 when 3 then length(j) else length(f) end end::int as emphasis_chars,
+  case when st in ('ok', 'not_full_report') then case doc_id % 4 when 1 then length(j) when 2 then length(f) end end::int as other_matter_chars,
+  case when st in ('ok', 'not_full_report') then case when g in (2, 3) then length(f) when g = 1 or (g = 4 and bk = 0) then length(j) end end::int as going_concern_chars
+from s"""
+
+
+def assembled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assembled documents written as files and read back by their manifest."""
+    manifest = files.write_documents(assemble_fragments(spark, sf_dir), scratch_folder(spark, "documents"))
+    read = files.read_documents(manifest)
+    return read.join(manifest.select("rcept_no", "n_bytes"), "rcept_no").select("rcept_no", "file_name", "n_bytes", F.sha2("html", 256).alias("sha256"))
+
+
+ASSEMBLED_FILES = f"""
+with a as ({ASSEMBLE_FRAGMENTS})
+select rcept_no, file_name, octet_length(encode(html)) as n_bytes, sha256(html) as sha256 from a"""
+
+
 SHORT_LINE = 40
 
 
@@ -484,6 +555,8 @@ QUERIES = {
     "charset_tag": (charset_tag, CHARSET_TAG),
     "charset_decode": (charset_decode, CHARSET_DECODE),
     "assemble_fragments": (assemble_fragments, ASSEMBLE_FRAGMENTS),
+    "audit_report_latest": (audit_report_latest, AUDIT_REPORT_LATEST),
+    "assembled_files": (assembled_files, ASSEMBLED_FILES),
     "section_assign": (section_assign, SECTION_ASSIGN),
     "viewer_refs": (viewer_refs, VIEWER_REFS),
     "attachment_options": (attachment_options, ATTACHMENT_OPTIONS),

@@ -9,7 +9,7 @@ from ledgerloom import dims, star
 from ledgerloom.catalog import support as q
 from ledgerloom.functions import amounts, formats, text
 from ledgerloom.operators import changes, earnings, ratios, search
-from ledgerloom.operators.select import pick_first
+from ledgerloom.operators.select import pick_first, with_once
 
 
 def statements_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +146,35 @@ select {q.FILING}, count(*) as ratio_count, count(ratio_value) as available_coun
 from ratio group by {q.FILING}"""
 
 
+def exact_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of 35 digits before and 25 after the point, with outer zeros and exponents, read exactly and written again."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    whole = F.concat(F.lpad(key.cast("string"), 15, "7"), F.lpad(cust.cast("string"), 20, "3"))
+    places = F.concat(F.lpad(key.cast("string"), 20, "0"), F.lpad((cust % 100 * 100).cast("string"), 5, "0"))
+    raw = (
+        F.when(key % 4 == 0, F.concat(F.lit("-"), whole, F.lit("."), places)).when(key % 4 == 1, F.concat(F.lit(" +000"), whole, F.lit(".")))
+        .when(key % 4 == 2, F.concat(F.lit("."), places, F.lit("e+3"))).otherwise(F.concat(key.cast("string"), F.lit("x")))
+    )
+    number = with_once(star.table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")), "n", amounts.exact_number("raw"))
+    return number.select(
+        "o_orderkey", "n.digits", "n.scale", amounts.plain_number(F.col("n")).alias("plain"),
+        (F.col("n.sort_key") < amounts.exact_number(F.lit("0.5"))["sort_key"]).alias("below_half"),
+    )
+
+
+EXACT_AMOUNTS = """
+with w as (
+  select o_orderkey, o_orderkey % 4 as k, lpad(o_orderkey::varchar, 15, '7') || lpad(o_custkey::varchar, 20, '3') as whole,
+    lpad(o_orderkey::varchar, 20, '0') || lpad((o_custkey % 100 * 100)::varchar, 5, '0') as places from orders),
+d as (
+  select *, rtrim(places, '0') as p, rtrim(whole, '0') as wz, substr(places, 1, 3) as front, rtrim(substr(places, 4), '0') as back from w)
+select o_orderkey, case k when 0 then ltrim(rtrim(whole || p, '0'), '0') when 1 then wz when 2 then ltrim(rtrim(places, '0'), '0') end as digits,
+  (case k when 0 then length(p) when 1 then length(wz) - 35 when 2 then length(p) - 3 end)::int as scale,
+  case k when 0 then '-' || whole || '.' || p when 1 then whole when 2 then '0.' || back end as plain,
+  case k when 0 then true when 1 then false when 2 then true end as below_half
+from d"""
+
+
 def account_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.account_changes(star.statements(spark, sf_dir))
 
@@ -334,6 +363,7 @@ QUERIES = {
     "general_ratios": (general_ratios, GENERAL_RATIOS),
     "bank_ratios": (bank_ratios, BANK_RATIOS),
     "completeness_report": (completeness_report, COMPLETENESS_REPORT),
+    "exact_amounts": (exact_amounts, EXACT_AMOUNTS),
     "account_changes": (account_changes, ACCOUNT_CHANGES),
     "combined_changes": (combined_changes, COMBINED_CHANGES),
     "major_changes": (major_changes, MAJOR_CHANGES),

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +17,7 @@ from ledgerloom.operators import changes, merge, peers, quality, ratios, search
 from ledgerloom.operators.select import rank_within
 from ledgerloom.plans import prepare
 from ledgerloom.sources import disclosures as disclosure_answers
+from ledgerloom.sources import registry
 from ledgerloom.sources import statements as delivered
 
 T1, T2, T3 = "2025-01-01 00:00:00", "2025-01-02 00:00:00", "2025-01-03 00:00:00"
@@ -307,36 +313,25 @@ from part where (p_partkey % 3 = 0 and p_partkey % 50 <> 1) or (p_partkey % 3 =
 # ---- constraints ---------------------------------------------------------------------------------
 def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations per rule on the given tables."""
-    line = star.table(spark, sf_dir, "lineitem")
-    order = star.table(spark, sf_dir, "orders")
-    customer = star.table(spark, sf_dir, "customer")
-
-    def count(frame, rule):
-        return frame.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
-
-    named = star.corporations(spark, sf_dir)
-    formats = quality.with_reasons(
-        named,
-        {
-            "corp_code": quality.is_corp_code("corp_code"),
-            "stock_code": quality.required(["stock_code"])["missing:stock_code"],
-            "year": quality.is_console_year(F.col("s_suppkey").cast("string")),
+    dates = F.date_format("o_orderdate", "yyyyMMdd")
+    given = {name: star.table(spark, sf_dir, name) for name in ("lineitem", "orders", "customer")}
+    return quality.integrity(
+        {**given, "supplier": star.corporations(spark, sf_dir)},
+        unique={"unique_line": ("lineitem", ["l_orderkey", "l_linenumber"])},
+        references={
+            "line_order": ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+            "order_customer": ("orders", "o_custkey", "customer", "c_custkey"),
+            "customer_supplier_nation": ("customer", "c_nationkey", "supplier", "s_nationkey"),
+        },
+        rules={
+            "orders": {"date_range": quality.is_date_range(dates, F.lit("19980101"))},
+            "supplier": {
+                "corp_code": quality.is_corp_code("corp_code"),
+                "stock_code": quality.required(["stock_code"])["missing:stock_code"],
+                "year": quality.is_console_year(F.col("s_suppkey").cast("string")),
+            },
         },
     )
-    dates = F.date_format("o_orderdate", "yyyyMMdd")
-    bad_dates = order.filter(~quality.is_date_range(dates, F.lit("19980101")))
-    parts = [
-        count(quality.duplicate_keys(line, ["l_orderkey", "l_linenumber"]), "unique_line"),
-        count(quality.orphans(line, "l_orderkey", order, "o_orderkey"), "line_order"),
-        count(quality.orphans(order, "o_custkey", customer, "c_custkey"), "order_customer"),
-        count(quality.orphans(customer, "c_nationkey", star.table(spark, sf_dir, "supplier"), "s_nationkey"), "customer_supplier_nation"),
-        count(bad_dates, "date_range"),
-        formats.select(F.explode("reasons").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("violations")),
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
 
 
 INTEGRITY_REPORT = """
@@ -346,6 +341,7 @@ union all select 'order_customer', count(*) from orders where o_custkey not in (
 union all select 'customer_supplier_nation', count(*) from customer where c_nationkey not in (select s_nationkey from supplier)
 union all select 'date_range', count(*) from orders where strftime(o_orderdate, '%Y%m%d') > '19980101'
 union all select 'stock_code', count(*) from supplier where s_suppkey % 3 = 0
+union all select 'corp_code', count(*) from supplier where s_suppkey > 99999999
 union all select 'year', count(*) from supplier where s_suppkey not between 2000 and 2100"""
 
 
@@ -395,6 +391,60 @@ select query, count(*) filter (where is_active and (contains(lower(corp_name), l
 from {q.values([(w,) for w in NAME_QUERIES], "query")} left join corp on true group by query"""
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as a registry, and queries that grow with it: segments, ends of numbers, codes, names, and what none has."""
+    key, code = F.col("c_custkey"), padded_number("c_custkey", 8)
+    registry_rows = star.table(spark, sf_dir, "customer").select(
+        code.alias("corp_code"), F.concat("c_name", F.lit(" "), "c_mktsegment").alias("corp_name"),
+        F.when(key % 3 != 0, padded_number("c_custkey", 6)).alias("stock_code"), (key % 10 != 9).alias("is_active"),
+    )
+    texts = F.array(
+        F.lower(F.substring("c_mktsegment", 1, 4)), F.concat((key % 100).cast("string"), F.lit(" B")), F.substring("c_mktsegment", 1, 1),
+        F.when(key % 7 == 0, code), F.when(key % 7 == 1, padded_number("c_custkey", 6)), F.when(key % 7 == 2, F.concat(F.lit(" "), F.lower("c_name"))),
+        F.when(key % 7 == 3, F.concat("c_name", F.lit(" "), "c_mktsegment")), F.when(key % 7 == 4, F.concat(F.lit("no "), code)), F.lit(" "), F.lit("0"),
+    )
+    queries = star.table(spark, sf_dir, "customer").select(F.explode(F.array_compact(texts)).alias("query"))
+    return registry_rows, queries
+
+
+_CUSTOMERS = """
+with corp as (
+  select lpad(c_custkey::varchar, greatest(8, length(c_custkey::varchar))::int, '0') as corp_code, c_name || ' ' || c_mktsegment as corp_name,
+    case when c_custkey % 3 <> 0 then lpad(c_custkey::varchar, greatest(6, length(c_custkey::varchar))::int, '0') end as stock_code, c_custkey % 10 <> 9 as is_active
+  from customer),
+asked as (
+  select distinct unnest([lower(substr(c_mktsegment, 1, 4)), (c_custkey % 100) || ' B', substr(c_mktsegment, 1, 1),
+    case when c_custkey % 7 = 0 then lpad(c_custkey::varchar, greatest(8, length(c_custkey::varchar))::int, '0') end,
+    case when c_custkey % 7 = 1 then lpad(c_custkey::varchar, greatest(6, length(c_custkey::varchar))::int, '0') end,
+    case when c_custkey % 7 = 2 then ' ' || lower(c_name) end, case when c_custkey % 7 = 3 then c_name || ' ' || c_mktsegment end,
+    case when c_custkey % 7 = 4 then 'no ' || lpad(c_custkey::varchar, greatest(8, length(c_custkey::varchar))::int, '0') end, ' ', '0']) as query
+  from customer),
+word as (select query, trim(query) as w from asked where query is not null)"""
+
+
+def entity_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of queries, routed to codes and names, in one pass over the registry."""
+    return _with_query(search.route_queries(*_customers(spark, sf_dir), limit=6))
+
+
+ENTITY_SEARCH_MANY = _CUSTOMERS + """
+select query, row_number() over (partition by query order by case when corp_name = w then 0 else 1 end, corp_name, corp_code) as position,
+  corp_code, corp_name, stock_code
+from word join corp on is_active and w <> '' and case when regexp_full_match(w, '[0-9]{6}') then stock_code = w
+  when regexp_full_match(w, '[0-9]{8}') then corp_code = w else contains(lower(corp_name), lower(w)) end
+qualify position <= 6"""
+
+
+def entity_count_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.count_matches(*_customers(spark, sf_dir))
+
+
+ENTITY_COUNT_MANY = _CUSTOMERS + """
+select query, count(*) filter (where w <> '' and is_active and (contains(lower(corp_name), lower(w)) or contains(stock_code, w) or contains(corp_code, w)))
+  as total_count
+from word left join corp on true group by query"""
+
+
 def ratio_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consolidated annual ratios of the current version, in report order."""
     results = ratios.general_ratios(star.statements(spark, sf_dir))
@@ -522,7 +572,8 @@ from orders where o_custkey % 10 = 7"""
 def registry_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active companies by name with the number of their stored statement rows."""
     listed = search.all_corporations(star.corporations(spark, sf_dir)).select("corp_code", "corp_name", "stock_code")
-    return listed.join(search.row_counts(listed, star.statements(spark, sf_dir)), "corp_code")
+    counted = listed.join(search.row_counts(listed, star.statements(spark, sf_dir)), "corp_code")
+    return counted.orderBy("corp_name", "corp_code")
 
 
 REGISTRY_LIST = q.STATEMENTS + """
@@ -530,6 +581,43 @@ select c.corp_code, c.corp_name, c.stock_code, count(s.id) as statement_rows
 from corp c left join stmt s using (corp_code) where c.is_active group by all"""
 
 
+def _zip_registry(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        out = []
+        for text in batch:
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("readme.txt", "<list>not this</list>")
+                archive.writestr("CORPCODE.xml", text)
+                archive.writestr("other.xml", "<list><corp_code>0</corp_code><corp_name>0</corp_name></list>")
+            out.append(buffer.getvalue())
+        yield pd.Series(out, dtype=object)
+
+
+def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as registry archives of some hundred companies each, read back as streamed ranges."""
+    key, number = F.col("c_custkey"), padded_number("c_custkey", 8)
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>\n"))
+    entry = F.concat(
+        F.lit("<list>"), tag("corp_code", F.concat(F.lit(" "), number)),
+        tag("corp_name", F.when(key % 11 == 0, " ").otherwise(F.concat(F.lit("가 &lt;A&amp;B&gt; "), "c_name"))),
+        tag("stock_code", F.when(key % 3 == 0, F.substring(number, 3, 6)).otherwise(" ")),
+        tag("modify_date", F.lit("20240101")), F.lit("</list>"),
+    )
+    packed = star.table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 400").alias("part")).agg(
+        F.concat(F.lit("<result>"), F.array_join(F.collect_list(entry), ""), F.lit("</result>")).alias("xml")  # at most 400 each
+    )
+    landed = packed.select(F.col("part").cast("string").alias("path"), F.pandas_udf(_zip_registry, "binary")("xml").alias("content"))
+    return registry.registry_from_zip(landed)
+
+
+REGISTRY_SCAN = """
+select lpad(c_custkey::varchar, greatest(8, length(c_custkey::varchar))::int, '0') as corp_code, '가 <A&B> ' || c_name as corp_name,
+  case when c_custkey % 3 = 0 then substr(lpad(c_custkey::varchar, greatest(8, length(c_custkey::varchar))::int, '0'), 3, 6) end as stock_code,
+  '20240101' as modify_date
+from customer where c_custkey % 11 <> 0"""
+
+
 def industry_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Companies of every industry by name."""
     _, members = star.industries(spark, sf_dir)
@@ -801,7 +889,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = _delivered(spark, sf_dir)
     stored = delivered.for_storage(result.rows).withColumn("id", F.monotonically_increasing_id())
-    return prepare.outcomes(_requests(spark, sf_dir), result, stored)
+    return prepare.outcomes(_requests(spark, sf_dir), result, ratios.general_ratios(stored), changes.account_changes(stored))
 
 
 BATCH_OUTCOME = q.STATEMENTS.replace("stmt as materialized (", "stmt0 as materialized (") + f""",
@@ -848,6 +936,9 @@ QUERIES = {
     "format_rules": (format_rules, FORMAT_RULES),
     "disclosure_pages": (disclosure_pages, DISCLOSURE_PAGES),
     "registry_list": (registry_list, REGISTRY_LIST),
+    "registry_scan": (registry_scan, REGISTRY_SCAN),
+    "entity_search_many": (entity_search_many, ENTITY_SEARCH_MANY),
+    "entity_count_many": (entity_count_many, ENTITY_COUNT_MANY),
     "industry_list": (industry_list, INDUSTRY_LIST),
     "report_match": (report_match, REPORT_MATCH),
     "audit_filing_latest": (audit_filing_latest, AUDIT_FILING_LATEST),

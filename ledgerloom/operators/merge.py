@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import corp_key, has_text, strip
+from ledgerloom.operators.quality import required, split_rejects
 from ledgerloom.operators.select import pick_first, rank_within
 from ledgerloom.session import cut_lineage
 
@@ -67,6 +68,20 @@ def upsert_changes(existing: DataFrame, incoming: DataFrame, order: Sequence[Col
     return upsert(existing, incoming, CHANGE_KEY, ["change_amount", "change_rate", "calculated_at"], order)
 
 
+# What a stored change must have.
+CHANGE_REQUIRED = ("financial_statement_id", "corp_code", "bsns_year", "reprt_code", "fs_div", "sj_div", "account_nm")
+
+
+def storable_changes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with reasons) of calculated changes before they are stored.
+
+    Account id and detail become empty text instead of null, and a change amount loses what is after the point.
+    """
+    accepted, rejected = split_rejects(rows, required(CHANGE_REQUIRED))
+    filled = accepted.withColumns({c: F.coalesce(c, F.lit("")) for c in ("account_id", "account_detail")})
+    return filled.withColumn("change_amount", F.col("change_amount").try_cast("bigint")), rejected
+
+
 def sync_registry(current: DataFrame, snapshot: DataFrame, seen_at: Column) -> DataFrame:
     """Registry after a snapshot, with ``sync_action`` per row.
 

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import corp_key
-from ledgerloom.operators.changes import account_changes
-from ledgerloom.operators.ratios import general_ratios
 from ledgerloom.operators.select import pick_first
 from ledgerloom.sources.statements import Ingest
 
@@ -18,10 +16,10 @@ def unique_requests(requests: DataFrame) -> DataFrame:
     return pick_first(keyed, ["corp_code"], [F.col("position").asc()])
 
 
-def outcomes(requests: DataFrame, delivered: Ingest, stored: DataFrame) -> DataFrame:
+def outcomes(requests: DataFrame, delivered: Ingest, ratios: DataFrame, changes: DataFrame) -> DataFrame:
     """One row per requested company with its counts per stage and the stage that failed, if any.
 
-    ``stored`` is the statement table after the save. Each stage is aggregated to companies first, so the
+    ``ratios`` and ``changes`` are what was calculated of the rows after the save. Each stage is aggregated to companies first, so the
     joins are between tables of one row per company.
     """
     good = F.size("reasons") == 0
@@ -29,8 +27,8 @@ def outcomes(requests: DataFrame, delivered: Ingest, stored: DataFrame) -> DataF
         F.count_if(good).alias("received_count"), F.count_if(~good).alias("rejected_count")
     )
     refused = delivered.rejected_answers.groupBy("corp_code").agg(F.min("reason").alias("answer_reason"))
-    ratio_counts = general_ratios(stored).groupBy("corp_code").agg(F.count("ratio_value").alias("ratio_count"))
-    change_counts = account_changes(stored).groupBy("corp_code").agg(F.count(F.lit(1)).alias("change_count"))
+    ratio_counts = ratios.groupBy("corp_code").agg(F.count("ratio_value").alias("ratio_count"))
+    change_counts = changes.groupBy("corp_code").agg(F.count(F.lit(1)).alias("change_count"))
     joined = unique_requests(requests)
     for part in (received, refused, ratio_counts, change_counts):
         joined = joined.join(part, "corp_code", "left")

@@ -25,3 +25,4 @@ CHANGES = (
 )
 INDUSTRY_GROUPS = "industry_id bigint, industry_code string, industry_name string, description string, created_at timestamp"
 INDUSTRY_MEMBERS = "industry_id bigint, corp_code string, created_at timestamp"
+COMMITS = "name string, commit bigint, last_id bigint"

@@ -42,12 +42,25 @@ PLACE = "delivered_place"
 
 @dataclass(frozen=True)
 class Ingest:
-    """Typed rows with the reasons against them, split into good and rejected, and answers that were errors."""
+    """Delivered answers as rows: a row of a statement with the reasons against it, or an answer that was an error."""
 
-    checked_rows: DataFrame
-    rows: DataFrame
-    rejected_rows: DataFrame
-    rejected_answers: DataFrame
+    parsed: DataFrame
+
+    @property
+    def checked_rows(self) -> DataFrame:
+        return self.parsed.filter(F.col("_answer").isNull()).drop("_answer")
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.checked_rows.filter(F.size("reasons") == 0).drop("reasons")
+
+    @property
+    def rejected_rows(self) -> DataFrame:
+        return self.checked_rows.filter(F.size("reasons") > 0)
+
+    @property
+    def rejected_answers(self) -> DataFrame:
+        return self.parsed.filter(F.col("_answer").isNotNull()).select("_answer.*")
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
@@ -60,16 +73,14 @@ def answers_from_text(payloads: DataFrame, payload: str = "payload", **requested
     return with_once(raw, "_answer", F.from_json("_payload", ENVELOPE)).select(*requested, "_answer.*")
 
 
-def split_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable, rejected). An answer without data is rejected with its own reason, so callers can tell."""
+def answer_reason() -> Column:
+    """Why an answer cannot be used, or null. One without data is rejected with its own reason, so callers can tell."""
     status = F.coalesce("status", F.lit(""))
-    reason = (
+    return (
         F.when(status == STATUS_NO_DATA, "no_data")
         .when(status != STATUS_OK, "status_error")
         .when(F.col("list").isNull(), "missing_list")
     )
-    tagged = answers.withColumn("reason", reason)
-    return tagged.filter(F.col("reason").isNull()).drop("reason"), tagged.filter(F.col("reason").isNotNull()).drop("list")
 
 
 def ingest(answers: DataFrame, strict: bool = False) -> Ingest:
@@ -77,9 +88,17 @@ def ingest(answers: DataFrame, strict: bool = False) -> Ingest:
 
     ``strict`` fails on the first bad row, as a reader that aborts the whole batch does.
     """
-    usable, rejected_answers = split_answers(answers)
-    placed = usable.select(F.col("fs_div").alias("_scope"), F.posexplode_outer("list").alias("_place", "_row"))
-    raw = placed.filter(F.col("_place").isNotNull()).select("_scope", F.col("_place").alias(PLACE), "_row.*")
+    reason = answer_reason()
+    others = [F.col(c) for c in answers.columns if c != "list"]
+    tagged = answers.select(
+        F.col("fs_div").alias("_scope"), F.when(reason.isNotNull(), F.struct(*others, reason.alias("reason"))).alias("_answer"),
+        F.when(reason.isNull(), F.col("list")).alias("_list"),
+    )
+    placed = tagged.select("_scope", "_answer", F.posexplode_outer("_list").alias("_place", "_row"))
+    # an answer that is an error stays as one row, a usable one without rows does not
+    raw = placed.filter(F.col("_place").isNotNull() | F.col("_answer").isNotNull()).select(
+        "_scope", "_answer", F.col("_place").alias(PLACE), "_row.*"
+    )
     checked = with_reasons(
         raw,
         {
@@ -95,20 +114,18 @@ def ingest(answers: DataFrame, strict: bool = False) -> Ingest:
         parse_order("ord").alias("ord"),
         PLACE,
         "reasons",
+        "_answer",
     )
     if strict:
         message = F.concat(F.lit("invalid statement row: "), F.array_join("reasons", ", "))
-        typed = typed.filter(F.when(F.size("reasons") > 0, F.raise_error(message).cast("boolean")).otherwise(True))
-    good = typed.filter(F.size("reasons") == 0).drop("reasons")
-    bad = typed.filter(F.size("reasons") > 0)
-    return Ingest(typed, good, bad, rejected_answers)
+        bad = F.col("_answer").isNull() & (F.size("reasons") > 0)
+        typed = typed.filter(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(True))
+    return Ingest(typed)
 
 
 def settle(result: Ingest) -> Ingest:
-    """The same with the parsed rows written once, for jobs that use them several times."""
-    checked = cut_lineage(result.checked_rows)
-    good = checked.filter(F.size("reasons") == 0).drop("reasons")
-    return Ingest(checked, good, checked.filter(F.size("reasons") > 0), result.rejected_answers)
+    """The same with everything parsed written once, for jobs that use it several times."""
+    return Ingest(cut_lineage(result.parsed))
 
 
 def for_storage(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
@@ -22,13 +24,16 @@ def stream_answers(spark: SparkSession, landing: str, files_per_batch: int = 100
 
 
 def ingest_stream(
-    spark: SparkSession, store: Store, landing: str, progress: str, at: str, files_per_batch: int = 1000
+    spark: SparkSession, store: Store, landing: str, progress: str, at: str | None = None, files_per_batch: int = 1000
 ) -> StreamingQuery:
-    """Process everything that has landed and stop. A repeated micro-batch stores nothing twice."""
+    """Process everything that has landed and stop. A repeated micro-batch stores nothing twice.
+
+    Rows carry the time ``at``, or else the time at which their micro-batch was begun.
+    """
 
     def run(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            sync_statements(batch.sparkSession, store, batch, at)
+        begun = at or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        sync_statements(batch.sparkSession, store, batch, begun)
 
     return (
         stream_answers(spark, landing, files_per_batch)
