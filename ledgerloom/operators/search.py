@@ -141,7 +141,10 @@ def route_queries(corporations: DataFrame, queries: DataFrame, active_only: bool
     rows = _active(corporations, active_only).withColumns({
         "_stock": F.concat(F.lit("\x00s"), "stock_code", F.lit("\x00")), "_corp": F.concat(F.lit("\x00c"), "corp_code", F.lit("\x00")),
     })
-    hits = containing(rows, ["corp_name", "_stock", "_corp"], keyed.select(F.col("_key").alias("query"))).drop("_stock", "_corp")
+    hits = containing(rows, ["corp_name", "_stock", "_corp"], keyed.select(F.col("_key").alias("query")))
+    # a name is not looked for in codes
+    named = F.contains(F.lower(F.coalesce("corp_name", F.lit(""))), F.lower("query"))
+    hits = hits.where(F.col("query").startswith("\x00") | named).drop("_stock", "_corp")
     found = keyed.join(hits.withColumnRenamed("query", "_key"), "_key").drop("_key")
     return _ranked(found, limit)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,21 +84,22 @@ def answer_reason() -> Column:
     )
 
 
-def ingest(answers: DataFrame, strict: bool = False) -> Ingest:
+def ingest(answers: DataFrame, strict: bool = False, keep: Sequence[str] = ()) -> Ingest:
     """``answers`` has the envelope columns and the requested ``fs_div``.
 
-    ``strict`` fails on the first bad row, as a reader that aborts the whole batch does.
+    ``strict`` fails on the first bad row, as a reader that aborts the whole batch does. ``keep``: columns of the answers
+    that their rows carry on.
     """
     reason = answer_reason()
     others = [F.col(c) for c in answers.columns if c != "list"]
     tagged = answers.select(
-        F.col("fs_div").alias("_scope"), F.when(reason.isNotNull(), F.struct(*others, reason.alias("reason"))).alias("_answer"),
+        *keep, F.col("fs_div").alias("_scope"), F.when(reason.isNotNull(), F.struct(*others, reason.alias("reason"))).alias("_answer"),
         F.when(reason.isNull(), F.col("list")).alias("_list"),
     )
-    placed = tagged.select("_scope", "_answer", F.posexplode_outer("_list").alias("_place", "_row"))
+    placed = tagged.select(*keep, "_scope", "_answer", F.posexplode_outer("_list").alias("_place", "_row"))
     # an answer that is an error stays as one row, a usable one without rows does not
     raw = placed.filter(F.col("_place").isNotNull() | F.col("_answer").isNotNull()).select(
-        "_scope", "_answer", F.col("_place").alias(PLACE), "_row.*"
+        *keep, "_scope", "_answer", F.col("_place").alias(PLACE), "_row.*"
     )
     checked = with_reasons(
         raw,
@@ -113,6 +115,7 @@ def ingest(answers: DataFrame, strict: bool = False) -> Ingest:
         *[parse_amount(n).alias(n) for n in AMOUNT_FIELDS],
         parse_order("ord").alias("ord"),
         PLACE,
+        *keep,
         "reasons",
         "_answer",
     )

@@ -81,3 +81,25 @@ def test_xbrl_names(spark):
         text.local_name_of_clark("c"), text.after_hash(F.lit("none")), text.after_hash(F.lit("none"), keep_whole=True),
     ).first()
     assert tuple(got) == ("entity00126380_Custom_Tax", "Custom_Tax", "A:B", "Name", "", "none")
+
+
+def test_exact_numbers_equal_decimals_of_any_length(spark):
+    from decimal import Decimal, localcontext
+
+    texts = [
+        "0", "-0", "0.000", "1", "-1", "10", "100.00", "-12.340", "1e5", "-2.5E-7", "+00012", ".5", "5.", "9" * 35 + "." + "1" * 25,
+        "-" + "9" * 35 + "." + "1" * 25, "123456789012345678901234567890123456789", "1e-30", "-1e-30", "99.9", "-99.9", "-100", "1E+40",
+    ]
+    rows = [(t,) for t in texts] + [(t,) for t in ("", "-", ".", "x", "1x", "1e", "1,000", None, "--1", "e5", "nan")]
+    n = amounts.exact_number("t")
+    got = spark.createDataFrame(rows, "t string").select("t", n.alias("n"), amounts.plain_number(n).alias("plain")).collect()
+    found = {r.t: r for r in got}
+    assert all(found[t].n is None and found[t].plain is None for (t,) in rows[len(texts):])
+    with localcontext() as context:
+        context.prec = 200
+        for t in texts:
+            value, r = Decimal(t), found[t]
+            assert Decimal(r.plain) == value and Decimal(("-" if r.n.negative else "") + r.n.digits).scaleb(-r.n.scale) == value, t
+            assert r.n.digits == "0" or r.n.digits.strip("0") == r.n.digits, t
+        ordered = sorted(texts, key=lambda t: found[t].n.sort_key)
+        assert [Decimal(t) for t in ordered] == sorted(map(Decimal, texts))

@@ -9,7 +9,7 @@ from ledgerloom.plans import jobs, tables
 from ledgerloom.plans.jobs import Store
 from ledgerloom.sources import archives, disclosures, registry
 from ledgerloom.sources import statements as delivered
-from ledgerloom.streaming.ingest import ingest_stream
+from ledgerloom.streaming.ingest import ingest_keyed_stream, ingest_stream
 
 AT, LATER = "2025-01-01 00:00:00", "2025-02-01 00:00:00"
 
@@ -136,6 +136,56 @@ def test_stream_equals_batch(spark, store, tmp_path):
     assert len(streamed) == 3
 
 
+def test_keyed_stream_stores_each_key_once_over_batches_and_restarts(spark, store, tmp_path):
+    landing = tmp_path / "landing" / "fs_div=CFS"
+    landing.mkdir(parents=True)
+
+    def land(name, *rows):
+        (landing / f"{name}.json").write_text(json.dumps(ok(*rows)), encoding="utf-8")
+
+    def run():
+        ingest_keyed_stream(spark, store, str(tmp_path / "landing"), str(tmp_path / "progress"), files_per_batch=1).awaitTermination()
+
+    land("a", raw(order="2", amount="7"), raw(order="2", amount="5"), raw(order=""))
+    land("b", raw(year="2024"), raw(corp="00000009"))
+    land("c", raw(order="2", amount="9"), raw(order=""), raw(year="2023"))
+    run()
+    first = jobs.statements(spark, store).collect()
+    assert sorted((r.bsns_year, r.ord, r.thstrm_amount) for r in first if r.ord == 2) == [("2025", 2, 7)]
+    assert sorted(r.id for r in first) == [1, 2, 3, 4, 5] and sum(r.ord is None for r in first) == 2
+    assert all(r.created_at is not None for r in first)
+    land("d", raw(order="2", amount="7"), raw(year="2022"))  # the first again, after a restart
+    run()
+    assert sorted((r.bsns_year, r.id) for r in jobs.statements(spark, store).collect() if r.id > 5) == [("2022", 6)]
+
+
+def test_emptied_partitions_can_be_filled_again(spark, store):
+    years = answers(spark, ("CFS", ok(raw(), raw(year="2024", amount="5"))))
+    jobs.sync_statements(spark, store, years, AT)
+    rows = jobs.statements(spark, store)
+    jobs.save_ratios(spark, store, rows, AT)
+    from ledgerloom import schemas
+
+    gone = tables.delete_from_table(spark, store.path("ratios"), schemas.RATIOS, F.col("bsns_year") == "2024")
+    assert gone.first().deleted_count == 13
+    assert {r.bsns_year for r in jobs.ratios(spark, store).collect()} == {"2025"}
+    nothing = tables.delete_from_table(spark, store.path("ratios"), schemas.RATIOS, F.col("bsns_year") == "1900")
+    assert nothing.first().deleted_count == 0 and jobs.ratios(spark, store).count() == 13
+    jobs.save_ratios(spark, store, rows, LATER)
+    assert {(r.bsns_year, r.id) for r in jobs.ratios(spark, store).collect()} == {("2024", 2), ("2025", 1)}
+
+
+def test_no_driver_work_in_plans_operators_sources_and_streams():
+    import pathlib
+
+    root = pathlib.Path(jobs.__file__).parents[1]
+    found = [
+        (path.name, word) for part in ("plans", "sources", "streaming") for path in (root / part).glob("*.py")
+        for word in (".collect()", ".count()", "isEmpty", "_jvm", "toPandas", "toLocalIterator") if word in path.read_text()
+    ]
+    assert found == []
+
+
 def test_registry_sources(spark, tmp_path):
     xml = (
         '<?xml version="1.0" encoding="UTF-8"?><result><list><corp_code> 1 </corp_code><corp_name>가&amp;나</corp_name><stock_code> </stock_code>'
