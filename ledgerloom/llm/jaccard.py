@@ -1,19 +1,21 @@
 """Grouped prefix join: documents whose shingle sets have a Jaccard similarity of 90 % or more, and their components.
 
 1. Documents with equal sets are one class; its smallest id stands for it.
-2. Shingles are ordered by how many documents hold them, as far as the counts of frequent ones are known, then by
-   hash. Sets that link share ``SHARED`` shingles of their prefixes, or all they must have in common where that is less
+2. Shingles are ordered by how many documents hold them, then by hash. Counts come from all documents, as a table of
+   ``CELLS`` cells that holds the largest count of any shingle of the cell: a frequent shingle is never taken for a rare
+   one. Sets that link share ``SHARED`` shingles of their prefixes, or all they must have in common where that is less
    (only at 50 percent or below). Classes with one prefix and one size are a group.
-3. Groups that share prefix shingles and have fitting sizes are candidates. A shingle of at most ``HOT`` groups gives
-   pairs; a more frequent one hangs its groups on the smallest, so its rows grow with the list, not with its square.
-4. Candidate groups that hang together are a cluster, expanded to its classes. Blocks of ``BLOCK`` classes are compared
-   from their whole texts; a cluster larger than a block is compared block by block. A block returns a spanning forest
+3. Groups that share prefix shingles are gathered. A shingle of at most ``HOT`` groups gives pairs; a more frequent one
+   hangs its groups on the smallest, so its rows grow with the list, not with its square.
+4. Gathered groups are compared by their prefixes in blocks, and pass as a pair only if their sizes fit and the shared
+   part of the prefixes leaves enough room for the overlap that a link needs. What hangs together by such pairs is a
+   cluster, expanded to its classes, whose whole texts are compared block by block. A block returns a spanning forest
    of its links, so copies are never expanded into all pairs, and no link between different sets is lost.
 
-Any order of shingles is correct, the counts only keep lists short: they come from all documents, but at most
-``KNOWN`` most frequent shingles are broadcast. Null text, empty text or no words: 0 shingles, linked with nothing.
-Rows with one id are one document: its component is that of all of them. A null id is linked with nothing and keeps
-a null component. Empty table: no rows. Other columns are not read.
+A block holds ``BLOCK`` sets and ``BLOCK_SHINGLES`` shingles, or one larger set. Any order of shingles is correct; the
+counts only keep lists short. Null text, empty text or no words: 0 shingles, linked with nothing. Rows with one id are
+one document: its component is that of all of them. A null id is linked with nothing and keeps a null component. Empty
+table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,18 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import lists, table, text_columns, text_slices, written
+from ledgerloom.llm.common import lists, table, text_columns, text_slices, tidy, written
 from ledgerloom.llm.components import connected
 from ledgerloom.llm.shingles import shingle_sets
 
 #: Words of a shingle; links need 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 3, 90
-#: Prefix shingles that linked sets share, longest list that gives pairs, classes compared at once.
-SHARED, HOT, BLOCK = 2, 64, 1024
-#: A shingle counted more often is ordered by its count, at most so many of them.
-FREQUENT, KNOWN = 8, 1 << 20
+#: Prefix shingles that linked sets share, longest list that gives pairs, sets and shingles of a block.
+SHARED, HOT, BLOCK, BLOCK_SHINGLES = 2, 64, 1024, 1 << 19
+#: A shingle counted more often is ordered by its count. Cells of the table of counts (a byte each), and of a chunk of it.
+FREQUENT, CELLS, CHUNK = 8, 1 << 24, 1 << 16
 #: Bytes of text handled at once, and columns of a block's incidence matrix.
-SLICE_BYTES, COLUMNS, SPARSE = 8 << 20, 2048, 16
+SLICE_BYTES, COLUMNS, SPARSE = 4 << 20, 2048, 16
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -45,11 +47,11 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return min(n, n - -(-percent * n // 100) + SHARED)
 
 
-def frequent_shingles(docs: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the most frequent shingles, counted over all documents' lowest hashes.
+def frequency_levels(docs: DataFrame, words: int, percent: int) -> np.ndarray:
+    """Eight times the logarithm of the count of a cell's most frequent shingle, 0 if none is frequent.
 
     Only twice the prefix is counted: shingles with higher hashes come into a prefix only where most lower ones are
-    frequent. The driver gets at most ``KNOWN`` rows.
+    frequent. The driver gets ``CELLS`` bytes.
     """
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,40 +61,37 @@ def frequent_shingles(docs: DataFrame, words: int, percent: int) -> tuple[np.nda
                 tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts)], names=["token", "n"])
 
-    counted = docs.mapInArrow(low, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
-    counted = written(counted, "shingle-counts")
-    sizes = counted.groupBy(F.floor(F.log2("n")).alias("power")).count().collect()  # at most 63 rows
-    power, total = 63, 0
-    for row in sorted(sizes, reverse=True):
-        total += row["count"]
-        if total > KNOWN:
-            break
-        power = row["power"]
-    known = counted.where(F.col("n") >= 2.0**power).toArrow()
-    tokens, counts = known.column(0).to_numpy().view(np.uint64), known.column(1).to_numpy()
-    order = np.argsort(tokens)
-    return tokens[order], counts[order]
+    def levels(rows: pa.Table) -> pa.Table:
+        cells = rows.column("cell").to_numpy()
+        chunk = np.zeros(CHUNK, np.uint8)
+        np.maximum.at(chunk, cells % CHUNK, np.minimum(255, np.ceil(8 * np.log2(rows.column("n").to_numpy()))).astype(np.uint8))
+        return pa.table({"chunk": [int(cells[0]) // CHUNK], "levels": [chunk.tobytes()]})
+
+    counted = docs.mapInArrow(tidy(low), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
+    cells = counted.groupBy(F.pmod("token", F.lit(CELLS)).alias("cell")).agg(F.max("n").alias("n"))
+    found = cells.groupBy(F.floor(F.col("cell") / CHUNK)).applyInArrow(levels, "chunk long, levels binary").toArrow()
+    whole = np.zeros(CELLS, np.uint8)
+    for k, chunk in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
+        whole[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(chunk, np.uint8)
+    return whole
 
 
 def _two(data: bytes) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(data, digest_size=16).digest(), np.int64).tolist())
 
 
-def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
+def sketches(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
     """(doc_id, n, k1, k2, g1, g2, prefix): size, keys of the set and of (size, prefix), and the ordered prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = shared.value
+        levels = shared.value
         for batch in batches:
             for part in text_slices(batch, "text", SLICE_BYTES):
                 sets = shingle_sets(part.column(1), words)
                 keys, prefixes = [], []
                 for own in sets:
-                    count = np.zeros(len(own), np.int64)
-                    if len(tokens) and len(own):
-                        at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
-                        count = np.where(tokens[at] == own, counts[at], 0)
+                    count = levels[(own % np.uint64(len(levels))).astype(np.int64)]
                     length = prefix_length(len(own), percent)
                     alone = len(own) < 2 and percent > 50  # one shingle: linked with equal sets only
                     prefix = own[:0] if alone else own[np.argsort(count, kind="stable")[:length]]
@@ -105,11 +104,11 @@ def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
                     names=["doc_id", "n", "k1", "k2", "g1", "g2", "prefix"],
                 )
 
-    return docs.mapInArrow(sketch, "doc_id long, n long, k1 long, k2 long, g1 long, g2 long, prefix array<long>")
+    return docs.mapInArrow(tidy(sketch), "doc_id long, n long, k1 long, k2 long, g1 long, g2 long, prefix array<long>")
 
 
 def candidate_edges(groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): groups (gid, n, prefix) that may hold linked sets, or hang on a frequent shingle of them."""
+    """(a, b): groups (gid, n, prefix) that share a prefix shingle and may hold linked sets, or hang on a frequent one."""
     postings = groups.select("gid", "n", F.explode("prefix").alias("token"))
     several = postings.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
     several = written(postings.join(several, "token"), "postings")
@@ -167,27 +166,60 @@ def forest(ids: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def in_blocks(sets: DataFrame, ident: str, n: str) -> DataFrame:
+    """``sets`` (ident, cluster, n, ...) of clusters of two or more, once for each pair (i, j) of blocks that its own is part of."""
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("size"), F.sum(n).alias("sum")).where("size > 1")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("sum") / BLOCK_SHINGLES))
+    dealt = sets.join(sizes.select("cluster", blocks.alias("blocks")), "cluster")
+    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    return dealt.withColumn("block", F.pmod(F.xxhash64(ident), F.col("blocks"))).withColumn(
+        "pair", F.explode(F.transform(others, lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j"))))
+    ).select(*sets.columns, "pair.i", "pair.j")
+
+
+def _edges(edges: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+
+def fitting(sizes: np.ndarray, prefixes: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets may link: by size, and by the prefix shingles they share.
+
+    Of two sets, that whose prefix ends first has all it shares outside the common part after its own prefix.
+    """
+    small, large = np.minimum(sizes[:, None], sizes), np.maximum(sizes[:, None], sizes)
+    needed = -(-percent * (small + large) // (100 + percent))
+    rest = sizes - prefixes
+    return (100 * small >= percent * large) & (shared > 0) & (shared + np.maximum(rest[:, None], rest) >= needed)
+
+
+def fitting_groups(groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the pairs of gathered groups (gid, cluster, n, length, prefix) that may hold linked sets."""
+
+    def compare(block: pa.Table) -> pa.Table:
+        if block.num_rows < 2:
+            return _edges([])
+        prefixes = [np.sort(np.array(p, np.int64).view(np.uint64)) for p in block.column("prefix").to_pylist()]
+        lengths = np.array([len(p) for p in prefixes])
+        fits = fitting(block.column("n").to_numpy(), lengths, intersections(prefixes), percent)
+        return _edges(forest(block.column("gid").to_pylist(), fits))
+
+    return in_blocks(groups, "gid", "length").groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links that connect all linked classes. ``members``: (rep, cluster, size) of clusters with two or more."""
-    # every class goes to each pair of blocks that its own block is part of
-    blocks = F.ceil(F.col("size") / BLOCK)
-    placed = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).select(
-        "rep", "cluster", F.explode(F.transform(
-            F.sequence(F.lit(0).cast("long"), blocks - 1),
-            lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")),
-        )).alias("pair"),
-    ).select("rep", "cluster", "pair.i", "pair.j")
+    """(a, b): links that connect all linked classes. ``members``: (rep, cluster, n)."""
+    placed = in_blocks(members, "rep", "n").select("rep", "cluster", "i", "j")
     texts = docs.join(placed, F.col("doc_id") == F.col("rep")).select("cluster", "i", "j", "doc_id", "text")
 
     def compare(block: pa.Table) -> pa.Table:
-        edges = []
-        if block.num_rows > 1:
-            sets = [s for chunk in block.column("text").chunks for s in shingle_sets(chunk, words)]
-            sizes = np.array([len(s) for s in sets])
-            common = intersections(sets)
-            linked = (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (common > 0)
-            edges = forest(block.column("doc_id").to_pylist(), linked)
-        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+        if block.num_rows < 2:
+            return _edges([])
+        sets = [s for part in block.to_batches() for some in text_slices(part, "text", SLICE_BYTES)
+                for s in shingle_sets(some.column("text"), words)]
+        sizes = np.array([len(s) for s in sets])
+        common = intersections(sets)
+        linked = (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (common > 0)
+        return _edges(forest(block.column("doc_id").to_pylist(), linked))
 
     return texts.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
@@ -195,22 +227,22 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     docs = text_columns(docs)
-    sketch = written(sketches(docs, frequent_shingles(docs, words, percent), words, percent), "sketches")
+    sketch = written(sketches(docs, frequency_levels(docs, words, percent), words, percent), "sketches")
     usable = sketch.where("n > 0 and doc_id is not null")
-    classes = usable.groupBy("k1", "k2").agg(*(F.min(c).alias(c) for c in ("g1", "g2")), F.min("doc_id").alias("rep"))
+    classes = usable.groupBy("k1", "k2").agg(*(F.min(c).alias(c) for c in ("g1", "g2", "n")), F.min("doc_id").alias("rep"))
     groups = written(
         usable.groupBy("g1", "g2").agg(F.min("doc_id").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix")),
         "groups",
     )
-    clusters = connected(candidate_edges(groups, percent)).withColumnRenamed("component", "found")
+    gathered = connected(candidate_edges(groups, percent)).withColumnRenamed("component", "cluster")
+    near = groups.join(gathered, F.col("gid") == F.col("id")).select("gid", "cluster", "n", F.size("prefix").alias("length"), "prefix")
+    clusters = connected(fitting_groups(near, percent)).withColumnRenamed("component", "found")
     members = (
         classes.join(groups.select("g1", "g2", "gid"), ["g1", "g2"])
         .join(clusters, F.col("gid") == F.col("id"), "left")
-        .select("rep", F.coalesce("found", "gid").alias("cluster")).distinct()
+        .select("rep", F.coalesce("found", "gid").alias("cluster"), "n").distinct()
     )
-    members = written(members, "members")
-    several = members.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")
-    links = verified_links(docs, members.join(several, "cluster"), words, percent)
+    links = verified_links(docs, written(members, "members"), words, percent)
     # rows of one id are one document, which ties its classes
     several_sets = usable.groupBy("doc_id").agg(F.count_distinct("k1", "k2").alias("sets")).where("sets > 1").select("doc_id")
     ties = usable.join(several_sets, "doc_id").join(classes.select("k1", "k2", "rep"), ["k1", "k2"])

@@ -1,48 +1,17 @@
-"""Sets of hashed word shingles of whole texts, made from the bytes of an Arrow column at once."""
+"""Sets of hashed word shingles of whole texts, from the hashes of their distinct words."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 
-from ledgerloom.llm.common import buffers
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_ODD = np.random.Generator(np.random.PCG64(20)).integers(1 << 62, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective mix of 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+from ledgerloom.llm.words import cut, distinct, hashes, mixed
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (A-Z lowered, cut at ASCII white space) and each text's first word among them."""
-    data, offsets = buffers(texts)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    inside = ~_SPACE[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    edges = offsets[:-1][offsets[:-1] < len(data)]
-    begins[edges] = inside[edges]  # a word never runs from one text into the next
-    starts = np.flatnonzero(begins)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    where = np.flatnonzero(inside)
-    word = np.cumsum(begins)[where] - 1
-    sizes = np.bincount(word)
-    place = np.arange(len(where)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    powers = np.cumprod(np.full(int(sizes.max()), _BASE, np.uint64))
-    terms = _ODD[_LOWER[data[where]]] * powers[place]
-    hashes = np.add.reduceat(terms, np.cumsum(sizes) - sizes)
-    return mixed(hashes + sizes.astype(np.uint64)), np.searchsorted(starts, offsets)
+    found = cut(texts, lower=True)
+    return hashes(found.distinct)[found.codes], found.begins
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -55,7 +24,7 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     sets = []
     for a, b in zip(begins[:-1].tolist(), begins[1:].tolist()):
         if b - a >= words:
-            sets.append(np.unique(rolled[a : b - words + 1]))
+            sets.append(distinct(rolled[a : b - words + 1]))
         elif b > a:
             short = np.full(1, b - a, np.uint64)
             for h in hashes[a:b]:

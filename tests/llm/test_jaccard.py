@@ -58,11 +58,12 @@ def test_whole_table(spark, sf_dir):
     assert got(op.op8_jaccard(spark, sf_dir)) == brute(rows)
 
 
-@pytest.mark.parametrize("hot,block,frequent", [(64, 1024, 8), (3, 16, 2), (2, 7, 1)])
-def test_groups_of_copies_small_and_large(spark, monkeypatch, hot, block, frequent):
-    monkeypatch.setattr(op, "HOT", hot)
-    monkeypatch.setattr(op, "BLOCK", block)
-    monkeypatch.setattr(op, "FREQUENT", frequent)
+@pytest.mark.parametrize(
+    "limits", [{}, {"HOT": 3, "BLOCK": 16, "FREQUENT": 2}, {"HOT": 2, "BLOCK": 7, "FREQUENT": 1, "CELLS": 64, "CHUNK": 16},
+               {"HOT": 2, "BLOCK_SHINGLES": 500, "FREQUENT": 10**9}])
+def test_groups_of_copies_small_and_large(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(op, name, value)
     draw = random.Random(9)
     rows = copies(70, 90, 4, 1) + copies(30, 12, 1, 2, 100) + copies(20, 400, 30, 3, 200)
     passage = " ".join(f"p{i}" for i in range(30))
@@ -121,3 +122,37 @@ def test_small_sets_link_at_low_percents(spark, percent):
         component[a] = component[b] = min(component[a], component[b])
     wanted = sorted((i, len(sets[i]), component[i]) for i in sets)
     assert got(op.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent)) == sorted(wanted, key=str)
+
+
+def test_unrelated_texts_with_stock_phrases_are_hardly_ever_compared(spark, monkeypatch):
+    """Even where no shingle is known to be frequent: a stock phrase or two in a prefix do not make room for a link."""
+    monkeypatch.setattr(op, "FREQUENT", 10**9)
+    monkeypatch.setattr(op, "HOT", 4)
+    draw = random.Random(12)
+    stock = [[f"s{k}_{i}" for i in range(8)] for k in range(40)]
+    rows = []
+    for i in range(1500):
+        parts = [draw.choice(stock) if draw.random() < 0.3 else [f"u{draw.randint(0, 10**7)}" for _ in range(8)] for _ in range(40)]
+        rows.append((i, " ".join(w for part in parts for w in part)))
+    met = []
+    links = op.verified_links
+    monkeypatch.setattr(op, "verified_links", lambda docs, members, *more: met.append(members) or links(docs, members, *more))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert all(r.component_id == r.doc_id for r in op.join(docs).collect())
+    compared = met[0].groupBy("cluster").count().where("count > 1").collect()
+    assert len(compared) <= 5 and all(r["count"] == 2 for r in compared)
+
+
+def test_pairs_that_link_always_fit():
+    draw = np.random.default_rng(6)
+    for percent in (50, 80, 90):
+        for _ in range(200):
+            base = np.unique(draw.integers(0, 10**6, draw.integers(2, 120)))
+            other = np.unique(np.concatenate([base[draw.random(len(base)) < draw.uniform(0.8, 1)], draw.integers(0, 10**6, draw.integers(0, 12))]))
+            if 100 * len(np.intersect1d(base, other)) < percent * len(np.union1d(base, other)) or not len(other):
+                continue
+            rank = dict(zip(draw.permutation(np.union1d(base, other)).tolist(), range(10**6)))
+            prefixes = [sorted(s.tolist(), key=rank.get)[: op.prefix_length(len(s), percent)] for s in (base, other)]
+            shared = len(set(prefixes[0]) & set(prefixes[1]))
+            sizes, lengths = np.array([len(base), len(other)]), np.array([len(p) for p in prefixes])
+            assert op.fitting(sizes, lengths, np.full((2, 2), shared), percent)[0, 1]
