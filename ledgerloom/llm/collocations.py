@@ -18,6 +18,8 @@ text: no words. A null language is ``und``. Repeated rows count again; doc_id is
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,13 +29,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table, text_slices, written
-from ledgerloom.llm.words import cut, hashes, mixed
+from ledgerloom.llm.common import table, text_slices, tidy, written
+from ledgerloom.llm.words import cut, distinct, hashes, mixed
 
 #: Least count of a phrase, share in percent at which a longer phrase takes a shorter one's place, rows per language.
 LEAST, TAKES, TOP = 30, 80, 2000
 #: Phrases of an unsplit container, phrases and words of a trie, text at once, text of a prefix partition.
-BURST, LIMIT, WORD_LIMIT, SLICE_BYTES, PART_BYTES = 1 << 14, 1 << 20, 3 << 17, 4 << 20, 16 << 20
+BURST, LIMIT, WORD_LIMIT, SLICE_BYTES, PART_BYTES = 1 << 14, 1 << 19, 1 << 18, 2 << 20, 4 << 20
 #: Bloom filter: bits for each phrase, most bits, probes, bits of a chunk.
 BITS, MOST_BITS, PROBES, CHUNK = 16, 1 << 28, 4, 1 << 19
 
@@ -54,59 +56,62 @@ class HatTrie:
     def __init__(self):
         self.whole: dict | None = {}
         self.children: dict[int, dict[int, int]] = {}
-        self.size = 0
 
     def add(self, prefix: np.ndarray, ending: np.ndarray) -> None:
-        order = np.lexsort((ending, prefix))
-        prefix, ending = prefix[order], ending[order]
-        fresh = np.ones(len(prefix), bool)
-        fresh[1:] = (prefix[1:] != prefix[:-1]) | (ending[1:] != ending[:-1])
-        first = np.flatnonzero(fresh)
-        counts = np.diff(np.append(first, len(prefix)))
-        self.merge(prefix[first], ending[first], counts)
+        if len(prefix) and max(int(prefix.max()), int(ending.max())) < 1 << _ID:  # both in one number: sorted several times faster
+            both = np.sort(prefix << _ID | ending)
+            first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+            prefix, ending = both >> _ID, both & ((1 << _ID) - 1)
+        else:
+            order = np.lexsort((ending, prefix))
+            prefix, ending = prefix[order], ending[order]
+            fresh = np.ones(len(prefix), bool)
+            fresh[1:] = (prefix[1:] != prefix[:-1]) | (ending[1:] != ending[:-1])
+            first = np.flatnonzero(fresh)
+        self.merge(prefix[first], ending[first], np.diff(np.append(first, len(prefix))))
 
     def merge(self, prefix: np.ndarray, ending: np.ndarray, counts: np.ndarray) -> None:
         """Distinct phrases in order, with their counts."""
         if self.whole is not None:
             for p, e, n in zip(prefix.tolist(), ending.tolist(), counts.tolist()):
                 self.whole[p, e] = self.whole.get((p, e), 0) + n
-            self.size = len(self.whole)
-            if self.size > BURST:
+            if len(self.whole) > BURST:
                 self._burst()
             return
         if not len(prefix):
             return
         edges = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1])))
         ends = np.append(edges[1:], len(prefix)).tolist()
-        ending, counts = ending.tolist(), counts.tolist()
+        ending, counts, children = ending.tolist(), counts.tolist(), self.children
         for p, a, b in zip(prefix[edges].tolist(), edges.tolist(), ends):
-            child = self.children.get(p)
+            child = children.get(p)
             if child is None:
-                self.children[p] = dict(zip(ending[a:b], counts[a:b]))
-                self.size += b - a
+                children[p] = dict(zip(ending[a:b], counts[a:b]))
                 continue
-            before = len(child)
+            get = child.get
             for e, n in zip(ending[a:b], counts[a:b]):
-                child[e] = child.get(e, 0) + n
-            self.size += len(child) - before
+                child[e] = get(e, 0) + n
+
+    @property
+    def size(self) -> int:
+        return len(self.whole) if self.whole is not None else sum(map(len, self.children.values()))
 
     def _burst(self) -> None:
-        held, self.whole, self.size = self.whole, None, 0
+        held, self.whole = self.whole, None
         for (p, e), n in held.items():
             self.children.setdefault(p, {})[e] = n
-        self.size = len(held)
 
     def take(self, at_most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Prefixes, endings and counts of the largest subtrees, taken out until ``at_most`` phrases are left."""
         if self.whole is not None:
             self._burst()
-        chosen = []
-        for p in sorted(self.children, key=lambda p: len(self.children[p]), reverse=True):
-            if self.size <= at_most:
+        chosen, left = [], self.size
+        for p in sorted(self.children, key=lambda p: len(self.children[p]), reverse=True) if at_most else list(self.children):
+            if left <= at_most:
                 break
             child = self.children.pop(p)
             chosen.append((p, child))
-            self.size -= len(child)
+            left -= len(child)
         sizes = [len(child) for _, child in chosen]
         prefix = np.repeat(np.array([p for p, _ in chosen], np.int64), sizes)
         ending, counts = np.empty(sum(sizes), np.int64), np.empty(sum(sizes), np.int64)
@@ -127,17 +132,28 @@ class Counter:
 
     def _clear(self) -> None:
         self.tries = {n: HatTrie() for n in self.lengths}
-        self.ids: dict[tuple[str, bytes], int] = {}
-        self.names: list[tuple[str, bytes]] = []
-
-    def number(self, names: list[tuple[str, bytes]]) -> np.ndarray:
-        found = np.fromiter((self.ids.setdefault(name, len(self.ids)) for name in names), np.int64, len(names))
-        self.names += [name for name, i in zip(names, found.tolist()) if i >= len(self.names)]
-        return found
+        self.following = itertools.count()
+        self.ids: dict[str, defaultdict[bytes, int]] = {}
+
+    def number(self, lang: str, words: list[bytes]) -> np.ndarray:
+        """Ids of words of a language; a new word gets the next one."""
+        ids = self.ids.setdefault(lang, defaultdict(self.following.__next__))
+        return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+
+    def _names(self) -> tuple[list[str], np.ndarray, pa.Array]:
+        """Languages, and of every id the place of its language and its word."""
+        langs = sorted(self.ids)
+        total = sum(map(len, self.ids.values()))
+        lang, order, words = np.empty(total, np.int64), np.empty(total, np.int64), []
+        for k, name in enumerate(langs):
+            own = np.fromiter(self.ids[name].values(), np.int64, len(self.ids[name]))
+            lang[own], order[own] = k, len(words) + np.arange(len(own))
+            words += self.ids[name]
+        return langs, lang, pa.array(words, pa.binary()).take(pa.array(order))
 
     def full(self) -> Iterator[pa.RecordBatch]:
         """Runs of subtrees that the task has no room for."""
-        if len(self.names) > WORD_LIMIT:
+        if sum(map(len, self.ids.values())) > WORD_LIMIT:
             yield from self.rest()
         for n, trie in self.tries.items():
             if trie.size > LIMIT // len(self.tries):
@@ -153,10 +169,7 @@ class Counter:
         low = (1 << _ID) - 1
         columns = {1: [ending], 2: [prefix, ending], 3: [prefix >> _ID, prefix & low, ending],
                    4: [prefix >> _ID, prefix & low, ending >> _ID, ending & low]}[n]
-        langs = sorted({lang for lang, _ in self.names})
-        code = {lang: k for k, lang in enumerate(langs)}
-        lang = np.fromiter((code[name[0]] for name in self.names), np.int64, len(self.names))
-        words = pa.array([name[1] for name in self.names], pa.binary())
+        langs, lang, words = self._names()
         rank = np.empty(len(words), np.int64)
         rank[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
         own = hashes(words)
@@ -164,20 +177,25 @@ class Counter:
         if n > 1:
             part = part + own[columns[1]] * _FACTORS[1]
         part = (mixed(part) % np.uint64(self.parts)).astype(np.int64)
-        order = np.lexsort([rank[c] for c in reversed(columns)] + [lang[columns[0]], part])
+        ranks = [rank[c] for c in columns]
+        pairs = [ranks[i] << _ID | ranks[i + 1] if i + 1 < n else ranks[i] for i in range(0, n, 2)]
+        order = np.lexsort([*reversed(pairs), part * len(langs) + lang[columns[0]]])
         part, spoken = part[order], lang[columns[0]][order]
         joined = words.take(pa.array(columns[0][order]))
         for c in columns[1:]:
             joined = pc.binary_join_element_wise(joined, words.take(pa.array(c[order])), b" ")
         counts = counts[order].astype("<u8")
         edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+        ends = [*edges[1:].tolist(), len(part)]
+        offsets = pa.array(np.append(edges, len(part)), pa.int64())
+        texts = pc.binary_join(pa.LargeListArray.from_arrays(offsets, joined), b"\n")
         compress = zstandard.ZstdCompressor(level=3).compress
         rows = []
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)]):
+        for a, b, text in zip(edges.tolist(), ends, texts):
             found, sizes = np.unique(spoken[a:b], return_counts=True)
             planes = counts[a:b].view(np.uint8).reshape(-1, 8).T.tobytes()
-            text = b"\n".join(joined.slice(a, b - a).to_pylist())
-            rows.append((int(part[a]), n, [langs[k] for k in found.tolist()], sizes.tolist(), compress(text), compress(planes)))
+            names = [langs[k] for k in found.tolist()]
+            rows.append((int(part[a]), n, names, sizes.tolist(), compress(text.as_buffer()), compress(planes)))
         kinds = [pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
         columns = list(zip(*rows)) if rows else [()] * len(kinds)
         return pa.RecordBatch.from_arrays(
@@ -285,7 +303,7 @@ def counted(docs: DataFrame, lengths: tuple[int, ...], parts: int, least: int, k
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return add_up(batches)
 
-    return docs.mapInArrow(count, _RUNS).groupBy("part").applyInArrow(merge, _COUNTS)
+    return docs.mapInArrow(tidy(count), _RUNS).groupBy("part").applyInArrow(merge, _COUNTS)
 
 
 def _add(counter: Counter, docs: pa.RecordBatch, lengths: tuple[int, ...], known: np.ndarray | None) -> None:
@@ -301,15 +319,23 @@ def _add(counter: Counter, docs: pa.RecordBatch, lengths: tuple[int, ...], known
     langs = coded.dictionary.to_pylist()
     lang = coded.indices.to_numpy(zero_copy_only=False)[text].astype(np.int64)
     # distinct words by language
-    pair, spoken = np.unique(lang * len(found.distinct) + found.codes, return_inverse=True)
-    of_lang, of_word = np.divmod(pair, len(found.distinct))
+    size = len(found.distinct)
+    key = lang * size + found.codes
+    if len(langs) * size <= 8 * len(key) + (1 << 20):
+        present = np.bincount(key, minlength=len(langs) * size) > 0
+        pair, spoken = np.flatnonzero(present), (np.cumsum(present) - 1)[key]
+    else:
+        pair, spoken = np.unique(key, return_inverse=True)
+    of_lang, of_word = np.divmod(pair, size)
     own, tongue = hashes(found.distinct)[of_word], lang_hashes(langs)[of_lang]
 
     def number(chosen: np.ndarray) -> np.ndarray:
-        """Ids of the distinct words that are used."""
+        """Ids of the distinct words that are used, which come by language."""
         ids = np.full(len(pair), -1, np.int64)
-        words = found.distinct.take(pa.array(of_word[chosen])).to_pylist()
-        ids[chosen] = counter.number([(langs[k], w) for k, w in zip(of_lang[chosen].tolist(), words)])
+        edges = np.searchsorted(of_lang[chosen], np.arange(len(langs) + 1))
+        for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            if b > a:
+                ids[chosen[a:b]] = counter.number(langs[k], found.distinct.take(pa.array(of_word[chosen[a:b]])).to_pylist())
         return ids
 
     if lengths == (1,):
@@ -329,7 +355,7 @@ def _add(counter: Counter, docs: pa.RecordBatch, lengths: tuple[int, ...], known
     together[at] = passes(known, phrase_hashes([own[spoken[at]], own[spoken[at + 1]]], tongue[spoken[at]]))
     three = np.flatnonzero(together[:-1] & together[1:])
     four = np.flatnonzero(together[:-2] & together[1:-1] & together[2:])
-    used = np.unique(spoken[np.unique(np.concatenate([three, three + 1, three + 2]))])
+    used = distinct(spoken[np.concatenate([three, three + 1, three + 2])])
     ids = number(used)[spoken]
     pairs = np.where(together, ids[:-1] << _ID | ids[1:], -1)
     counter.tries[3].add(pairs[three], ids[three + 2])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import buffers, table, text_slices
+from ledgerloom.llm.common import buffers, table, text_slices, tidy
 
 #: Size of a state, bytes of a training window, windows per label, training steps, windows in a step, step size.
 HIDDEN, STEPS, PER_LABEL, UPDATES, BATCH, RATE = 8, 96, 512, 240, 128, 0.02
@@ -199,7 +199,8 @@ def fit(docs: DataFrame) -> Network:
 
 
 def predict(docs: DataFrame, net: Network, label: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the two named ones; only the text is looked at."""
+    """All columns of ``docs`` and the two named ones, which replace columns of these names; only the text is looked at."""
+    docs = docs.drop(label, score)
     schema = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
     rows = docs.withColumn("\x00letter", has_letter(F.col("text")))
 
@@ -218,7 +219,7 @@ def predict(docs: DataFrame, net: Network, label: str = "lang_pred", score: str
                     names=[*part.schema.names[:-1], label, score],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:

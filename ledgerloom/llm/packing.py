@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table, text_columns, text_slices
+from ledgerloom.llm.common import table, text_columns, text_slices, tidy
 from ledgerloom.llm.tokens import file_encoder
 
 #: Ids in a window, end id of a document, parts packed together, bytes of text encoded at once.
@@ -80,8 +80,13 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
         windows += 1
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, group: int = GROUP_PIECES) -> DataFrame:
-    """A row per piece with its ids (little-endian unsigned 32-bit) and its place in a sequence."""
+def pack(
+    docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, group: int = GROUP_PIECES, keep_encoder: bool = True
+) -> DataFrame:
+    """A row per piece with its ids (little-endian unsigned 32-bit) and its place in a sequence.
+
+    ``keep_encoder``: a worker keeps the encoder and the ids of chunks it has seen for its next task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part_ids = file_encoder(path), max(1, window // 4)
@@ -129,8 +134,11 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
                     yield rows(out)
         if waiting:
             yield rows(packed())
+        if not keep_encoder:
+            del encoder
+            file_encoder.cache_clear()
 
-    return text_columns(docs).mapInArrow(run, _PIECES)
+    return text_columns(docs).mapInArrow(tidy(run), _PIECES)
 
 
 def digests(pieces: DataFrame) -> DataFrame:

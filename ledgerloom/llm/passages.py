@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import new_folder, spread_ranges, table, text_columns, text_slices, written
+from ledgerloom.llm.common import new_folder, spread_ranges, table, text_columns, text_slices, tidy, written
 from ledgerloom.llm.words import cut, distinct, hashes, mixed
 
 WORDS = 13
@@ -219,7 +219,7 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 for row in range(DEPTH):
                     yield sent(path, distinct(block.cells(row, bits)), bits, ranges, row * ranges)
 
-    replies = manifest.repartition(tasks).mapInArrow(touched, _SENT).groupBy("part").applyInArrow(repeated_cells, _MASK)
+    replies = manifest.repartition(tasks).mapInArrow(tidy(touched), _SENT).groupBy("part").applyInArrow(repeated_cells, _MASK)
     replies = written(replies, "passage-cells")
 
     def likely(block: Windows, masks: list | None) -> np.ndarray:
@@ -242,7 +242,7 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     by_block = replies.groupBy("path").agg(F.collect_list(F.struct("part", "mask")).alias("cells"))
     with_cells = written(manifest.join(by_block, "path", "left").select("path", "cells"), "passage-replies")
-    answers = with_cells.repartition(tasks).mapInArrow(asked, _SENT).groupBy("part").applyInArrow(smaller_elsewhere, _MASK)
+    answers = with_cells.repartition(tasks).mapInArrow(tidy(asked), _SENT).groupBy("part").applyInArrow(smaller_elsewhere, _MASK)
     answers = answers.groupBy("path").agg(F.collect_list(F.struct("part", "mask")).alias("windows"))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,7 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 gone = elsewhere[block.place] | (block.least[block.place] < block.docs)
                 yield from kept_texts(block, gone, words)
 
-    return with_cells.join(answers, "path", "left").repartition(tasks).mapInArrow(finished, _KEPT)
+    return with_cells.join(answers, "path", "left").repartition(tasks).mapInArrow(tidy(finished), _KEPT)
 
 
 def kept_texts(block: Windows, gone: np.ndarray, words: int) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table, text_columns, text_slices, written
+from ledgerloom.llm.common import give_back, table, text_columns, text_slices, tidy, written
 
 # fixed values: the patterns of the base kinds and the least length of what they must hold
 ASSIGN = re.compile(
@@ -247,7 +247,7 @@ def corpus_words(docs: DataFrame) -> dict[str, float]:
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
 
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    counted = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
+    counted = texts.mapInArrow(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
     counted = written(counted.withColumn("level", F.floor(F.log2("n") * 8)), "word-counts")
     least, total = 0, 0
     for row in sorted(counted.groupBy("level").count().collect(), reverse=True):  # at most 504 rows
@@ -286,7 +286,7 @@ def scan(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
                     names=[f.split()[0] for f in schema.split(", ")],
                 )
 
-    return text_columns(docs).mapInArrow(run, schema)
+    return text_columns(docs).mapInArrow(tidy(run), schema)
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", min_bits: float = MIN_BITS) -> DataFrame:
@@ -298,6 +298,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", min_bits: float = MIN_BITS)
         words = shared.value
         for batch in texts:
             yield batch.map(lambda text: _redacted(text, mark, min_bits, words), na_action="ignore")
+        give_back()
 
     cleaned = F.pandas_udf(clean, "string")(F.col("text").cast("string"))
     out = docs.withColumn("text", cleaned)

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -75,3 +76,48 @@ def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs, net):
     assert {(r.lang_pred, r.score) for r in op.predict(odd_docs, nothing).collect()} == {("und", 0.0)}
     one = op.fit(odd_docs.where("doc_id = 1"))
     assert {r.lang_pred for r in op.predict(odd_docs, one).collect()} <= {"en", "und"}
+
+
+def plain_probabilities(net, text):
+    """Byte after byte in both directions, stretch after stretch, without any batching."""
+    hidden = op.HIDDEN
+
+    def states(stretch, direction):
+        h, found = [0.0] * hidden, []
+        for byte in stretch:
+            seen = net.p["x"][direction][byte]
+            own = [sum(h[i] * float(net.p["u"][direction][i][j]) for i in range(hidden)) for j in range(3 * hidden)]
+            gate = [min(1.0, max(0.0, 0.25 * (float(seen[j]) + own[j]) + 0.5)) for j in range(2 * hidden)]
+            fresh = [float(seen[2 * hidden + j]) + gate[hidden + j] * own[2 * hidden + j] for j in range(hidden)]
+            fresh = [v / (1 + abs(v)) for v in fresh]
+            h = [fresh[j] + gate[j] * (h[j] - fresh[j]) for j in range(hidden)]
+            found.append(h)
+        return found
+
+    total = [0.0] * len(net.labels)
+    for first in range(0, len(text), op.STRETCH):
+        stretch = text[first : first + op.STRETCH]
+        for forward, backward in zip(states(stretch, 0), states(stretch[::-1], 1)[::-1]):
+            logits = [
+                sum(forward[i] * float(net.p["o"][0][i][k]) + backward[i] * float(net.p["o"][1][i][k]) for i in range(hidden)) + float(net.p["c"][k])
+                for k in range(len(net.labels))
+            ]
+            powers = [math.exp(v) for v in logits]
+            total = [t + v / sum(powers) for t, v in zip(total, powers)]
+    return [t / len(text) for t in total]
+
+
+def test_probabilities_equal_a_plain_loop_over_bytes(net):
+    texts = ["the end", "ä", "Le chat est là. " * 12, "x" * op.STRETCH, "der Hund und " * 25]
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0] + [len(t) for t in data])
+    found = net.probabilities(np.frombuffer(b"".join(data), np.uint8), offsets)
+    for text, row in zip(data, found):
+        assert np.allclose(row, plain_probabilities(net, text), atol=1e-4)
+
+
+def test_columns_of_the_result_may_clash(spark, net):
+    frame = spark.createDataFrame([(1, "the end of it", "old", 3.0)], "doc_id long, text string, lang_pred string, score double")
+    got = op.predict(frame, net)
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"] and got.first().lang_pred in net.labels
+    assert op.keep_known(frame.withColumn("lang", op.F.lit("en"))).columns == [*frame.columns, "lang"]
