@@ -6,6 +6,9 @@ vary with the document number. The oracles compute the expected sections from nu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -317,13 +320,21 @@ select page_id, case when not contains(html, '<meta charset="utf-8">') then html
 from pages"""
 
 
+def _cp949(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield batch.map(lambda text: text.encode("cp949"), na_action="ignore")
+
+
 def charset_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts written in a declared charset, read back from bytes."""
+    """Texts written in a declared charset, or in an undeclared Korean one, read back from bytes."""
     key = F.col("doc_id")
     # the third of the texts that Latin-1 can hold is written in it; without a declaration the bytes are UTF-8
     latin = (key % 3 == 2) & F.col("text").rlike(r"^[\x00-\xff]*$")
+    # of the texts that are ASCII alone, a third gets a Korean beginning
+    korean = F.when((key % 3 == 0) & F.col("text").rlike(r"^[\x00-\x7f]*$"), F.concat(F.lit("감사 보고서 "), "text"))
     content = (
-        F.when(key % 3 == 1, F.encode("text", "UTF-16BE")).when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+        F.when(key % 3 == 1, F.encode("text", "UTF-16BE")).when(latin, F.encode("text", "ISO-8859-1"))
+        .when(korean.isNotNull(), F.pandas_udf(_cp949, "binary")(korean)).otherwise(F.encode("text", "UTF-8"))
     )
     declared = (
         F.when(key % 3 == 1, 'text/html; charset="utf-16-be"').when(latin, "text/html;charset=iso-8859-1 ").otherwise("text/html")
@@ -331,7 +342,8 @@ def charset_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.table(spark, sf_dir, "documents").select("doc_id", markup.decode_bytes(content, declared).alias("text"))
 
 
-CHARSET_DECODE = "select doc_id, text from documents"
+CHARSET_DECODE = r"""
+select doc_id, case when doc_id % 3 = 0 and regexp_full_match(text, '[\x00-\x7f]*') then '감사 보고서 ' || text else text end as text from documents"""
 
 
 def assemble_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:

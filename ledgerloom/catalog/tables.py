@@ -710,9 +710,7 @@ def attachment_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(titles, (F.col("o_orderkey") % len(_TITLES) + 1).cast("int")).alias("title"),
         F.col("o_orderkey").alias("ordinal"),
     )
-    auto = search.pick_attachment(rows, "ordinal").withColumn("asked", F.lit("any"))
-    separate = search.pick_attachment(rows, "ordinal", consolidated=False).withColumn("asked", F.lit("separate"))
-    return auto.unionByName(separate)
+    return search.pick_attachments(rows, "ordinal")
 
 
 ATTACHMENT_PICK = """

@@ -238,6 +238,13 @@ def charset_of(content_type: Column | str) -> Column:
 
 
 def decode_bytes(content: Column | str, content_type: Column | str) -> Column:
-    """Text of downloaded bytes: declared charset, utf-8, the Korean code pages, then utf-8 with marks."""
-    decode = F.pandas_udf(_decode_batch, "string")
-    return decode(as_column(content), charset_of(content_type))
+    """Text of downloaded bytes: declared charset, utf-8, the Korean code pages, then utf-8 with marks.
+
+    Valid UTF-8 and Latin-1 are decoded by Spark; only other bytes go to Python.
+    """
+    content, declared = as_column(content).cast("binary"), charset_of(content_type)
+    name = F.lower(declared)
+    utf8 = (declared.isNull() | name.isin("utf-8", "utf8")) & F.is_valid_utf8(content.cast("string"))
+    latin = name.isin("iso-8859-1", "latin-1", "latin1")
+    rest = F.pandas_udf(_decode_batch, "string")(F.when(~F.coalesce(utf8 | latin, F.lit(False)), content), declared)
+    return F.when(utf8, content.cast("string")).when(latin, F.decode(content, "ISO-8859-1")).otherwise(rest)

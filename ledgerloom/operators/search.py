@@ -259,6 +259,14 @@ def pick_attachment(attachments: DataFrame, ordinal: str, consolidated: bool | N
     return pick_first(candidates, ["rcept_no"], order)
 
 
+def pick_attachments(attachments: DataFrame, ordinal: str) -> DataFrame:
+    """``pick_attachment`` for ``asked`` = any scope and separate alone, from one pass over the candidates."""
+    candidates = audit_attachments(attachments, ordinal)
+    asked = F.array_compact(F.array(F.lit("any"), F.when(~F.col("is_consolidated"), "separate")))
+    order = [F.col("is_consolidated").desc(), F.col("title").asc(), F.col(ordinal).asc()]
+    return pick_first(candidates.withColumn("asked", F.explode(asked)), ["rcept_no", "asked"], order)
+
+
 def statement_view(statements: DataFrame, **equals: str | None) -> DataFrame:
     """Stored rows with any of the equality filters given; filters reach the scan."""
     for column, value in equals.items():

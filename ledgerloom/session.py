@@ -72,6 +72,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A path of its own in the shared folder, for files that a job writes and reads back."""
+    """A path of its own in the shared folder, for files that a job writes and reads back; deleted when the driver ends."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
