@@ -286,6 +286,39 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_BLOCK_TAGS = ("p", "li", "td", "h3")
+
+
+def shared_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as blocks of pages; each block with the number of documents that show its text and the first."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda t: reports.escape_html(collapse(t))), lambda t: t != "")
+    opened = lambda i: F.element_at(F.array(*[F.lit(t) for t in _BLOCK_TAGS]), (i % len(_BLOCK_TAGS) + 1).cast("int"))
+    body = F.array_join(F.transform(lines, lambda t, i: F.concat(F.lit("<"), opened(i), F.lit("> "), t, F.lit(" </"), opened(i), F.lit(">\n"))), "")
+    pages = spread(star.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
+        "doc_id", F.concat(F.lit("<html><body><script>var x = '<p>no</p>';</script>"), body, F.lit("</body></html>")).alias("html"))
+    blocks = reports.parse(pages, keep=("doc_id",)).select("doc_id", F.posexplode("doc.blocks").alias("position", "b")).select(
+        "doc_id", "position", "b.tag", "b.text")
+    shown = blocks.select("doc_id", F.col("text").alias("shown")).distinct().groupBy("shown").agg(
+        F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
+    return blocks.join(shown, F.col("text") == F.col("shown")).groupBy("doc_id", "tag").agg(
+        F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("documents") > 1).alias("shared_blocks"),
+        F.count_if(F.col("first_doc") < F.col("doc_id")).alias("seen_before"), F.sum(F.length("text")).alias("chars"),
+        F.max("position").alias("last_position"),
+    )
+
+
+SHARED_BLOCKS = rf"""
+with l as (
+  select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as ls
+  from documents),
+b as (select doc_id, unnest(ls) as text, generate_subscripts(ls, 1) - 1 as position from l),
+t as (select *, ['p', 'li', 'td', 'h3'][position % 4 + 1] as tag from b),
+s as (select text, count(distinct doc_id) as documents, min(doc_id) as first_doc from t group by text)
+select doc_id, tag, count(*) as blocks, count(*) filter (where documents > 1) as shared_blocks, count(*) filter (where first_doc < doc_id) as seen_before,
+  sum(length(t.text))::bigint as chars, max(position)::int as last_position
+from t join s using (text) group by doc_id, tag"""
+
+
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.table(spark, sf_dir, "pages").select("page_id", markup.html_text("html").alias("text"))
 
@@ -563,6 +596,7 @@ QUERIES = {
     "going_concern": (going_concern_section, GOING_CONCERN),
     "audit_summary": (audit_summary, AUDIT_SUMMARY),
     "html_blocks": (html_blocks, None),
+    "shared_blocks": (shared_blocks, SHARED_BLOCKS),
     "html_text": (html_text, HTML_TEXT),
     "charset_tag": (charset_tag, CHARSET_TAG),
     "charset_decode": (charset_decode, CHARSET_DECODE),
