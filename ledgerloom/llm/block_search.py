@@ -1,11 +1,11 @@
 """Exact nearest neighbours by a block matrix join with int8 tiles.
 
 Every vector is quantised to int8 codes once, and only codes travel: rows are dealt to blocks by a hash of their id, and
-every block of queries meets every block of candidates of the same dimension once. A tile multiplies codes (sums of at
+every block of queries meets every block of candidates of the same dimension once, tile by tile. A tile multiplies codes (sums of at
 most ``STRETCH`` products are exact in float32, so a float matrix product computes them) and adds the largest error that
 rounding can have made: with ``x = a + r``, ``y = b + s`` (codes a, b and rests r, s), ``|xy - ab| <= |a||s| + |r||y|``. A
-pair whose upper bound is below the k-th best lower bound of its query in the tile is out, and then below that of all
-tiles. The originals of the pairs that are left are fetched by joins and multiplied in double precision; heaps merge them.
+pair whose upper bound is below the k-th best lower bound of its query is out; this floor rises from tile to tile of a
+block, and then over all blocks. The originals of the pairs that are left are fetched by joins and multiplied in double precision; heaps merge them.
 
 Inner products, larger is nearer, ties to the smaller id. Vectors that are null, empty, zero or hold a null or
 non-finite component take no part, nor do rows without id. Rows with one id and dimension are one vector: the smallest by
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import table, written
 
-#: Neighbours of a query, rows in a block of candidates and of queries, components whose products are summed at once.
-NEAREST, CANDIDATE_ROWS, QUERY_ROWS, STRETCH = 20, 4096, 1024, 1024
+#: Neighbours of a query, rows in a block of candidates, of them in a tile, rows in a block of queries, components whose
+#: products are summed at once.
+NEAREST, CANDIDATE_ROWS, TILE_ROWS, QUERY_ROWS, STRETCH = 20, 1 << 15, 2048, 1024, 1024
 
 _FOUND = "query_id long, vec_id long, score double"
 _CODED = "vec_id long, dim int, asks boolean, codes binary, scale double, norm double, rest double"
@@ -86,8 +87,8 @@ def coded(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "vector", "dim", "asks").mapInArrow(run, _CODED)
 
 
-def tile(q: pa.Table, c: pa.Table, k: int) -> pa.Table:
-    """The pairs of a tile that may be among the k nearest of their query, with the bounds of their products."""
+def tiles(q: pa.Table, c: pa.Table, k: int) -> pa.Table:
+    """The pairs of two blocks that may be among the k nearest of their query, with the bounds of their products."""
 
     def parts(side: pa.Table) -> tuple[np.ndarray, ...]:
         codes = np.frombuffer(b"".join(side.column("codes").to_pylist()), np.int8).reshape(side.num_rows, -1)
@@ -96,18 +97,23 @@ def tile(q: pa.Table, c: pa.Table, k: int) -> pa.Table:
     if not q.num_rows or not c.num_rows:
         return pa.table({f.split()[0]: pa.array([], t) for f, t in zip(_BOUNDED.split(", "), _KINDS)})
     q_ids, q_codes, q_scale, q_norm, q_rest = parts(q)
-    c_ids, c_codes, c_scale, c_norm, c_rest = parts(c)
-    near = int8_products(q_codes, c_codes) * q_scale[:, None] * c_scale[None, :]
-    error = q_norm[:, None] * c_rest[None, :] + q_rest[:, None] * (c_norm + c_rest)[None, :]
-    error += 1e-9 * (np.abs(near) + error)
-    own = q_ids[:, None] == c_ids[None, :]
-    low = np.where(own, -np.inf, near - error)
-    if len(c_ids) > k:
-        floor = np.partition(low, len(c_ids) - k, axis=1)[:, len(c_ids) - k]
-    else:
-        floor = np.full(len(q_ids), -np.inf)
-    rows, columns = np.nonzero((near + error >= floor[:, None]) & ~own)
-    values = (q_ids[rows], c_ids[columns], np.full(len(rows), q_codes.shape[1]), low[rows, columns], (near + error)[rows, columns])
+    block = parts(c)
+    best = np.full((len(q_ids), k), -np.inf)  # lower bounds of the k nearest so far
+    found = []
+    for first in range(0, c.num_rows, TILE_ROWS):
+        c_ids, c_codes, c_scale, c_norm, c_rest = (column[first : first + TILE_ROWS] for column in block)
+        near = int8_products(q_codes, c_codes) * q_scale[:, None] * c_scale[None, :]
+        error = q_norm[:, None] * c_rest[None, :] + q_rest[:, None] * (c_norm + c_rest)[None, :]
+        error += 1e-9 * (np.abs(near) + error)
+        own = q_ids[:, None] == c_ids[None, :]
+        low = np.where(own, -np.inf, near - error)
+        best = np.partition(np.concatenate((best, low), axis=1), len(c_ids), axis=1)[:, len(c_ids) :]
+        near += error
+        rows, columns = np.nonzero((near >= best.min(axis=1)[:, None]) & ~own)
+        found.append((rows, c_ids[columns], low[rows, columns], near[rows, columns]))
+    rows, ids, low, high = (np.concatenate(column) for column in zip(*found))
+    keep = high >= best.min(axis=1)[rows]
+    values = (q_ids[rows[keep]], ids[keep], np.full(int(keep.sum()), q_codes.shape[1]), low[keep], high[keep])
     return pa.table({f.split()[0]: pa.array(v, t) for f, v, t in zip(_BOUNDED.split(", "), values, _KINDS)})
 
 
@@ -177,7 +183,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, id_column: s
     keys, codes = ["dim", "c_block", "q_block"], coded(rows)
     candidates = dealt(codes, "c_block", c_blocks, "q_block", q_blocks).groupBy(*keys)
     queries = dealt(codes.where("asks"), "q_block", q_blocks, "c_block", c_blocks).groupBy(*keys)
-    bounded = queries.cogroup(candidates).applyInArrow(lambda q, c: tile(q, c, k), _BOUNDED)
+    bounded = queries.cogroup(candidates).applyInArrow(lambda q, c: tiles(q, c, k), _BOUNDED)
     return merge(rescored(above_floor(bounded, k), rows), k)
 
 

@@ -22,7 +22,8 @@ def test_whole_table_equals_sql(spark, sf_dir, monkeypatch):
 
 
 def test_ties_equal_vectors_and_fewer_candidates(spark, monkeypatch):
-    monkeypatch.setattr(op, "CANDIDATE_ROWS", 16)
+    monkeypatch.setattr(op, "CANDIDATE_ROWS", 40)
+    monkeypatch.setattr(op, "TILE_ROWS", 11)
     draw = np.random.default_rng(1)
     rows = [(i, draw.integers(-3, 4, 5).astype(float).tolist()) for i in range(100)]
     rows = [(i, x if any(x) else [1.0] * 5) for i, x in rows] + [(200 + i, [1.0, 2.0]) for i in range(3)] + [(140, [3.0, 1.0])]
