@@ -416,10 +416,13 @@ def op12_collocations(spark, sf_dir: str) -> DataFrame:
 _SQL = r"""
 with docs as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
 pieces as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) p from docs),
-words as (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from pieces),
-totals as (select lang, sum(len(w))::bigint n from words group by 1),
-grams as (select lang, n, unnest([array_to_string(w[i:i + n - 1], ' ') for i in range(1, len(w) - n + 2)]) phrase
-          from words, (select unnest([1, 2, 3, 4]) n)),
+words as (select row_number() over () p, lang, regexp_extract_all(p, '[^\x20\x09]+') w from pieces),
+one as (select lang, p, unnest(w) x, generate_subscripts(w, 1) i from words),
+totals as (select lang, count(*)::bigint n from one group by 1),
+led as (select lang, x, lead(x, 1) over o x2, lead(x, 2) over o x3, lead(x, 3) over o x4 from one window o as (partition by p order by i)),
+grams as (select lang, 1 n, x phrase from led union all select lang, 2, x || ' ' || x2 from led where x2 is not null
+          union all select lang, 3, x || ' ' || x2 || ' ' || x3 from led where x3 is not null
+          union all select lang, 4, x || ' ' || x2 || ' ' || x3 || ' ' || x4 from led where x4 is not null),
 f as (select lang, n, phrase, count(*)::bigint f from grams group by all having count(*) >= 30),
 c as (select lang, n size, phrase, f a, string_split(phrase, ' ') w from f where n > 1),
 cuts as (select c.*, k from c, (select unnest([1, 2, 3]) k) where k < size),

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from oracle_support import compare, connect
 
 from ledgerloom.llm import collocations as op
 
@@ -59,6 +60,10 @@ def test_whole_table_equals_brute_force(spark, sf_dir):
     assert got(op.op12_collocations(spark, sf_dir)) == wanted and len(wanted) > 20
 
 
+def test_whole_table_equals_sql(spark, sf_dir):
+    assert compare(spark, connect(sf_dir), op.op12_collocations, op._SQL, sf_dir)[1] is None
+
+
 def mixture(n, seed=5):
     draw = random.Random(seed)
     vocabulary = ["A", "a", "é", "λόγος", "\x1c", "don't", "x" * 90, *(f"w{i}" for i in range(12))]
