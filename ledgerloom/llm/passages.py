@@ -9,7 +9,8 @@
 3. Windows all of whose cells are repeated may be repeated in another block; no repeated window is lost, as a count is
    never too small. Only those are sent on, as 96 bits of hash and the smallest id in the block, by range of hashes, and
    grouped exactly. One bit says whether another block has a smaller id. Repeats inside a block need no exchange.
-4. Each block removes the covered words of its documents.
+4. Each block removes the covered words of its documents. What it needs for that was noted beside its questions: a bit per
+   window for what the block itself decides, and for the others the number of the answer; no window is hashed again.
 
 Ranges hold about ``PART`` windows at any size of the table, and a block sends each window once, so no passage, copy or
 source makes a large group. Null or empty text: no words, nothing removed. A null id is neither smaller nor larger than
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import new_folder, spread_ranges, table, text_columns, text_slices, tidy, written
-from ledgerloom.llm.words import cut, distinct, hashes, mixed
+from ledgerloom.llm.words import distinct, encoded, hashes, mixed, places
 
 WORDS = 13
 #: Text of a block, windows of a range, rows of the sketch, cells of a row for each window.
@@ -38,6 +39,7 @@ BLOCK_BYTES, PART, DEPTH, CELLS = 8 << 20, 1 << 21, 2, 8
 
 _MANIFEST = "path string, n_words long"
 _SENT = "path string, part int, n int, data binary"
+_ASKED = f"{_SENT}, marks binary, ranks binary"
 _MASK = "path string, part int, mask binary"
 _KEPT = "doc_id long, n_words long, n_removed long, kept string"
 _FACTORS = np.random.Generator(np.random.PCG64(13)).integers(1 << 62, 1 << 63, (2, 1024), dtype=np.uint64) | np.uint64(1)
@@ -60,8 +62,8 @@ def write_blocks(docs: DataFrame, folder: str) -> DataFrame:
                     with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as sink:
                         sink.write_batch(part)
                 seq += 1
-                found = cut(part.column(1), lower=False)
-                yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(found.codes)])], names=["path", "n_words"])
+                found = places(part.column(1), lower=False)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(found.starts)])], names=["path", "n_words"])
 
     return written(docs.mapInArrow(run, _MANIFEST), "passage-blocks")
 
@@ -72,44 +74,56 @@ def read_block(path: str) -> pa.Table:
         return stream.read_all().combine_chunks()
 
 
-class Windows:
-    """Windows of a block by distinct sequence: hashes, smallest id, and the place of each window among the distinct."""
+class Block:
+    """Words of a written block, and the first words of the windows of its documents in the order of the texts."""
 
     def __init__(self, path: str, words: int):
-        self.path = path
         rows = read_block(path)
         ids, texts = rows.column(0).chunk(0), rows.column(1).chunk(0)
         self.doc_ids = ids
-        self.words = cut(texts, lower=False)
+        self.words = places(texts, lower=False)
         begins = self.words.begins
         known = ids.is_valid().to_numpy(zero_copy_only=False)
-        per_doc = np.where(known, np.maximum(np.diff(begins) - words + 1, 0), 0)
-        self.starts = spread_ranges(begins[:-1], per_doc)  # first words of all windows
-        docs = np.repeat(ids.fill_null(0).to_numpy(), per_doc)
-        one, two = (self._rolled(words, family) for family in range(2))
-        order = np.argsort(one, kind="stable")
-        if np.any((one[order][1:] == one[order][:-1]) & (two[order][1:] != two[order][:-1])):
+        self.per_doc = np.where(known, np.maximum(np.diff(begins) - words + 1, 0), 0)
+        self.starts = spread_ranges(begins[:-1], self.per_doc)
+
+    def rolled(self, words: int, families: int) -> list[np.ndarray]:
+        """Hashes of all windows, by family."""
+        codes, spelled = encoded(self.words)
+        found = []
+        for family in range(families):
+            each = hashes(spelled, family)[codes]
+            total = np.zeros(max(0, len(each) - words + 1), np.uint64)
+            step = np.empty_like(total)
+            for k in range(words):
+                total += np.multiply(each[k : k + len(total)], _FACTORS[family][k], out=step)
+            found.append(mixed(total[self.starts]))
+        return found
+
+
+class Windows:
+    """Windows of a block by distinct sequence: hashes in order, smallest id, and the place of each window among the distinct."""
+
+    def __init__(self, block: Block, words: int):
+        one, two = block.rolled(words, 2)
+        order = np.argsort(one)
+        same = one[order][1:] == one[order][:-1]
+        if np.any(same & (two[order][1:] != two[order][:-1])):
             order = np.lexsort((two, one))  # one hash of two sequences
         one, two = one[order], two[order]
         fresh = np.ones(len(order), bool)
         fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         first = np.flatnonzero(fresh)
         self.one, self.two = one[first], two[first]
-        self.least = np.minimum.reduceat(docs[order], first) if len(first) else np.zeros(0, np.int64)
+        self.docs = np.repeat(block.doc_ids.fill_null(0).to_numpy(), block.per_doc)
+        self.least = np.minimum.reduceat(self.docs[order], first) if len(first) else np.zeros(0, np.int64)
         self.place = np.empty(len(order), np.int32)
         self.place[order] = np.cumsum(fresh) - 1
-        self.docs = docs
 
-    def _rolled(self, words: int, family: int) -> np.ndarray:
-        each = hashes(self.words.distinct, family)[self.words.codes]
-        total = np.zeros(len(self.starts), np.uint64)
-        for k in range(words):
-            total += each[self.starts + k] * _FACTORS[family][k]
-        return mixed(total)
 
-    def cells(self, row: int, bits: int) -> np.ndarray:
-        """The cell of every distinct window in a row of the sketch."""
-        return mixed(self.one ^ _SALTS[row]) >> np.uint64(64 - bits)
+def cells(one: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """The cell of every window in a row of the sketch; those of the first row are in the order of the hashes."""
+    return (mixed(one ^ _SALTS[row]) if row else one) >> np.uint64(64 - bits)
 
 
 # --- numbers on their way
@@ -117,7 +131,7 @@ class Windows:
 
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of equal length, byte by byte of all values, so that equal high bytes vanish."""
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
@@ -198,6 +212,26 @@ def smaller_elsewhere(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch([mask_row(p, k, b) for p, k, b in zip(paths, parts, bits)], _MASK)])
 
 
+# --- marks of a block's windows, in the order of its texts
+
+
+def marks(found: Windows, some: np.ndarray) -> tuple[bytes, bytes]:
+    """A bit for each window that a smaller id of the block removes, a bit for each that an answer decides, and which of ``some`` those are."""
+    gone = found.least[found.place] < found.docs
+    rank = np.full(len(found.one), -1, np.int32)
+    rank[some] = np.arange(len(some), dtype=np.int32)
+    ranks = rank[found.place]
+    undecided = (ranks >= 0) & ~gone
+    return pack(np.packbits(gone), np.packbits(undecided)), pack(ranks[undecided].astype("<u4"))
+
+
+def removed(n: int, marked: bytes, ranks: bytes, elsewhere: np.ndarray) -> np.ndarray:
+    """Which of a block's ``n`` windows go, by its marks and the answers to what it asked."""
+    gone, undecided = (np.unpackbits(bits, count=n).astype(bool) for bits in unpack(marked, -(-n // 8), "u1", "u1"))
+    gone[undecided] = elsewhere[unpack(ranks, int(undecided.sum()), "<u4")[0]]
+    return gone
+
+
 # --- the passes
 
 
@@ -215,55 +249,61 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for path in rows.column(0).to_pylist():
-                block = Windows(path, words)
+                (one,) = Block(path, words).rolled(words, 1)
                 for row in range(DEPTH):
-                    yield sent(path, distinct(block.cells(row, bits)), bits, ranges, row * ranges)
+                    yield sent(path, distinct(cells(one, row, bits)), bits, ranges, row * ranges)
 
     replies = manifest.repartition(tasks).mapInArrow(tidy(touched), _SENT).groupBy("part").applyInArrow(repeated_cells, _MASK)
     replies = written(replies, "passage-cells")
 
-    def likely(block: Windows, masks: list | None) -> np.ndarray:
-        """Which distinct windows are estimated to be in other blocks too."""
-        found = np.ones(len(block.one), bool)
+    def likely(one: np.ndarray, masks: list | None) -> np.ndarray:
+        """Which distinct windows, by sorted hashes, are estimated to be in other blocks too: their places."""
+        some = np.arange(len(one))
         for row in range(DEPTH):
-            cells = block.cells(row, bits)
-            own = distinct(cells)
-            found &= bits_of(masks, row * ranges, (row + 1) * ranges, len(own))[np.searchsorted(own, cells)]
-        return found
+            touching = cells(one, row, bits)
+            own = distinct(touching)
+            mask = bits_of(masks, row * ranges, (row + 1) * ranges, len(own))
+            if row:
+                some = some[mask[np.searchsorted(own, touching[some])]]
+            else:  # sorted: a cell's place is the number of changes before it
+                some = some[mask[np.cumsum(np.diff(touching, prepend=touching[:1]) != 0)]]
+        return some
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for path, masks in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                block = Windows(path, words)
-                some = likely(block, masks)
-                yield sent(
-                    path, block.one[some], 64, ranges, 0, (block.two[some] >> np.uint64(32)).astype("<u4"), block.least[some].astype("<i8")
+                block = Block(path, words)
+                found = Windows(block, words)
+                some = likely(found.one, masks)
+                questions = sent(
+                    path, found.one[some], 64, ranges, 0, (found.two[some] >> np.uint64(32)).astype("<u4"), found.least[some].astype("<i8")
                 )
+                none = pa.nulls(questions.num_rows, pa.binary())
+                yield questions.append_column("marks", none).append_column("ranks", none)
+                yield batch([(path, None, len(some), None, *marks(found, some))], _ASKED)
 
     by_block = replies.groupBy("path").agg(F.collect_list(F.struct("part", "mask")).alias("cells"))
-    with_cells = written(manifest.join(by_block, "path", "left").select("path", "cells"), "passage-replies")
-    answers = with_cells.repartition(tasks).mapInArrow(tidy(asked), _SENT).groupBy("part").applyInArrow(smaller_elsewhere, _MASK)
+    with_cells = manifest.join(by_block, "path", "left").select("path", "cells")
+    questions = written(with_cells.repartition(tasks).mapInArrow(tidy(asked), _ASKED), "passage-questions")
+    answers = questions.where("part is not null").select("path", "part", "n", "data").groupBy("part").applyInArrow(smaller_elsewhere, _MASK)
     answers = answers.groupBy("path").agg(F.collect_list(F.struct("part", "mask")).alias("windows"))
+    blocks = questions.where("part is null").select("path", "n", "marks", "ranks")
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for path, masks, windows in zip(*(rows.column(k).to_pylist() for k in range(3))):
-                block = Windows(path, words)
-                some = likely(block, masks)
-                elsewhere = np.zeros(len(some), bool)
-                elsewhere[some] = bits_of(windows, 0, ranges, int(some.sum()))
-                gone = elsewhere[block.place] | (block.least[block.place] < block.docs)
-                yield from kept_texts(block, gone, words)
+            for path, n, marked, ranks, windows in zip(*(rows.column(k).to_pylist() for k in range(5))):
+                block = Block(path, words)
+                yield from kept_texts(block, removed(len(block.starts), marked, ranks, bits_of(windows, 0, ranges, n)), words)
 
-    return with_cells.join(answers, "path", "left").repartition(tasks).mapInArrow(tidy(finished), _KEPT)
+    return blocks.join(answers, "path", "left").repartition(tasks).mapInArrow(tidy(finished), _KEPT)
 
 
 def kept_texts(block: Windows, gone: np.ndarray, words: int) -> Iterator[pa.RecordBatch]:
-    data, starts, lengths, begins, codes, _ = block.words
-    steps = np.zeros(len(codes) + words + 1, np.int64)
+    data, starts, lengths, begins, _ = block.words
+    steps = np.zeros(len(starts) + words + 1, np.int64)
     np.add.at(steps, block.starts[gone], 1)
     np.add.at(steps, block.starts[gone] + words, -1)
-    stays = np.cumsum(steps)[: len(codes)] == 0
+    stays = np.cumsum(steps)[: len(starts)] == 0
     n_kept = np.concatenate(([0], np.cumsum(stays)))[begins]
     begin, size = starts[stays], lengths[stays] + 1
     padded = np.append(data, np.uint8(0x20))

@@ -31,32 +31,49 @@ class Words(NamedTuple):
     distinct: pa.Array
 
 
-def cut(texts: pa.Array, lower: bool, space: np.ndarray = SPACE) -> Words:
-    """Words between bytes of ``space``; a null has none. About 20 bytes of memory per word and three per byte."""
+class Places(NamedTuple):
+    """Where words lie in the bytes of all texts; ``begins``: each text's first word, and the number of all; ``inside``: bytes of words."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    begins: np.ndarray
+    inside: np.ndarray
+
+
+def places(texts: pa.Array, lower: bool, space: np.ndarray = SPACE) -> Places:
+    """Places of words, cut at bytes of ``space``; a null has none."""
     data, offsets = buffers(texts)
     if lower:
         data = LOWER[data]
     inside = ~space[data]
-    # a word never runs from one text into the next: compare with a border before every text
-    begin = inside.copy()
-    begin[1:] &= ~inside[:-1]
-    edges = offsets[:-1][offsets[:-1] < len(data)]
-    begin[edges] = inside[edges]
-    starts = np.flatnonzero(begin)
-    del begin
-    begins = np.searchsorted(starts, offsets)
-    held = np.flatnonzero(~inside)
-    # a word ends at the next space, the next text or the end
-    ends = np.append(held, len(data))[np.searchsorted(held, starts)] if len(starts) else starts
-    del held
-    following = offsets[np.minimum(np.searchsorted(offsets, starts, side="right"), len(offsets) - 1)]
-    lengths = np.minimum(ends, following) - starts
-    at = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(lengths, out=at[1:])
-    kept = data[inside]
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(kept)])
+    # a word never runs from one text into the next: the bytes on both sides of a border begin and end words
+    borders = offsets[(offsets > 0) & (offsets < len(data))]
+    edge = inside.copy()
+    edge[1:] &= ~inside[:-1]
+    edge[borders] = inside[borders]
+    starts = np.flatnonzero(edge)
+    edge[:] = inside
+    edge[:-1] &= ~inside[1:]
+    edge[borders - 1] = inside[borders - 1]
+    lengths = np.flatnonzero(edge) + 1 - starts
+    return Places(data, starts, lengths, np.searchsorted(starts, offsets), inside)
+
+
+def encoded(found: Places) -> tuple[np.ndarray, pa.Array]:
+    """The words in order, as places among the distinct ones, and these."""
+    at = np.zeros(len(found.starts) + 1, np.int64)
+    np.cumsum(found.lengths, out=at[1:])
+    kept = found.data[found.inside]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(found.starts), [None, pa.py_buffer(at), pa.py_buffer(kept)])
     coded = words.dictionary_encode()
-    return Words(data, starts, lengths, begins, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary)
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
+def cut(texts: pa.Array, lower: bool, space: np.ndarray = SPACE) -> Words:
+    """Words between bytes of ``space``; a null has none. About 20 bytes of memory per word and three per byte."""
+    found = places(texts, lower, space)
+    return Words(found.data, found.starts, found.lengths, found.begins, *encoded(found))
 
 
 def distinct(values: np.ndarray) -> np.ndarray:

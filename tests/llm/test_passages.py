@@ -77,6 +77,41 @@ def test_a_filter_that_passes_everything_changes_nothing(spark, monkeypatch):
     assert got(op.dedup(docs)) == brute(rows)
 
 
+def test_windows_of_a_block_are_hashed_in_two_passes_and_sorted_in_one(spark, monkeypatch, tmp_path):
+    rows = mixture()
+    hashed = str(tmp_path)
+
+    class Counted(op.Block):
+        def rolled(self, words, families):
+            import uuid
+            open(f"{hashed}/{families}-{uuid.uuid4().hex}", "w").close()
+            return op.Block.rolled(self, words, families)
+
+    monkeypatch.setattr(op, "Block", Counted)
+    monkeypatch.setattr(op, "BLOCK_BYTES", 4000)
+    written = []
+    blocks = op.write_blocks
+    monkeypatch.setattr(op, "write_blocks", lambda *given: written.append(blocks(*given)) or written[0])
+    assert got(op.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
+    names = [path.name[:2] for path in tmp_path.iterdir()]
+    n = written[0].count()
+    assert n > 3 and sorted(names) == ["1-"] * n + ["2-"] * n
+
+
+def test_words_end_at_the_borders_of_texts():
+    for texts in (["a", "b", None, "", "c d", "e"], ["", " a", "b "], [None], [], ["x y", "z"]):
+        column = pa.array(["before", *texts, "after"], pa.string())[1 : len(texts) + 1]
+        found = words.places(column, False)
+        assert [bytes(found.data[a : a + n]).decode() for a, n in zip(found.starts, found.lengths)] == " ".join(t or "" for t in texts).split()
+        assert np.diff(found.begins).tolist() == [len((t or "").split()) for t in texts]
+
+
+def test_marks_of_no_windows_and_of_some():
+    assert op.removed(0, op.pack(np.zeros(0, np.uint8), np.zeros(0, np.uint8)), op.pack(np.zeros(0, "<u4")), np.zeros(0, bool)).tolist() == []
+    marked = op.pack(np.packbits([True, False, False, False]), np.packbits([False, True, True, False]))
+    assert op.removed(4, marked, op.pack(np.array([1, 0], "<u4")), np.array([True, False])).tolist() == [True, False, True, False]
+
+
 def test_words_and_hashes_follow_the_bytes():
     texts = ["A b\x0bc  d", "", None, "x", "é É a\x85b", " lead and trail ", "end", "q" * 63, "q" * 64, "q" * 65, "q" * 66]
     for lower in (False, True):
