@@ -8,7 +8,7 @@
 3. Groups that share prefix shingles are gathered. A shingle of at most ``HOT`` groups gives pairs; a more frequent one
    hangs its groups on the smallest, so its rows grow with the list, not with its square.
 4. Gathered groups are compared by their prefixes in blocks, and pass as a pair only if their sizes fit and the shared
-   part of the prefixes leaves enough room for the overlap that a link needs. What hangs together by such pairs is a
+   part of the prefixes, with what both have after the end of the first, makes up the overlap that a link needs. What hangs together by such pairs is a
    cluster, expanded to its classes, whose whole texts are compared block by block. A block returns a spanning forest
    of its links, so copies are never expanded into all pairs, and no link between different sets is lost.
 
@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,9 +81,13 @@ def _two(data: bytes) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(data, digest_size=16).digest(), np.int64).tolist())
 
 
-def sketches(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, k1, k2, g1, g2, prefix): size, keys of the set and of (size, prefix), and the ordered prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def levels_of(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The levels by which shingles are ordered; those of one level are ordered by hash."""
+    return levels[(tokens % np.uint64(len(levels))).astype(np.int64)]
+
+
+def sketches(docs: DataFrame, shared: Broadcast, words: int, percent: int) -> DataFrame:
+    """(doc_id, n, k1, k2, g1, g2, prefix): size, keys of the set and of (size, prefix), and the ordered prefix. ``shared``: levels."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
@@ -91,7 +96,7 @@ def sketches(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> D
                 sets = shingle_sets(part.column(1), words)
                 keys, prefixes = [], []
                 for own in sets:
-                    count = levels[(own % np.uint64(len(levels))).astype(np.int64)]
+                    count = levels_of(own, levels)
                     length = prefix_length(len(own), percent)
                     alone = len(own) < 2 and percent > 50  # one shingle: linked with equal sets only
                     prefix = own[:0] if alone else own[np.argsort(count, kind="stable")[:length]]
@@ -181,26 +186,42 @@ def _edges(edges: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
-def fitting(sizes: np.ndarray, prefixes: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
+def heads(prefixes: list[np.ndarray], levels: np.ndarray) -> np.ndarray:
+    """For sets a and b, how many shingles of a's ordered prefix do not come after the end of b's."""
+    tokens = np.unique(np.concatenate(prefixes))
+    rank = np.empty(len(tokens), np.int64)
+    rank[np.lexsort((tokens, levels_of(tokens, levels)))] = np.arange(len(tokens))
+    places = [rank[np.searchsorted(tokens, p)] for p in prefixes]
+    ends = np.array([p[-1] if len(p) else -1 for p in places])
+    return np.stack([np.searchsorted(p, ends, side="right") for p in places])
+
+
+def fitting(sizes: np.ndarray, prefixes: np.ndarray, shared: np.ndarray, percent: int, heads: np.ndarray | None = None) -> np.ndarray:
     """Which pairs of sets may link: by size, and by the prefix shingles they share.
 
-    Of two sets, that whose prefix ends first has all it shares outside the common part after its own prefix.
+    Up to the end of the prefix that ends first, two sets share prefix shingles only; what else they share comes after it
+    in both. Without ``heads`` it is not known which ends first: it has all the rest after its own prefix.
     """
     small, large = np.minimum(sizes[:, None], sizes), np.maximum(sizes[:, None], sizes)
     needed = -(-percent * (small + large) // (100 + percent))
-    rest = sizes - prefixes
-    return (100 * small >= percent * large) & (shared > 0) & (shared + np.maximum(rest[:, None], rest) >= needed)
+    if heads is None:
+        rest = sizes - prefixes
+        room = np.maximum(rest[:, None], rest)
+    else:
+        rest = sizes[:, None] - heads
+        room = np.minimum(rest, rest.T)
+    return (100 * small >= percent * large) & (shared > 0) & (shared + room >= needed)
 
 
-def fitting_groups(groups: DataFrame, percent: int) -> DataFrame:
+def fitting_groups(groups: DataFrame, shared: Broadcast, percent: int) -> DataFrame:
     """(a, b): a spanning forest of the pairs of gathered groups (gid, cluster, n, length, prefix) that may hold linked sets."""
 
     def compare(block: pa.Table) -> pa.Table:
         if block.num_rows < 2:
             return _edges([])
-        prefixes = [np.sort(np.array(p, np.int64).view(np.uint64)) for p in block.column("prefix").to_pylist()]
+        prefixes = [np.array(p, np.int64).view(np.uint64) for p in block.column("prefix").to_pylist()]
         lengths = np.array([len(p) for p in prefixes])
-        fits = fitting(block.column("n").to_numpy(), lengths, intersections(prefixes), percent)
+        fits = fitting(block.column("n").to_numpy(), lengths, intersections(prefixes), percent, heads(prefixes, shared.value))
         return _edges(forest(block.column("gid").to_pylist(), fits))
 
     return in_blocks(groups, "gid", "length").groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
@@ -227,7 +248,8 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     docs = text_columns(docs)
-    sketch = written(sketches(docs, frequency_levels(docs, words, percent), words, percent), "sketches")
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, words, percent))
+    sketch = written(sketches(docs, levels, words, percent), "sketches")
     usable = sketch.where("n > 0 and doc_id is not null")
     classes = usable.groupBy("k1", "k2").agg(*(F.min(c).alias(c) for c in ("g1", "g2", "n")), F.min("doc_id").alias("rep"))
     groups = written(
@@ -236,7 +258,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     )
     gathered = connected(candidate_edges(groups, percent)).withColumnRenamed("component", "cluster")
     near = groups.join(gathered, F.col("gid") == F.col("id")).select("gid", "cluster", "n", F.size("prefix").alias("length"), "prefix")
-    clusters = connected(fitting_groups(near, percent)).withColumnRenamed("component", "found")
+    clusters = connected(fitting_groups(near, levels, percent)).withColumnRenamed("component", "found")
     members = (
         classes.join(groups.select("g1", "g2", "gid"), ["g1", "g2"])
         .join(clusters, F.col("gid") == F.col("id"), "left")

@@ -156,3 +156,28 @@ def test_pairs_that_link_always_fit():
             shared = len(set(prefixes[0]) & set(prefixes[1]))
             sizes, lengths = np.array([len(base), len(other)]), np.array([len(p) for p in prefixes])
             assert op.fitting(sizes, lengths, np.full((2, 2), shared), percent)[0, 1]
+
+
+def test_pairs_that_link_fit_by_the_ends_of_their_ordered_prefixes_too():
+    draw = np.random.default_rng(8)
+    refused = 0
+    for percent in (30, 50, 80, 90):
+        for _ in range(150):
+            levels = draw.integers(0, draw.integers(1, 5), 16).astype(np.uint8)
+            base = draw.integers(0, 400, draw.integers(2, 120))
+            sets = []
+            for _ in range(5):
+                own = base[draw.random(len(base)) < draw.uniform(0.7, 1)]
+                sets.append(np.unique(np.concatenate([own, draw.integers(0, 400, draw.integers(1, 12))])).astype(np.uint64))
+            prefixes = [s[np.argsort(op.levels_of(s, levels), kind="stable")][: op.prefix_length(len(s), percent)] for s in sets]
+            heads = op.heads(prefixes, levels)
+            sizes, lengths = np.array([len(s) for s in sets]), np.array([len(p) for p in prefixes])
+            shared = np.array([[len(np.intersect1d(a, b)) for b in prefixes] for a in prefixes])
+            fits = op.fitting(sizes, lengths, shared, percent, heads)
+            assert (fits == fits.T).all() and not (fits & ~op.fitting(sizes, lengths, shared, percent)).any()
+            refused += (~fits & op.fitting(sizes, lengths, shared, percent)).sum()
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets):
+                    if i != j and shared[i, j] and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                        assert fits[i, j]
+    assert refused
