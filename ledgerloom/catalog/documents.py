@@ -17,6 +17,7 @@ from ledgerloom.documents import files, markup, opinion, reports
 from ledgerloom.documents.going_concern import going_concern
 from ledgerloom.documents.kam import key_audit_matters
 from ledgerloom.documents.sections import EMPHASIS, OTHER_MATTER, extract_section
+from ledgerloom.functions.nested import let
 from ledgerloom.functions.text import collapse, normalise_charset_tag, padded_number
 from ledgerloom.operators.select import with_once
 from ledgerloom.plans import jobs
@@ -38,7 +39,12 @@ def _p(*parts) -> Column:
 
 
 def _pick(index: Column, choices) -> Column:
-    return F.element_at(F.array(*[F.lit(c) if isinstance(c, str) else c for c in choices]), (index + 1).cast("int"))
+    """Only the choice taken is computed; the elements of an array would be computed all."""
+    first, *others = choices
+    picked = F.when(index == 0, first)
+    for number, choice in enumerate(others, start=1):
+        picked = picked.when(index == number, choice)
+    return picked
 
 
 def report_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +52,7 @@ def report_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     lines = F.filter(F.transform(F.split("text", "\n"), lambda t: reports.escape_html(collapse(t))), lambda t: t != "")
     rows = spread(star.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
-        "doc_id", F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("body"))).alias("lines")
+        "doc_id", let(lines, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("body")))).alias("lines")
     )
     flat = F.array_join("lines", " ")
     paragraphs = F.concat(F.lit("<p>"), F.array_join("lines", "</p><p>"), F.lit("</p>"))

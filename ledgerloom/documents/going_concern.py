@@ -14,7 +14,7 @@ from ledgerloom.documents.sections import (
     join_blocks,
     strip_number,
 )
-from ledgerloom.functions.nested import let
+from ledgerloom.functions.nested import contains_any, let
 from ledgerloom.functions.text import spaced, squeeze
 
 # How opinion sections start and what ends them.
@@ -43,11 +43,12 @@ def _last_before(positions: Column, index: Column) -> Column:
 def mentioned_in_modified_basis(blocks: Column) -> Column:
     """A heading phrase lies between the basis of a modified opinion and the next section."""
     names = "(?U)" + "|".join(spaced(h) for h in _PLAIN_HEADINGS)
+    firsts = dict.fromkeys(h[0] for h in _PLAIN_HEADINGS)
 
     def inside(starts: Column) -> Column:
         marks = F.struct(
             _positions(blocks, lambda t: _starts(t, OPINION_ENDS)).alias("ends"),
-            _positions(blocks, lambda t: t.rlike(names)).alias("phrases"),
+            _positions(blocks, lambda t: contains_any(t, firsts) & t.rlike(names)).alias("phrases"),
         )
         return let(
             marks,

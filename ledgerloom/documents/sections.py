@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.nested import let
+from ledgerloom.functions.nested import contains_any, let
 from ledgerloom.functions.text import spaced, squeeze, strip
 
 HEADING_LIMIT = 120
@@ -31,6 +31,8 @@ _RESPONSIBILITY_BOUNDARIES = (
 _OPINION_BOUNDARIES = (
     r"감사\s*의견", r"감사\s*의견\s*근거", r"한정\s*의견\s*근거", r"부적정\s*의견\s*근거", r"의견\s*거절\s*근거",
 )
+# Every boundary has one of these words; a text without any of them is not searched for boundaries.
+BOUNDARY_WORDS = ("사항", "의견", "책임", "계속기업", "내부회계관리제도")
 _GOING_CONCERN_BOUNDARY = r"계속기업\s*(?:과\s*)?관련(?:된)?\s*중요한\s*불확실성"
 
 
@@ -112,7 +114,8 @@ def _cut_pattern(spec: SectionSpec) -> str:
 
 def cut_text(text: Column, spec: SectionSpec) -> Column:
     """Text before the first boundary inside a block; null when there is none."""
-    return let(F.split(text, _cut_pattern(spec), 2), lambda parts: F.when(F.size(parts) > 1, let(parts[0], strip)))
+    cut = let(F.split(text, _cut_pattern(spec), 2), lambda parts: F.when(F.size(parts) > 1, let(parts[0], strip)))
+    return F.when(contains_any(text, BOUNDARY_WORDS), cut)
 
 
 # The tests below are single anchored patterns: a long paragraph fails at its first characters.
@@ -120,7 +123,7 @@ def cut_text(text: Column, spec: SectionSpec) -> Column:
 
 def is_boundary(text: Column, spec: SectionSpec) -> Column:
     whole = text.rlike(rf"(?U){NUMBERED_START}{_any(spec.boundaries)}\s*$")
-    return whole & (F.length(squeeze(strip_number(text))) <= HEADING_LIMIT)
+    return contains_any(text, BOUNDARY_WORDS) & whole & (F.length(squeeze(strip_number(text))) <= HEADING_LIMIT)
 
 
 def is_standalone(text: Column, spec: SectionSpec) -> Column:
@@ -181,7 +184,8 @@ def candidates(blocks: Column, spec: SectionSpec) -> Column:
     def open_at(block: Column, index: Column) -> Column:
         text = block["text"]
         alone = F.struct(text.alias("heading"), F.lit(None).cast("string").alias("body"))
-        opened = F.when(is_standalone(text, spec), alone).otherwise(inline_heading(text, spec))
+        named = contains_any(text, dict.fromkeys(h[0] for h in spec.headings))
+        opened = F.when(named, F.when(is_standalone(text, spec), alone).otherwise(inline_heading(text, spec)))
         return let(
             opened,
             lambda o: F.struct(index.alias("ix"), o["heading"].alias("heading"), o["body"].alias("body")),
