@@ -126,3 +126,22 @@ def test_nested_blocks_count_twice_unless_leaf_only(spark):
     frame = spark.createDataFrame([("d", html)], "doc_id string, html string")
     assert reports.sections_of(reports.parse(frame)).first().emphasis.text == "하나 둘\n\n하나\n\n둘"
     assert reports.sections_of(reports.parse(frame), leaf_only=True).first().emphasis.text == "하나\n\n둘"
+
+
+def test_sections_of_the_latest_report_stay_in_its_row(spark):
+    filed = [("c1", "감사보고서", "20260311", "r1", 1), ("c1", "감사보고서", "20260401", "r2", 2), ("c2", "감사보고서", "20260311", "r3", 3),
+             ("c3", "감사보고서", "20260311", "r4", 4), ("c4", "감사보고서", "20260311", "r5", 5)]
+    disclosures = spark.createDataFrame(filed, "corp_code string, report_nm string, rcept_dt string, rcept_no string, ordinal bigint")
+    attached = [(r, "9", "감사보고서", 1) for r in ("r1", "r2", "r3", "r5")]
+    attachments = spark.createDataFrame(attached, "rcept_no string, dcm_no string, title string, ordinal bigint")
+    body = "<p>감사의견</p><p>본문</p>"
+    landed = [("r1", "9", 1, "/u", body + END), ("r2", "9", 2, "/u", END), ("r2", "9", 1, "/u", body), ("r5", "9", 1, "/u", None), ("r4", "9", 1, "/u", body)]
+    fragments = spark.createDataFrame(landed, "rcept_no string, dcm_no string, ele_id int, url string, html string")
+    found = jobs.audit_reports(disclosures, attachments, fragments, "ordinal")
+    rows = {r.corp_code: (r.rcept_no, r.dcm_no, r.title, r.status, r.is_full_report, r.opinion and r.opinion.opinion_type) for r in found.collect()}
+    assert rows == {
+        "c1": ("r2", "9", "감사보고서", "ok", True, "적정의견"), "c2": ("r3", None, None, "no_fragments", None, None),
+        "c3": ("r4", None, None, "no_attachment", None, None), "c4": ("r5", "9", "감사보고서", "not_full_report", False, None),
+    }
+    # nothing is exchanged after the parse
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("ArrowEvalPython")[0]
