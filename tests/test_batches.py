@@ -4,10 +4,14 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from ledgerloom.catalog import documents
 from ledgerloom.documents import markup, sections
 from ledgerloom.functions import batches
+from ledgerloom.sources import archives
+from ledgerloom.xbrl import document
+from ledgerloom.xbrl import parse as xbrl_parse
 
 
 def test_pieces_are_bounded_and_whole():
@@ -58,3 +62,20 @@ def test_every_boundary_has_a_word_that_is_looked_for_first():
 def test_only_the_choice_taken_is_computed(spark):
     chosen = documents._pick(F.col("id"), ["a", F.raise_error(F.lit("computed")).cast("string"), "c"])
     assert [r.c for r in spark.range(3).where("id <> 1").select(chosen.alias("c")).collect()] == ["a", "c"]
+
+
+def test_xml_and_archives_are_read_piece_by_piece(spark):
+    # a batch as a whole, as the other iterator functions of pandas take it, is more than a worker holds
+    parsers = [
+        xbrl_parse.parse_facts("t"), xbrl_parse.parse_contexts("t"), xbrl_parse.parse_presentation("t"), xbrl_parse.parse_labels("t"),
+        document.parse_document("t", "t", "t", ["A"]), document.parse_roles("t"),
+    ]
+    texts = spark.createDataFrame([(1, "<a/>"), (2, None), (3, ""), (4, "<a")], "id int, t string")
+    frames = [texts.select("id", p.alias("p")) for p in parsers]
+    frames.append(archives.xbrl_documents(texts.select("id", F.col("t").cast("binary").alias("content")), "id"))
+    for frame in frames:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and f", {PythonEvalType.SQL_SCALAR_PANDAS_ITER_UDF}" not in plan
+    assert [r.p.error for r in frames[0].orderBy("id").collect()][:3] == [None, "empty", "empty"]
+    assert [(r.p.facts, r.p.tables, r.p.labels) for r in frames[4].collect()] == [([], [], [])] * 4
+    assert [r.status for r in frames[6].orderBy("id").collect()] == ["not_a_zip", "empty", "empty", "not_a_zip"]
