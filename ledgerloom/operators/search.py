@@ -81,8 +81,8 @@ def find_corporations(
 
 
 # ---- queries from a table ------------------------------------------------------------------------
-#: Code points of a gram; a shorter query is a gram of its own.
-GRAM = 3
+#: At most so many lengths of grams are listed; queries of a length between them are verified.
+GRAM_SIZES = 16
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -93,28 +93,37 @@ def _grams(text: Column, size: Column) -> Column:
     )
 
 
+def _sizes(words: DataFrame) -> list[int]:
+    """Lengths of the words in ascending order; of more than ``GRAM_SIZES`` the least and some between."""
+    lengths = sorted(words.agg(F.collect_set(F.length("_word")).alias("l")).first()["l"])  # one row
+    steps = min(len(lengths), GRAM_SIZES)
+    return [lengths[i * len(lengths) // steps] for i in range(steps)]
+
+
 def containing(rows: DataFrame, fields: Sequence[str], queries: DataFrame) -> DataFrame:
     """``(query, columns of rows)`` for every row and query where a field contains the query; case is ignored.
 
-    An inverted index instead of a test of every row against every query: rows are listed under the grams that queries
-    have, each query is looked up under the one of its grams with the shortest list, and the hits are verified. The rows
-    are read once, whatever the number of queries. Blank queries find nothing.
+    An inverted index instead of a test of every row against every query. Grams are as long as the queries are: most
+    queries are a gram and meet only rows that hold them. If there are more lengths than ``GRAM_SIZES``, a query between
+    two is looked up under the one of its grams with the shortest list. The index holds numbers of rows, and only of
+    grams that queries have; hits are verified. Blank queries find nothing.
     """
     words = queries.select("query").distinct().withColumn("_word", F.lower(strip("query"))).where("_word <> ''")
-    size = F.least(F.length("_word"), F.lit(GRAM))
+    sizes = F.array(*[F.lit(n) for n in _sizes(words)]).cast("array<int>")
+    size = F.array_max(F.filter(sizes, lambda n: n <= F.length("_word")))
     asked = words.select("query", "_word", F.explode(_grams(F.col("_word"), size)).alias("_gram"))
+    numbered = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
     texts = F.array(*[F.lower(F.coalesce(F.col(f), F.lit(""))) for f in fields])
-    listed = F.array_distinct(F.flatten(F.transform(
-        texts, lambda text: F.flatten(F.array(*[_grams(text, F.lit(n)) for n in range(1, GRAM + 1)])))))
-    postings = rows.withColumn("_texts", texts).withColumn("_gram", F.explode(listed)).join(
-        asked.select("_gram").distinct(), "_gram", "left_semi"
-    )
-    postings = cut_lineage(postings)
+    listed = F.flatten(F.transform(texts, lambda text: F.flatten(F.transform(sizes, lambda n: _grams(text, n)))))
+    listed = F.array_distinct(listed) if len(fields) > 1 else listed
+    postings = cut_lineage(numbered.select("_row", F.explode(listed).alias("_gram")).join(
+        asked.select("_gram").distinct().hint("shuffle_hash"), "_gram", "left_semi"
+    ))
     lengths = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     counted = asked.join(lengths, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     shortest = pick_first(counted, ["query"], [F.col("_n").asc(), F.col("_gram").asc()])
-    found = shortest.join(postings, "_gram").where(F.exists("_texts", lambda text: F.contains(text, F.col("_word"))))
-    return found.select("query", *rows.columns)
+    found = shortest.join(postings, "_gram").select("query", "_word", "_row").join(numbered, "_row")
+    return found.where(F.exists(texts, lambda text: F.contains(text, F.col("_word")))).select("query", *rows.columns)
 
 
 def _ranked(found: DataFrame, limit: int) -> DataFrame:
@@ -132,20 +141,16 @@ def search_names(corporations: DataFrame, queries: DataFrame, active_only: bool
 def route_queries(corporations: DataFrame, queries: DataFrame, active_only: bool = True, limit: int = SEARCH_LIMIT) -> DataFrame:
     """``find_corporations`` for a table of queries: codes are found by equality, anything else as a name.
 
-    Both meet the registry as keys of its rows in one index: a code is a key of its own.
+    A code is a key of its own, so that it is not looked for in names and names are not looked for in codes.
     """
     text = strip("query")
-    code = F.when(text.rlike(r"^[0-9]{6}$"), F.concat(F.lit("\x00s"), text, F.lit("\x00"))).when(
-        text.rlike(r"^[0-9]{8}$"), F.concat(F.lit("\x00c"), text, F.lit("\x00")))
-    keyed = queries.select("query").distinct().select("query", F.coalesce(code, text).alias("_key"))
-    rows = _active(corporations, active_only).withColumns({
-        "_stock": F.concat(F.lit("\x00s"), "stock_code", F.lit("\x00")), "_corp": F.concat(F.lit("\x00c"), "corp_code", F.lit("\x00")),
-    })
-    hits = containing(rows, ["corp_name", "_stock", "_corp"], keyed.select(F.col("_key").alias("query")))
-    # a name is not looked for in codes
-    named = F.contains(F.lower(F.coalesce("corp_name", F.lit(""))), F.lower("query"))
-    hits = hits.where(F.col("query").startswith("\x00") | named).drop("_stock", "_corp")
-    found = keyed.join(hits.withColumnRenamed("query", "_key"), "_key").drop("_key")
+    code = F.when(text.rlike(r"^[0-9]{6}$"), F.concat(F.lit("s"), text)).when(text.rlike(r"^[0-9]{8}$"), F.concat(F.lit("c"), text))
+    asked = queries.select("query").distinct().withColumn("_code", code)
+    rows = _active(corporations, active_only)
+    keys = F.array_compact(F.array(F.concat(F.lit("s"), "stock_code"), F.concat(F.lit("c"), "corp_code")))
+    coded = rows.withColumn("_code", F.explode(keys)).join(asked.where(F.col("_code").isNotNull()), "_code").drop("_code")
+    named = containing(rows, ["corp_name"], asked.where(F.col("_code").isNull()))
+    found = named.unionByName(coded)
     return _ranked(found, limit)
 
 

@@ -72,3 +72,23 @@ def test_all_constraints_in_one_pass(spark):
 def test_limits_have_to_be_positive(spark, limit):
     with pytest.raises(ValueError):
         search.search_by_name(spark.createDataFrame([], REGISTRY), ["a"], limit=limit)
+
+
+def test_an_index_lists_what_queries_hold_and_not_more(spark, monkeypatch):
+    names = [f"Customer#{i:06d} {'AUTO' if i % 2 else 'ÉTÉ'}" for i in range(400)]
+    rows = spark.createDataFrame([(f"{i:08d}", name, f"{i:06d}" if i % 3 else None) for i, name in enumerate(names)], "corp_code string, corp_name string, stock_code string")
+    words = [*names, *[f"{i:08d}" for i in range(0, 500, 7)], *[f" {i:06d}" for i in range(50)], "été", "0", "#0001", "no 1", " ", "", None]
+    queries = spark.createDataFrame([(w,) for w in words], "query string")
+    fields = ["corp_name", "stock_code", "corp_code"]
+    expected = sorted(
+        (w, r.corp_code) for w in {w for w in words if w and w.strip()} for r in rows.collect()
+        if any(w.strip().lower() in (r[f] or "").lower() for f in fields))
+    written = []
+    monkeypatch.setattr(search, "cut_lineage", lambda df: written.append(df.count()) or df.cache())
+    for most in (16, 2, 1):  # with fewer lengths than the queries have, hits are verified
+        monkeypatch.setattr(search, "GRAM_SIZES", most)
+        written.clear()
+        found = search.containing(rows, fields, queries).select("query", "corp_code")
+        assert sorted(map(tuple, found.collect())) == expected
+        if most == 16:
+            assert max(written) <= len(expected)
