@@ -67,8 +67,11 @@ def overwrite_partitions(df: DataFrame, path: str) -> None:
 
 
 def touched(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Stored rows in the partitions of ``incoming``; the semi-join on partition columns prunes the scan."""
-    return stored.join(incoming.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
+    """Stored rows in the partitions of ``incoming``; the semi-join on partition columns prunes the scan.
+
+    Partitions are folders, so there are few and they are sent to the stored rows, which are not exchanged for this.
+    """
+    return stored.join(F.broadcast(incoming.select(*PARTITIONS).distinct()), PARTITIONS, "left_semi")
 
 
 def upsert_table(

@@ -80,3 +80,13 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     files.mkdirs(path)
     files.deleteOnExit(path)
     return folder
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as compressed Parquet in the shared folder and read again: its lineage ends there.
+
+    For wide rows: a checkpoint is computed twice and holds them uncompressed.
+    """
+    folder = f"{scratch_folder(df.sparkSession, label)}/table"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -259,3 +259,20 @@ def test_split_rejects(spark):
     assert good.count() == 1 and bad.first().reasons == ["year", "scope"]
     with pytest.raises(Exception, match="invalid row: year, scope"):
         quality.split_rejects(frame, rules, strict=True)[0].count()
+
+
+def test_a_merge_exchanges_stored_rows_once_and_leaves_no_checkpoint(spark, tmp_path, statement_rows, monkeypatch):
+    rows = statement_rows(("BS", "ifrs-full_Assets", "자산총계", 100, 80), ("IS", "ifrs-full_Revenue", "매출액", 10, 5, {"year": "2024"}))
+    store = jobs.Store(str(tmp_path / "s"))
+    kept = []
+    monkeypatch.setattr(jobs, "cut_lineage", lambda df: kept.append(df) or df)
+    jobs.save_changes(spark, store, rows, "2025-01-01 00:00:00", "v2")
+    jobs.save_changes(spark, store, rows, "2025-01-01 00:00:00", "v1")
+    assert kept == []  # wide rows are written compressed instead
+    stored = jobs.changes(spark, store)
+    assert sorted((r.calculation_version, r.bsns_year, r.id) for r in stored.collect()) == [
+        ("v1", "2024", 2), ("v1", "2025", 2), ("v2", "2024", 1), ("v2", "2025", 1)]
+    near = tables.touched(stored, stored.filter("bsns_year = '2024'"))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [r.bsns_year for r in near.collect()] == ["2024", "2024"]
